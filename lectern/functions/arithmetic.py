@@ -67,39 +67,46 @@ def format_number_ru(v) -> Column:
     ).otherwise(F.concat(g, F.lit(".")))
 
 
+def _fire(value: Column, refuse: Column | None = None) -> Column:
+    """A rule result: NULL when the rule does not answer, else ``(refuse, value)``."""
+    refuse = F.lit(False) if refuse is None else refuse
+    return F.struct(refuse.alias("refuse"), value.cast("double").alias("value"))
+
+
 def _binary(q: Column) -> Column:
     a = _num(_group(q, RE_BINARY, 1))
     op = _group(q, RE_BINARY, 2)
     b = _num(_group(q, RE_BINARY, 3))
     return (
-        F.when(op.isin(*OPS_PLUS), format_number_ru(a + b))
-        .when(op.isin(*OPS_MINUS), format_number_ru(a - b))
-        .when(op.isin(*OPS_TIMES), format_number_ru(a * b))
-        .when(op.isin(*OPS_DIV) & (b == 0), F.lit(REFUSE))
-        .when(op.isin(*OPS_DIV), format_number_ru(F.try_divide(a, b)))
+        F.when(op.isin(*OPS_PLUS), _fire(a + b))
+        .when(op.isin(*OPS_MINUS), _fire(a - b))
+        .when(op.isin(*OPS_TIMES), _fire(a * b))
+        .when(op.isin(*OPS_DIV) & (b == 0), _fire(F.lit(None), F.lit(True)))
+        .when(op.isin(*OPS_DIV), _fire(F.try_divide(a, b)))
     )
 
 
 def _divide(q: Column) -> Column:
     a = _num(_group(q, RE_DIVIDE, 1))
     b = _num(_group(q, RE_DIVIDE, 3))
-    return F.when(b == 0, F.lit(REFUSE)).when(b.isNotNull(), format_number_ru(F.try_divide(a, b)))
+    return F.when(b == 0, _fire(F.lit(None), F.lit(True))).when(b.isNotNull(), _fire(F.try_divide(a, b)))
 
 
 def _multiply(q: Column) -> Column:
     a = _num(_group(q, RE_MULTIPLY, 1))
     b = _num(_group(q, RE_MULTIPLY, 3))
-    return format_number_ru(a * b)
+    return F.when(b.isNotNull(), _fire(a * b))
 
 
 def _sum(q: Column) -> Column:
-    return format_number_ru(_num(_group(q, RE_SUM, 1)) + _num(_group(q, RE_SUM, 2)))
+    b = _num(_group(q, RE_SUM, 2))
+    return F.when(b.isNotNull(), _fire(_num(_group(q, RE_SUM, 1)) + b))
 
 
 def _percent(q: Column) -> Column:
     p = _num(_group(q, RE_PERCENT, 1))
     base = _num(_group(q, RE_PERCENT, 2))
-    return format_number_ru(base * p / F.lit(100.0))
+    return F.when(base.isNotNull(), _fire(base * p / F.lit(100.0)))
 
 
 def _mean(q: Column) -> Column:
@@ -107,16 +114,14 @@ def _mean(q: Column) -> Column:
     nums = F.transform(F.regexp_extract_all(body, F.lit("([0-9]+)"), 1), lambda x: x.try_cast("double"))
     total = F.aggregate(nums, F.lit(0.0), lambda acc, x: acc + x)
     n = F.size(nums)
-    return F.when(body.isNotNull() & (n > 0), format_number_ru(total / n))
+    return F.when(body.isNotNull() & (n > 0), _fire(total / n))
 
 
 def _sqrt(q: Column) -> Column:
     n = _group(q, RE_SQRT, 1).try_cast("long")
     r = F.round(F.sqrt(n.cast("double"))).cast("long")
     exact = F.try_multiply(r, r) == n
-    return F.when(n.isNull(), F.lit(None).cast("string")).when(exact, format_number_ru(r.cast("double"))).otherwise(
-        F.lit(REFUSE)
-    )
+    return F.when(n.isNotNull(), F.when(exact, _fire(r)).otherwise(_fire(F.lit(None), F.lit(True))))
 
 
 def _power(q: Column) -> Column:
@@ -124,13 +129,13 @@ def _power(q: Column) -> Column:
     word = _group(q, RE_POWER, 2)
     ords = F.create_map(*[x for k, v in ORDINAL_POWERS.items() for x in (F.lit(k), F.lit(v))])
     exp = F.try_element_at(ords, word)
-    return F.when(exp.isNotNull(), format_number_ru(F.pow(base, exp.cast("double"))))
+    return F.when(exp.isNotNull(), _fire(F.pow(base, exp.cast("double"))))
 
 
 def _circle(q: Column) -> Column:
     r = _num(_group(q, RE_CIRCLE, 1))
     pi = F.coalesce(_num(_group(q, RE_PI, 1)), F.lit(DEFAULT_PI))
-    return F.when(r.isNotNull(), format_number_ru(pi * (r * r)))
+    return F.when(r.isNotNull(), _fire(pi * (r * r)))
 
 
 RULES = {
@@ -146,6 +151,14 @@ RULES = {
 }
 
 
+def render(result) -> Column:
+    """Rule result struct -> answer text (REFUSE, formatted number, or NULL)."""
+    r = F.col(result) if isinstance(result, str) else result
+    return F.when(r.isNull(), F.lit(None).cast("string")).when(r["refuse"], F.lit(REFUSE)).otherwise(
+        format_number_ru(r["value"])
+    )
+
+
 def math_question(col) -> Column:
     """Canonical rule input: lower(strip(question))."""
     c = F.col(col) if isinstance(col, str) else col
@@ -153,14 +166,23 @@ def math_question(col) -> Column:
 
 
 def math_answer(col) -> Column:
-    """First rule that answers, else NULL (the question goes on to retrieval)."""
+    """C12 as one Column (small inputs); plans use ``with_math_answer``."""
     q = math_question(col)
-    return F.coalesce(*[rule(q) for rule in RULES.values()])
+    return render(F.coalesce(*[rule(q) for rule in RULES.values()]))
+
+
+def with_rule(df: DataFrame, question: str, rule: str, out: str) -> DataFrame:
+    """One rule alone (C1-C10 keys): its answer, or NULL when it does not fire."""
+    tmp, res = "__mq", "__mr"
+    df = df.withColumn(tmp, math_question(question))
+    df = df.withColumn(res, RULES[rule](F.col(tmp)))
+    return df.withColumn(out, render(F.col(res))).drop(tmp, res)
 
 
 def with_math_answer(df: DataFrame, question: str, out: str = "math_answer") -> DataFrame:
-    """Same as ``math_answer`` but the lowered question is projected once."""
-    tmp = "__mq"
+    """Rules in order, first that fires wins; the lowered question and the
+    chosen result are projected once so the number is formatted once."""
+    tmp, res = "__mq", "__mr"
     df = df.withColumn(tmp, math_question(question))
-    q = F.col(tmp)
-    return df.withColumn(out, F.coalesce(*[rule(q) for rule in RULES.values()])).drop(tmp)
+    df = df.withColumn(res, F.coalesce(*[rule(F.col(tmp)) for rule in RULES.values()]))
+    return df.withColumn(out, render(F.col(res))).drop(tmp, res)
