@@ -294,3 +294,60 @@ def math_select(src: str, question: str, out: str, rule: str | None = None) -> s
     s2 = f"SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in groups.items()) + f" FROM ({s1})"
     s3 = f"SELECT *, {chosen} AS __res FROM ({s2})"
     return f"SELECT * EXCLUDE ({', '.join(tmp)}), {render_rule('__res')} AS {out} FROM ({s3})"
+
+
+# ---------------------------------------------------------------------------
+# Text operators (B) in SQL
+# ---------------------------------------------------------------------------
+
+def norm_basic(x: str) -> str:
+    return (f"{strip(f'regexp_replace(regexp_replace(lower({strip(f"coalesce({x}, {chr(39) * 2})")}), {rx(T.BASIC_PUNCT_CLASS + "+")}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)}), {rx(T.WS + "+")}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}")
+
+
+def strip_echo(t: str, q: str, chars: str = T.ECHO_CHARS_POST) -> str:
+    qs = strip(f"coalesce({q}, '')")
+    return (f"CASE WHEN length({qs}) > 0 AND starts_with(lower({t}), lower({qs})) "
+            f"THEN ltrim(substring({t}, length({qs}) + 1), {lit(chars)}) ELSE {t} END")
+
+
+def drop_role_lines(t: str) -> str:
+    lines = f"list_transform(string_split_regex({t}, {rx(T.LINE_BREAK)}), lambda l: {strip('l')})"
+    kept = f"list_filter({lines}, lambda l: length(l) > 0 AND NOT starts_with(lower(l), 'assistant'))"
+    return f"coalesce(({kept})[1], '')"
+
+
+def strip_role_suffix(t: str) -> str:
+    return f"regexp_replace({t}, {rx('(?i)(?:' + T.WS + '*assistant:?)+' + T.WS + '*\\z')}, '')"
+
+
+def strip_role_prefix(t: str) -> str:
+    return f"CASE WHEN starts_with(lower({t}), 'assistant') THEN trim(substring({t}, 10), {lit(': ' + chr(10))}) ELSE {t} END"
+
+
+def is_fragment(t: str) -> str:
+    low = f"lower({t})"
+    return (f"((suffix({t}, '?') AND NOT {in_list(low, T.QUESTION_OK)}) OR {ends_ne(low)} "
+            f"OR ({letters(t)} <= 2 AND NOT {in_list(low, T.SHORT_OK)}))")
+
+
+def ellipsize(t: str, n: int = 120) -> str:
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE substring({t}, 1, {n - 3}) || '...' END"
+
+
+def clean_answer_basic(src: str, raw: str, q: str | None, out: str) -> str:
+    qexpr = q if q else "CAST(NULL AS VARCHAR)"
+    t0 = strip(f"coalesce({raw}, '')")
+    s1 = f"SELECT *, {t0} AS __t0, lower(coalesce({qexpr}, '')) AS __ql FROM {src}"
+    s2 = f"SELECT *, {first_sentence('__t0', 5)} AS __t1 FROM ({s1})"
+    res = (f"CASE WHEN length(__t0) = 0 THEN {REFUSE} WHEN {refusal('lower(__t1)', T.REFUSAL_PHRASES_BASIC)} THEN {REFUSE} "
+           f"WHEN contains(__ql, {lit(T.TRANSLATE_TRIGGER)}) THEN {translation('__t1')} "
+           f"ELSE {cap_words('__t1', T.CAP_WORDS_BASIC)} END")
+    s3 = f"SELECT *, {res} AS __res FROM ({s2})"
+    return (f"SELECT * EXCLUDE (__t0, __ql, __t1, __res), CASE WHEN length(__res) = 0 THEN {REFUSE} ELSE __res END AS {out} "
+            f"FROM ({s3})")
+
+
+def clean_raw_output(src: str, raw: str, q: str, out: str) -> str:
+    t0 = strip(f"coalesce({raw}, '')")
+    s1 = f"SELECT *, {drop_role_lines(strip_echo(t0, q, T.ECHO_CHARS_RAW))} AS __r1 FROM {src}"
+    return f"SELECT * EXCLUDE (__r1), {strip_role_suffix('__r1')} AS {out} FROM ({s1})"

@@ -36,3 +36,215 @@ def q_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I5 flagship: benchmark questions answered over the documents corpus."""
     corpus = load_corpus_from_documents(spark, sf_dir)
     return answer_questions(load_benchmark_questions(spark, sf_dir), corpus)
+
+
+# ---------------------------------------------------------------------------
+# Shared derivations (Spark side).  Each has the same derivation in SQL below.
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import arithmetic as A  # noqa: E402
+from ..functions import prompts as P  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..operators import chunking as CH  # noqa: E402
+from ..operators import context as CX  # noqa: E402
+from ..operators import routing as R  # noqa: E402
+from ..operators import vectors as V  # noqa: E402
+from ..operators.inference import extractive_answer  # noqa: E402
+from .answer import Options, build_corpus, retrieve  # noqa: E402
+
+
+def docs_raw(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source", "text")
+
+
+def prepared_docs(spark, sf):
+    return CH.prepare_documents(table(spark, sf, "documents"), "text", "source", "doc_id")
+
+
+# --- B: text projections over whole documents --------------------------------
+
+DOC_TEXT = "coalesce(text, '')"
+
+
+@register("normalize_text", f"SELECT doc_id, {O.norm('text')} AS norm FROM documents")
+def q_normalize_text(spark, sf):
+    return docs_raw(spark, sf).select("doc_id", T.normalize_text("text").alias("norm"))
+
+
+@register("normalize_text_basic", f"SELECT doc_id, {O.norm_basic('text')} AS norm FROM documents")
+def q_normalize_text_basic(spark, sf):
+    return docs_raw(spark, sf).select("doc_id", T.normalize_text_basic("text").alias("norm"))
+
+
+@register("normalize_lemma", f"SELECT doc_id, {O.norm('text')} AS norm FROM documents")
+def q_normalize_lemma(spark, sf):
+    """B5 with no lemma table: the normalised text."""
+    return docs_raw(spark, sf).select("doc_id", V.normalize_lemma("text").alias("norm"))
+
+
+LEMMA_RULE_SQL = (
+    "WITH toks AS (SELECT doc_id, unnest(" + O.tokens(O.norm("text")) + ") AS tk, "
+    "unnest(range(1, len(" + O.tokens(O.norm("text")) + ") + 1)) AS i FROM documents), "
+    "lem AS (SELECT DISTINCT tk AS form, substring(tk, 1, 6) AS lemma FROM toks WHERE length(tk) >= 8) "
+    "SELECT t.doc_id, string_agg(coalesce(l.lemma, t.tk), ' ' ORDER BY t.i) AS lemmatized "
+    "FROM toks t LEFT JOIN lem l ON t.tk = l.form GROUP BY t.doc_id"
+)
+
+
+def lemma_table_from(tokens_df):
+    """A lemma table derived from the corpus itself: forms of 8+ chars map to their first 6 chars."""
+    return tokens_df.select(F.col("tk").alias("form")).filter(F.length("form") >= 8).distinct().select(
+        "form", F.substring("form", 1, 6).alias("lemma")
+    )
+
+
+@register("lemmatize", LEMMA_RULE_SQL)
+def q_lemmatize(spark, sf):
+    """B3 large-table form: posexplode tokens, join the lemma table, reassemble per document."""
+    toks = docs_raw(spark, sf).select("doc_id", F.posexplode(T.tokens(T.normalize_text("text"))).alias("i", "tk"))
+    lem = lemma_table_from(toks)
+    joined = toks.join(lem, toks.tk == lem.form, "left").select("doc_id", "i", F.coalesce("lemma", "tk").alias("lm"))
+    grouped = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "lm"))).alias("xs"))
+    return grouped.select("doc_id", F.array_join(F.transform("xs", lambda x: x["lm"]), " ").alias("lemmatized"))
+
+
+@register("distinct_tokens",
+          "WITH t AS (SELECT doc_id, unnest(" + O.tokens(O.norm("text")) + ") AS term FROM documents) "
+          "SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM t GROUP BY term")
+def q_distinct_tokens(spark, sf):
+    """The distinct token set (the memo key space of lemmatisation) with document and total counts."""
+    t = docs_raw(spark, sf).select("doc_id", F.explode(T.tokens(T.normalize_text("text"))).alias("term"))
+    per_doc = t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n"))
+
+
+# Answer-like strings derived from documents: the first 40 characters play the question.
+ECHO_Q = "substring(coalesce(text, ''), 1, 40)"
+
+
+@register("strip_echo",
+          f"SELECT doc_id, {O.strip_echo(O.strip(DOC_TEXT), ECHO_Q)} AS post, "
+          f"{O.strip_echo(O.strip(DOC_TEXT), ECHO_Q, T.ECHO_CHARS_RAW)} AS raw_stage FROM documents")
+def q_strip_echo(spark, sf):
+    d = docs_raw(spark, sf)
+    t = T.strip(F.coalesce("text", F.lit("")))
+    q = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    return d.select("doc_id", T.strip_echo(t, q).alias("post"), T.strip_echo(t, q, T.ECHO_CHARS_RAW).alias("raw_stage"))
+
+
+RAW_WRAP_SQL = "concat('assistant\n', coalesce(text, ''), ' assistant:')"
+
+
+@register("drop_role_lines", f"SELECT doc_id, {O.drop_role_lines(RAW_WRAP_SQL)} AS line FROM documents")
+def q_drop_role_lines(spark, sf):
+    raw = F.concat(F.lit("assistant\n"), F.coalesce("text", F.lit("")), F.lit(" assistant:"))
+    return docs_raw(spark, sf).select("doc_id", T.drop_role_lines(raw).alias("line"))
+
+
+@register("strip_role_suffix", f"SELECT doc_id, {O.strip_role_suffix(RAW_WRAP_SQL)} AS out FROM documents")
+def q_strip_role_suffix(spark, sf):
+    raw = F.concat(F.lit("assistant\n"), F.coalesce("text", F.lit("")), F.lit(" assistant:"))
+    return docs_raw(spark, sf).select("doc_id", T.strip_role_suffix(raw).alias("out"))
+
+
+PREFIX_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'Assistant: ' || coalesce(text, '') ELSE coalesce(text, '') END"
+
+
+@register("strip_role_prefix", f"SELECT doc_id, {O.strip_role_prefix(PREFIX_SQL)} AS out FROM documents")
+def q_strip_role_prefix(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Assistant: "), t)).otherwise(t)
+    return docs_raw(spark, sf).select("doc_id", T.strip_role_prefix(raw).alias("out"))
+
+
+@register("first_sentence", f"SELECT doc_id, {O.first_sentence(O.strip(DOC_TEXT))} AS out FROM documents")
+def q_first_sentence(spark, sf):
+    return docs_raw(spark, sf).select("doc_id", T.first_sentence(T.strip(F.coalesce("text", F.lit("")))).alias("out"))
+
+
+@register("first_sentence_min5", f"SELECT doc_id, {O.first_sentence(O.strip(DOC_TEXT), 5)} AS out FROM documents")
+def q_first_sentence_min5(spark, sf):
+    return docs_raw(spark, sf).select(
+        "doc_id", T.first_sentence(T.strip(F.coalesce("text", F.lit(""))), min_end=5).alias("out"))
+
+
+@register("is_refusal",
+          f"SELECT doc_id, {O.refusal(f'lower({DOC_TEXT})')} AS refusal, "
+          f"{O.refusal(f'lower({DOC_TEXT})', T.REFUSAL_PHRASES_BASIC)} AS refusal_basic FROM documents")
+def q_is_refusal(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    return docs_raw(spark, sf).select("doc_id", T.is_refusal(t).alias("refusal"),
+                                      T.is_refusal(t, T.REFUSAL_PHRASES_BASIC).alias("refusal_basic"))
+
+
+FS_SQL = O.first_sentence(O.strip(DOC_TEXT))
+
+
+@register("is_fragment", f"SELECT doc_id, {O.is_fragment(f'({FS_SQL})')} AS fragment FROM documents")
+def q_is_fragment(spark, sf):
+    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
+    return docs_raw(spark, sf).select("doc_id", T.is_fragment(fs).alias("fragment"))
+
+
+@register("is_broken",
+          f"SELECT doc_id, {O.is_broken(f'({FS_SQL})')} AS broken_sentence, {O.is_broken('source')} AS broken_title FROM documents")
+def q_is_broken(spark, sf):
+    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
+    return docs_raw(spark, sf).select("doc_id", T.is_broken(fs).alias("broken_sentence"),
+                                      T.is_broken(F.col("source")).alias("broken_title"))
+
+
+@register("extract_translation", f"SELECT doc_id, {O.translation(O.strip(DOC_TEXT))} AS eng FROM documents")
+def q_extract_translation(spark, sf):
+    return docs_raw(spark, sf).select("doc_id", T.extract_translation(T.strip(F.coalesce("text", F.lit("")))).alias("eng"))
+
+
+@register("cap_words",
+          f"SELECT doc_id, {O.cap_words(DOC_TEXT, T.CAP_WORDS)} AS capped, {O.cap_words(DOC_TEXT, T.CAP_WORDS_BASIC)} AS capped20 FROM documents")
+def q_cap_words(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    return docs_raw(spark, sf).select("doc_id", T.cap_words(t, T.CAP_WORDS).alias("capped"),
+                                      T.cap_words(t, T.CAP_WORDS_BASIC).alias("capped20"))
+
+
+CLEAN_Q_SQL = (f"CASE WHEN doc_id % 3 = 0 THEN {O.lit(T.TRANSLATE_TRIGGER.capitalize() + ': ')} || coalesce(source, '') "
+               f"WHEN doc_id % 3 = 1 THEN substring(coalesce(text, ''), 1, 30) ELSE source END")
+
+
+def _clean_q():
+    t = F.coalesce("text", F.lit(""))
+    return (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(T.TRANSLATE_TRIGGER.capitalize() + ": "), F.coalesce("source", F.lit(""))))
+            .when(F.col("doc_id") % 3 == 1, F.substring(t, 1, 30)).otherwise(F.col("source")))
+
+
+@register("clean_answer",
+          f"SELECT doc_id, cleaned FROM ({O.clean_answer(f'(SELECT doc_id, text, {CLEAN_Q_SQL} AS q FROM documents)', 'text', 'q', 'cleaned')})")
+def q_clean_answer(spark, sf):
+    d = docs_raw(spark, sf).withColumn("q", _clean_q())
+    return T.clean_answer(d, "text", "q", "cleaned").select("doc_id", "cleaned")
+
+
+@register("clean_answer_basic",
+          f"SELECT doc_id, cleaned FROM ({O.clean_answer_basic(f'(SELECT doc_id, text, {CLEAN_Q_SQL} AS q FROM documents)', 'text', 'q', 'cleaned')})")
+def q_clean_answer_basic(spark, sf):
+    d = docs_raw(spark, sf).withColumn("q", _clean_q())
+    return T.clean_answer_basic(d, "text", "q", "cleaned").select("doc_id", "cleaned")
+
+
+@register("clean_raw_output",
+          f"SELECT doc_id, cleaned FROM ({O.clean_raw_output(f'(SELECT doc_id, {ECHO_Q} AS q, {ECHO_Q} || {O.lit(chr(8212) + ' assistant' + chr(10))} || coalesce(text, {chr(39) * 2}) || {O.lit(' assistant:')} AS raw FROM documents)', 'raw', 'q', 'cleaned')})")
+def q_clean_raw_output(spark, sf):
+    """I4: plain-route raw cleanup over wrapped document texts."""
+    t = F.coalesce("text", F.lit(""))
+    q = F.substring(t, 1, 40)
+    d = docs_raw(spark, sf).select("doc_id", q.alias("q"), F.concat(q, F.lit("— assistant\n"), t, F.lit(" assistant:")).alias("raw"))
+    return T.clean_raw_output(d, "raw", "q", "cleaned").select("doc_id", "cleaned")
+
+
+@register("ellipsize",
+          f"SELECT item_id, {O.ellipsize('text', 120)} AS q120, {O.ellipsize('text', 63)} AS q60, substring(text, 1, 500) AS a500 FROM benchmark")
+def q_ellipsize(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", T.ellipsize("text", 120).alias("q120"), T.ellipsize("text", 63).alias("q60"),
+                    F.substring("text", 1, 500).alias("a500"))
