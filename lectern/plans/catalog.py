@@ -248,3 +248,199 @@ def q_ellipsize(spark, sf):
     b = table(spark, sf, "benchmark")
     return b.select("item_id", T.ellipsize("text", 120).alias("q120"), T.ellipsize("text", 63).alias("q60"),
                     F.substring("text", 1, 500).alias("a500"))
+
+
+# --- C: arithmetic rules over questions derived from lineitem / part --------
+# Expected values in SQL are computed from the operands, not by parsing.
+
+LI_A = "CAST(floor(l_quantity) AS BIGINT)"
+LI_B = "CAST(l_linenumber - 1 AS BIGINT)"
+BIN_OPS = ["плюс", "минус", "умножить на", "разделить на", "/", "×", "+", "-", ":", "*", "x"]
+
+
+def _li(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.floor("l_quantity").cast("long").alias("a"),
+                     (F.col("l_linenumber") - 1).cast("long").alias("b"),
+                     F.floor("l_extendedprice").cast("long").alias("price"), "l_suppkey")
+
+
+def _pick(options, idx):
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (idx % len(options) + 1).cast("int"))
+
+
+def _pick_sql(options, idx):
+    return f"[{', '.join(O.lit(o) for o in options)}][({idx}) % {len(options)} + 1]"
+
+
+def _sql_binary_value(op, a, b):
+    return (f"CASE WHEN {op} IN ('плюс', '+') THEN {a} + {b} WHEN {op} IN ('минус', '-') THEN {a} - {b} "
+            f"WHEN {op} IN ('умножить на', '×', '*', 'x') THEN {a} * {b} ELSE CAST({a} AS DOUBLE) / nullif({b}, 0) END")
+
+
+def _sql_answer(value, refuse_cond="false"):
+    return f"CASE WHEN {refuse_cond} THEN {O.REFUSE} ELSE {O.fmt_number(f'CAST({value} AS DOUBLE)')} END"
+
+
+MB_OP = _pick_sql(BIN_OPS, "l_orderkey + l_linenumber")
+MB_SQL = (f"WITH x AS (SELECT l_orderkey, l_linenumber, {LI_A} AS a, {LI_B} AS b, {MB_OP} AS op FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, 'Сколько будет ' || a || ' ' || op || ' ' || b || '?' AS question, "
+          f"{_sql_answer(_sql_binary_value('op', 'a', 'b'), 'op IN (' + chr(39) + 'разделить на' + chr(39) + ', ' + chr(39) + '/' + chr(39) + ', ' + chr(39) + ':' + chr(39) + ') AND b = 0')} AS answer FROM x")
+
+
+@register("math_binary", MB_SQL)
+def q_math_binary(spark, sf):
+    x = _li(spark, sf).withColumn("op", _pick(BIN_OPS, F.col("l_orderkey") + F.col("l_linenumber")))
+    x = x.withColumn("question", F.concat(F.lit("Сколько будет "), F.col("a"), F.lit(" "), F.col("op"), F.lit(" "), F.col("b"), F.lit("?")))
+    return A.with_rule(x, "question", "math_binary", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+DIV_OPS = ["разделить на", "/", " : "]
+
+
+@register("math_divide",
+          f"WITH x AS (SELECT l_orderkey, l_linenumber, {LI_A} AS a, {LI_B} AS b, {_pick_sql(DIV_OPS, 'l_orderkey')} AS op FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, 'Открыто ' || a || op || b AS question, "
+          f"{_sql_answer('CAST(a AS DOUBLE) / nullif(b, 0)', 'b = 0')} AS answer FROM x")
+def q_math_divide(spark, sf):
+    x = _li(spark, sf).withColumn("op", _pick(DIV_OPS, F.col("l_orderkey")))
+    x = x.withColumn("question", F.concat(F.lit("Открыто "), F.col("a"), F.col("op"), F.col("b")))
+    return A.with_rule(x, "question", "math_divide", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+MUL_OPS = ["умножить на", "*", "x", "×"]
+
+
+@register("math_multiply",
+          f"WITH x AS (SELECT l_orderkey, l_linenumber, {LI_A} AS a, {LI_B} AS b, {_pick_sql(MUL_OPS, 'l_orderkey')} AS op FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, a || ' ' || op || ' ' || b AS question, {_sql_answer('a * b')} AS answer FROM x")
+def q_math_multiply(spark, sf):
+    x = _li(spark, sf).withColumn("op", _pick(MUL_OPS, F.col("l_orderkey")))
+    x = x.withColumn("question", F.concat(F.col("a"), F.lit(" "), F.col("op"), F.lit(" "), F.col("b")))
+    return A.with_rule(x, "question", "math_multiply", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+@register("math_sum",
+          f"WITH x AS (SELECT l_orderkey, l_linenumber, {LI_A} AS a, CAST(floor(l_extendedprice) AS BIGINT) AS b FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, 'Сумма чисел ' || a || ' и ' || b AS question, {_sql_answer('a + b')} AS answer FROM x")
+def q_math_sum(spark, sf):
+    x = _li(spark, sf).withColumn("question", F.concat(F.lit("Сумма чисел "), F.col("a"), F.lit(" и "), F.col("price")))
+    return A.with_rule(x, "question", "math_sum", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+PCT_WORDS = ["процентов", "процента", "процент"]
+
+
+@register("math_percent",
+          f"WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber * 5 AS p, CAST(floor(l_extendedprice) AS BIGINT) AS b, "
+          f"{_pick_sql(PCT_WORDS, 'l_orderkey')} AS w FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, p || ' ' || w || ' от ' || b AS question, {_sql_answer('b * CAST(p AS DOUBLE) / 100.0')} AS answer FROM x")
+def q_math_percent(spark, sf):
+    x = _li(spark, sf).withColumn("p", F.col("l_linenumber") * 5).withColumn("w", _pick(PCT_WORDS, F.col("l_orderkey")))
+    x = x.withColumn("question", F.concat(F.col("p"), F.lit(" "), F.col("w"), F.lit(" от "), F.col("price")))
+    return A.with_rule(x, "question", "math_percent", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+@register("math_mean",
+          f"WITH x AS (SELECT l_orderkey, l_linenumber, {LI_A} AS a, CAST(l_linenumber AS BIGINT) AS b, l_suppkey AS c FROM lineitem) "
+          f"SELECT l_orderkey, l_linenumber, 'Среднее арифметическое чисел ' || a || ', ' || b || ', ' || c AS question, "
+          f"{_sql_answer('(a + b + c) / 3.0')} AS answer FROM x")
+def q_math_mean(spark, sf):
+    x = _li(spark, sf).withColumn("question", F.concat(F.lit("Среднее арифметическое чисел "), F.col("a"), F.lit(", "),
+                                                      F.col("l_linenumber"), F.lit(", "), F.col("l_suppkey")))
+    return A.with_rule(x, "question", "math_mean", "answer").select("l_orderkey", "l_linenumber", "question", "answer")
+
+
+SQRT_N = "CAST(p_size AS BIGINT) * p_size + (p_partkey % 2)"
+
+
+@register("math_sqrt",
+          f"SELECT p_partkey, 'Квадратный корень из ' || ({SQRT_N}) AS question, "
+          f"{_sql_answer('p_size', 'p_partkey % 2 = 1 AND p_size > 0')} AS answer FROM part")
+def q_math_sqrt(spark, sf):
+    p = table(spark, sf, "part")
+    n = F.col("p_size").cast("long") * F.col("p_size") + F.col("p_partkey") % 2
+    x = p.select("p_partkey", F.concat(F.lit("Квадратный корень из "), n).alias("question"))
+    return A.with_rule(x, "question", "math_sqrt", "answer")
+
+
+ORD_WORDS = list(A.ORDINAL_POWERS) + ["первой"]
+
+
+@register("math_power",
+          f"WITH x AS (SELECT p_partkey, p_size % 10 + 1 AS b, {_pick_sql(ORD_WORDS, 'p_partkey')} AS w FROM part), "
+          f"y AS (SELECT *, CASE " + " ".join(f"WHEN w = {O.lit(k)} THEN {v}" for k, v in A.ORDINAL_POWERS.items()) + " END AS e FROM x) "
+          f"SELECT p_partkey, b || ' в ' || w || ' степени' AS question, "
+          f"CASE WHEN e IS NULL THEN NULL ELSE {O.fmt_number('pow(b, e)')} END AS answer FROM y")
+def q_math_power(spark, sf):
+    p = table(spark, sf, "part")
+    x = p.select("p_partkey", (F.col("p_size") % 10 + 1).alias("b"), _pick(ORD_WORDS, F.col("p_partkey")).alias("w"))
+    x = x.withColumn("question", F.concat(F.col("b"), F.lit(" в "), F.col("w"), F.lit(" степени")))
+    return A.with_rule(x, "question", "math_power", "answer").select("p_partkey", "question", "answer")
+
+
+CIRCLE_R = "CAST(floor(p_retailprice / 100) AS BIGINT) || ',' || p_size"
+
+
+@register("math_circle",
+          f"WITH x AS (SELECT p_partkey, {CIRCLE_R} AS rs, p_partkey % 2 = 0 AS with_pi FROM part), "
+          f"y AS (SELECT *, CAST(replace(rs, ',', '.') AS DOUBLE) AS r FROM x) "
+          f"SELECT p_partkey, 'Площадь круга радиуса ' || rs || CASE WHEN with_pi THEN ' при π=3,14' ELSE '' END AS question, "
+          f"{O.fmt_number('CASE WHEN with_pi THEN 3.14 ELSE ' + str(A.DEFAULT_PI) + ' END * (r * r)')} AS answer FROM y")
+def q_math_circle(spark, sf):
+    p = table(spark, sf, "part")
+    rs = F.concat(F.floor(F.col("p_retailprice") / 100).cast("long"), F.lit(","), F.col("p_size"))
+    x = p.select("p_partkey", rs.alias("rs"), (F.col("p_partkey") % 2 == 0).alias("with_pi"))
+    x = x.withColumn("question", F.concat(F.lit("Площадь круга радиуса "), F.col("rs"),
+                                          F.when(F.col("with_pi"), F.lit(" при π=3,14")).otherwise(F.lit(""))))
+    return A.with_rule(x, "question", "math_circle", "answer").select("p_partkey", "question", "answer")
+
+
+def _format_number_source(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_linenumber")).alias("v"))
+
+
+@register("format_number_ru",
+          f"SELECT l_orderkey, l_linenumber, {O.fmt_number('l_extendedprice / l_linenumber')} AS formatted FROM lineitem")
+def q_format_number_ru(spark, sf):
+    return _format_number_source(spark, sf).select("l_orderkey", "l_linenumber", A.format_number_ru("v").alias("formatted"))
+
+
+MIXED_Q_SQL = (
+    "SELECT CAST(item_id AS BIGINT) AS qid, text AS question FROM benchmark UNION ALL "
+    f"SELECT 1000000000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Сколько будет ' || p_size || ' плюс ' || (p_partkey % 9) "
+    "WHEN 1 THEN 'Квадратный корень из ' || (p_size * p_size) WHEN 2 THEN (p_size % 10 + 1) || ' в третьей степени' "
+    "ELSE p_name || '?' END FROM part"
+)
+
+
+def mixed_questions(spark, sf):
+    """Benchmark questions plus rule questions derived from every part row."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), F.col("text").alias("question"))
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey") % 4
+    q = (F.when(k == 0, F.concat(F.lit("Сколько будет "), F.col("p_size"), F.lit(" плюс "), F.col("p_partkey") % 9))
+         .when(k == 1, F.concat(F.lit("Квадратный корень из "), F.col("p_size") * F.col("p_size")))
+         .when(k == 2, F.concat(F.col("p_size") % 10 + 1, F.lit(" в третьей степени")))
+         .otherwise(F.concat(F.col("p_name"), F.lit("?"))))
+    return b.unionByName(p.select((F.lit(1000000000) + F.col("p_partkey")).alias("qid"), q.alias("question")))
+
+
+@register("math_answer", f"SELECT qid, question, math AS answer FROM ({O.math_select(f'({MIXED_Q_SQL})', 'question', 'math')})")
+def q_math_answer(spark, sf):
+    return A.with_math_answer(mixed_questions(spark, sf), "question", "answer")
+
+
+# --- E: chunks ----------------------------------------------------------------
+
+@register("chunk_documents", f"WITH {O.documents_cte()}, {O.chunks_cte()} SELECT doc_id, pos, title, text FROM chunks")
+def q_chunk_documents(spark, sf):
+    return CH.chunk_documents(prepared_docs(spark, sf)).select("doc_id", "pos", "title", "text")
+
+
+@register("chunk_numbering",
+          f"WITH {O.documents_cte()}, {O.chunks_cte()} SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS chunk_id, doc_id, pos FROM chunks")
+def q_chunk_numbering(spark, sf):
+    chunks = CH.chunk_documents(prepared_docs(spark, sf)).select("doc_id", "pos")
+    return CH.number_chunks(spark, chunks).select("chunk_id", "doc_id", "pos")
