@@ -132,3 +132,65 @@ def sparse_scores(qvec: DataFrame, cvec: DataFrame, q_ids: list[str], c_ids: lis
         s = cvec.join(batch, "term").groupBy(*q_ids, *c_ids).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# ---------------------------------------------------------------------------
+# Dense exact inner product (F3) with local top-k per Arrow batch.
+# ---------------------------------------------------------------------------
+
+def _dense_block_topk(q_ids, q_mat, k: int, id_col: str, vec_col: str):
+    """mapInPandas body: score a batch of corpus vectors against all queries and
+    keep, per query, every row whose score reaches the k-th best of the batch
+    (ties at the cut are kept, so the exact global top-k is a subset)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
+            ids = pdf[id_col].to_numpy()
+            scores = q_mat @ mat.T  # (queries, batch)
+            n = scores.shape[1]
+            if n > k:
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                keep = scores >= (kth[:, None] - 1e-9)
+            else:
+                keep = np.ones_like(scores, dtype=bool)
+            qi, ci = np.nonzero(keep)
+            yield pd.DataFrame({"qid": q_ids[qi], id_col: ids[ci], "score": scores[qi, ci]})
+
+    return run
+
+
+def dense_top_k(spark, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, qid_col: str = "qid",
+                q_vec_col: str = "embedding", id_col: str = "vec_id", vec_col: str = "embedding",
+                max_queries: int = 200_000) -> DataFrame:
+    """F3 + F5: exact inner-product top-k of every query against every corpus vector.
+
+    The query matrix is the broadcast side: its row count is checked first,
+    then it is shipped once per executor.  Corpus partitions are scored as
+    numpy blocks and only per-batch candidates (about ``k`` per query) leave
+    the Python worker, so the shuffle is batches x k x queries, not N x queries.
+    Above ``max_queries`` the queries are processed in bounded groups.
+    """
+    import numpy as np
+
+    n = queries.count()
+    groups = max(1, math.ceil(n / max_queries))
+    out = None
+    for g in range(groups):
+        part = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(groups)) == g)
+        rows = part.select(qid_col, q_vec_col).collect()  # bounded by max_queries (checked above)
+        if not rows:
+            continue
+        q_ids = np.array([r[0] for r in rows])
+        q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
+        schema = f"qid long, {id_col} long, score double"
+        cands = corpus.select(id_col, vec_col).mapInPandas(_dense_block_topk(q_ids, q_mat, k, id_col, vec_col), schema)
+        top = rank_top_k(cands, ["qid"], [id_col], k)
+        out = top if out is None else out.unionByName(top)
+    if out is None:
+        return spark.createDataFrame([], f"qid long, {id_col} long, score double, rank int")
+    return out

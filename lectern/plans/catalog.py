@@ -444,3 +444,187 @@ def q_chunk_documents(spark, sf):
 def q_chunk_numbering(spark, sf):
     chunks = CH.chunk_documents(prepared_docs(spark, sf)).select("doc_id", "pos")
     return CH.number_chunks(spark, chunks).select("chunk_id", "doc_id", "pos")
+
+
+# --- F: vectors, scoring, top-k, context --------------------------------------
+
+def corpus_of(spark, sf):
+    return build_corpus(prepared_docs(spark, sf))
+
+
+def bench_questions(spark, sf):
+    from .answer import load_benchmark_questions
+
+    return load_benchmark_questions(spark, sf)
+
+
+RETR_BASE = f"{O.documents_cte()}, {O.chunks_cte()}, {O.benchmark_questions_cte()}, {O.retrieval_ctes('qs')}"
+
+
+@register("encode_terms", f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text')} "
+          "SELECT doc_id, pos, term, round(w, 9) AS w FROM cvec")
+def q_encode_terms(spark, sf):
+    """F2 default encoder: unit term-frequency vectors of every chunk."""
+    v = corpus_of(spark, sf).vectors
+    return v.select("doc_id", "pos", "term", F.round("w", 9).alias("w"))
+
+
+@register("l2_normalize",
+          "WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS nrm FROM embeddings), "
+          "u AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x, nrm FROM e) "
+          "SELECT vec_id, i, round(CASE WHEN nrm > 0 THEN CAST(x AS DOUBLE) / nrm ELSE 0.0 END, 9) AS x FROM u")
+def q_l2_normalize(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("i", "x")).select(
+        "vec_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+
+
+DENSE_PAIRS = ("pairs AS (SELECT q.vec_id AS qid, c.vec_id, "
+               "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score "
+               "FROM embeddings q, embeddings c)")
+
+
+@register("top_k_dense",
+          f"WITH {DENSE_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs) "
+          "SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
+def q_top_k_dense(spark, sf):
+    """F3 + F5: every embedding as a query against all embeddings (exact, block-scored)."""
+    e = table(spark, sf, "embeddings")
+    top = V.dense_top_k(spark, e.select(F.col("vec_id").alias("qid"), "embedding"), e, 3)
+    return top.select("qid", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("dense_scores",
+          f"WITH {DENSE_PAIRS} SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM pairs GROUP BY qid")
+def q_dense_scores(spark, sf):
+    """all-pairs exact scores, aggregated per query (count, best, sum) to keep the output per query."""
+    import numpy as np
+
+    e = table(spark, sf, "embeddings")
+    top = V.dense_top_k(spark, e.select(F.col("vec_id").alias("qid"), "embedding"), e, 1)
+    # count and sum over all pairs: sum of scores = q . (sum of corpus vectors); count = corpus size
+    dim_sum = e.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    qx = e.select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    total = qx.join(F.broadcast(dim_sum), "i").groupBy("vec_id").agg(F.sum(F.col("x").cast("double") * F.col("s")).alias("total"))
+    n = e.count()
+    return (top.select(F.col("qid").alias("vec_id"), "score").join(total, "vec_id")
+            .select(F.col("vec_id").alias("qid"), F.lit(n).cast("long").alias("n"), F.round("score", 6).alias("best"),
+                    F.round("total", 4).alias("total")))
+
+
+@register("sparse_scores", f"WITH {RETR_BASE} SELECT qid, doc_id, pos, round(score, 6) AS score FROM scores")
+def q_sparse_scores(spark, sf):
+    c = corpus_of(spark, sf)
+    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
+    s = V.sparse_scores(qv, c.vectors, ["qid"], ["doc_id", "pos"])
+    return s.select("qid", "doc_id", "pos", F.round("score", 6).alias("score"))
+
+
+@register("top_k_sparse", f"WITH {RETR_BASE} SELECT qid, rank, doc_id, pos, round(score, 6) AS score FROM top")
+def q_top_k_sparse(spark, sf):
+    c = corpus_of(spark, sf)
+    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
+    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    return t.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "pos", F.round("score", 6).alias("score"))
+
+
+@register("fetch_chunks",
+          f"WITH {RETR_BASE}, ids AS (SELECT qid, rank, doc_id, pos FROM top UNION ALL SELECT qid, 0, -1, 0 FROM qs "
+          f"UNION ALL SELECT qid, 9, (SELECT max(doc_id) + 1 FROM documents), 0 FROM qs) "
+          "SELECT i.qid, i.rank, i.doc_id, i.pos, coalesce(c.title, '') AS title, coalesce(c.text, '') AS text "
+          "FROM ids i LEFT JOIN chunks c ON i.doc_id = c.doc_id AND i.pos = c.pos")
+def q_fetch_chunks(spark, sf):
+    """F6 with missing ids (-1 and max+1) added per question: they fetch ''."""
+    c = corpus_of(spark, sf)
+    qs = bench_questions(spark, sf)
+    qv = V.encode_terms(qs, ["qid"], "question")
+    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3).select("qid", "rank", "doc_id", "pos")
+    mx = table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("m")).first()["m"]  # one scalar
+    extra = qs.select("qid", F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos")).unionByName(
+        qs.select("qid", F.lit(9).alias("rank"), F.lit(mx).cast("long").alias("doc_id"), F.lit(0).alias("pos")))
+    ids = t.withColumn("rank", F.col("rank").cast("int")).unionByName(extra)
+    out = CX.fetch_chunks(ids, c.chunks)
+    return out.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "pos", "title", "text")
+
+
+@register("trim_pieces", f"WITH {RETR_BASE} SELECT qid, rank, piece FROM pieces")
+def q_trim_pieces(spark, sf):
+    c = corpus_of(spark, sf)
+    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
+    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    f = CX.fetch_chunks(t, c.chunks)
+    return f.select("qid", F.col("rank").cast("long").alias("rank"), CX.trim_piece(3).alias("piece"))
+
+
+@register("build_context", f"WITH {RETR_BASE} SELECT qid, round(best_score, 6) AS best_score, ctx FROM retr")
+def q_build_context(spark, sf):
+    r = retrieve(bench_questions(spark, sf), corpus_of(spark, sf))
+    return r.select("qid", F.round("best_score", 6).alias("best_score"), "ctx")
+
+
+@register("build_context_basic",
+          f"WITH {RETR_BASE} SELECT qid, string_agg(substring(text, 1, 466), chr(10) || chr(10) ORDER BY rank) AS ctx FROM fetched GROUP BY qid")
+def q_build_context_basic(spark, sf):
+    c = corpus_of(spark, sf)
+    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
+    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    return CX.build_context_basic(CX.fetch_chunks(t, c.chunks), ["qid"], 3)
+
+
+@register("retrieve_context",
+          f"WITH {RETR_BASE}, agg AS (SELECT qid, string_agg(doc_id || ':' || pos, ',' ORDER BY rank) AS ids, "
+          "string_agg(CAST(round(score, 6) AS VARCHAR), ',' ORDER BY rank) AS scores FROM top GROUP BY qid) "
+          "SELECT r.qid, a.ids, round(r.best_score, 6) AS best_score, r.ctx FROM retr r JOIN agg a ON r.qid = a.qid")
+def q_retrieve_context(spark, sf):
+    """scores, ids and context per question (ids rendered ``doc:pos`` in rank order)."""
+    r = retrieve(bench_questions(spark, sf), corpus_of(spark, sf))
+    ids = F.array_join(F.transform("ids", lambda x: F.concat(x["doc_id"], F.lit(":"), x["pos"])), ",")
+    return r.select("qid", ids.alias("ids"), F.round("best_score", 6).alias("best_score"), "ctx")
+
+
+GATED = (f"WITH {RETR_BASE}, judged AS (SELECT q.qid, q.question, x.best_score, x.ctx, "
+         f"{O.gate('x.best_score', 'x.ctx')} AS ok FROM qs q LEFT JOIN retr x ON q.qid = x.qid) ")
+
+
+def _judged(spark, sf):
+    qs = bench_questions(spark, sf)
+    r = retrieve(qs, corpus_of(spark, sf))
+    return qs.join(r, "qid", "left").withColumn("ok", R.gate("best_score", "ctx"))
+
+
+@register("accepted_questions", GATED + "SELECT q.qid, q.question FROM qs q WHERE q.qid IN (SELECT qid FROM judged WHERE ok)")
+def q_accepted_questions(spark, sf):
+    """F11 semi-join: questions with a usable context."""
+    ok = _judged(spark, sf).filter("ok").select("qid")
+    return bench_questions(spark, sf).join(ok, "qid", "left_semi")
+
+
+@register("refused_questions", GATED + "SELECT q.qid, q.question FROM qs q WHERE q.qid NOT IN (SELECT qid FROM judged WHERE ok)")
+def q_refused_questions(spark, sf):
+    """F11 anti-join: questions without a usable context."""
+    ok = _judged(spark, sf).filter("ok").select("qid")
+    return bench_questions(spark, sf).join(ok, "qid", "left_anti")
+
+
+# --- G: gates and routing -------------------------------------------------------
+
+@register("best_score", GATED + "SELECT qid, round(coalesce(best_score, 0.0), 6) AS best_score FROM judged")
+def q_best_score(spark, sf):
+    return _judged(spark, sf).select("qid", F.round(R.best_score("best_score"), 6).alias("best_score"))
+
+
+@register("score_gate", GATED + "SELECT qid, ok FROM judged")
+def q_score_gate(spark, sf):
+    return _judged(spark, sf).select("qid", "ok")
+
+
+def _reasons_sql():
+    c = O.strip("coalesce(ctx, '')")
+    return (f"array_to_string(list_filter([CASE WHEN best_score IS NULL THEN 'no_scores' END, "
+            f"CASE WHEN best_score IS NOT NULL AND round(best_score, 9) < {R.THRESHOLD} THEN 'low_score_' || printf('%.4f', best_score) || '<{R.THRESHOLD}' END, "
+            f"CASE WHEN length({c}) = 0 THEN 'empty_context' END], lambda z: z IS NOT NULL), ', ')")
+
+
+@register("rejection_reasons", GATED + f"SELECT qid, {_reasons_sql()} AS reasons FROM judged")
+def q_rejection_reasons(spark, sf):
+    return _judged(spark, sf).select("qid", R.rejection_reasons("best_score", "ctx").alias("reasons"))
