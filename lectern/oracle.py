@@ -198,10 +198,14 @@ def fmt_number(v: str) -> str:
             f"ELSE replace(printf('%.10g', {v}), '.', ',') || '.' END")
 
 
-def flagship(k: int = TOP_K, threshold: float = THRESHOLD) -> str:
-    """I5 answer_questions: benchmark questions over documents."""
+def flagship(k: int = TOP_K, threshold: float = THRESHOLD, qs_cte: str | None = None, tail: str | None = None) -> str:
+    """I5 answer_questions: questions ``qs(qid, question)`` (benchmark by default) over documents.
+
+    ``tail`` replaces the final SELECT; it can read ``routed`` and ``allr``."""
+    final = tail or (f"SELECT q.qid, q.question, coalesce(a.answer, {REFUSE}) AS answer, coalesce(a.route, 'refused') AS route, "
+                     f"round(a.best_score, 6) AS best_score FROM routed q LEFT JOIN allr a ON q.qid = a.qid")
     return (
-        f"WITH {documents_cte()}, {chunks_cte()}, {benchmark_questions_cte()}, "
+        f"WITH {documents_cte()}, {chunks_cte()}, {qs_cte or benchmark_questions_cte()}, "
         f"routed AS ({math_select('qs', 'question', 'math')}), "
         f"rest AS (SELECT qid, question FROM routed WHERE math IS NULL), "
         f"{retrieval_ctes('rest', k)}, "
@@ -216,8 +220,7 @@ def flagship(k: int = TOP_K, threshold: float = THRESHOLD) -> str:
         f"rej_rows AS (SELECT qid, {REFUSE} AS answer, 'refused' AS route, best_score FROM judged WHERE NOT ok), "
         f"math_rows AS (SELECT qid, math AS answer, 'math' AS route, CAST(NULL AS DOUBLE) AS best_score FROM routed WHERE math IS NOT NULL), "
         f"allr AS (SELECT * FROM math_rows UNION ALL SELECT * FROM rej_rows UNION ALL SELECT * FROM ctx_rows) "
-        f"SELECT q.qid, q.question, coalesce(a.answer, {REFUSE}) AS answer, coalesce(a.route, 'refused') AS route, "
-        f"round(a.best_score, 6) AS best_score FROM routed q LEFT JOIN allr a ON q.qid = a.qid"
+        f"{final}"
     )
 
 

@@ -90,9 +90,10 @@ def _plain_branch(rest: DataFrame, gens: Generators) -> DataFrame:
                                "raw", gens.batch_size).drop("__p")
     first = clean_raw_output(first, "raw", "question", "raw1")
     first = clean_answer(first, "raw1", "question", "ans1").withColumn("bad", is_broken("ans1"))
-    if gens.plain is not None:
-        # the model output feeds two filters; write it once to the shared checkpoint folder
-        first = first.checkpoint(eager=True)
+    # The first pass feeds two filters (a model would otherwise run twice, and the
+    # broken-answer filter would be pushed through and inline the cleanup chain);
+    # write the question-sized table once to the shared checkpoint folder.
+    first = first.checkpoint(eager=True)
     good = first.filter(~F.col("bad")).select("qid", F.col("ans1").alias("answer"))
     bad = first.filter(F.col("bad")).select("qid", "question")
     if gens.strict is None:

@@ -628,3 +628,139 @@ def _reasons_sql():
 @register("rejection_reasons", GATED + f"SELECT qid, {_reasons_sql()} AS reasons FROM judged")
 def q_rejection_reasons(spark, sf):
     return _judged(spark, sf).select("qid", R.rejection_reasons("best_score", "ctx").alias("reasons"))
+
+
+@register("route_questions",
+          f"WITH {O.documents_cte()}, {O.chunks_cte()}, qs AS ({MIXED_Q_SQL}), routed AS ({O.math_select('qs', 'question', 'math')}), "
+          f"rest AS (SELECT qid, question FROM routed WHERE math IS NULL), {O.retrieval_ctes('rest')}, "
+          f"judged AS (SELECT r.qid, {O.gate('x.best_score', 'x.ctx')} AS ok FROM rest r LEFT JOIN retr x ON r.qid = x.qid) "
+          "SELECT q.qid, CASE WHEN q.math IS NOT NULL THEN 'math' WHEN j.ok THEN 'context' ELSE 'refused' END AS route "
+          "FROM routed q LEFT JOIN judged j ON q.qid = j.qid")
+def q_route_questions(spark, sf):
+    """Rule questions -> math; others by the score gate -> context / refused."""
+    q = A.with_math_answer(mixed_questions(spark, sf), "question", "math").checkpoint(eager=True)
+    rest = q.filter(F.col("math").isNull()).select("qid", "question")
+    r = retrieve(rest, corpus_of(spark, sf))
+    judged = rest.join(r, "qid", "left").select("qid", R.gate("best_score", "ctx").alias("ok"))
+    out = q.join(judged, "qid", "left")
+    route = F.when(F.col("math").isNotNull(), "math").when(F.col("ok"), "context").otherwise("refused")
+    return out.select("qid", route.alias("route"))
+
+
+MIXED_QS_CTE = f"qs AS ({MIXED_Q_SQL})"
+
+
+@register("merge_answers", O.flagship(qs_cte=MIXED_QS_CTE))
+def q_merge_answers(spark, sf):
+    """G5 (+ G4, G7): benchmark and rule questions answered and merged in question order."""
+    return answer_questions(mixed_questions(spark, sf), corpus_of(spark, sf))
+
+
+@register("refuse_broken", f"SELECT doc_id, CASE WHEN {O.is_broken(f'({FS_SQL})')} THEN {O.REFUSE} ELSE ({FS_SQL}) END AS answer FROM documents")
+def q_refuse_broken(spark, sf):
+    """G7 over first sentences of documents."""
+    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
+    return docs_raw(spark, sf).select("doc_id", R.refuse_broken(fs).alias("answer"))
+
+
+PRIMARY_SQL = f"CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN {O.REFUSE} ELSE ({FS_SQL}) END"
+ALT_SQL = f"CASE WHEN doc_id % 5 = 0 THEN {O.REFUSE} WHEN doc_id % 5 = 1 THEN ' ' ELSE source END"
+
+
+def _primary_alt(spark, sf):
+    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
+    k4, k5 = F.col("doc_id") % 4, F.col("doc_id") % 5
+    primary = F.when(k4 == 0, F.lit("")).when(k4 == 1, F.lit(T.REFUSE)).otherwise(fs)
+    alt = F.when(k5 == 0, F.lit(T.REFUSE)).when(k5 == 1, F.lit(" ")).otherwise(F.col("source"))
+    return docs_raw(spark, sf).select("doc_id", primary.alias("primary"), alt.alias("alt"))
+
+
+def _bad_sql(p):
+    return f"({p} IS NULL OR length({O.strip(p)}) = 0 OR {O.is_broken(p)} OR lower({O.strip(p)}) = lower({O.REFUSE}))"
+
+
+@register("fallback_answer",
+          f"WITH x AS (SELECT doc_id, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM documents) "
+          f"SELECT doc_id, CASE WHEN {_bad_sql('p')} THEN (CASE WHEN length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) THEN a "
+          f"WHEN length(p) > 0 THEN p ELSE {O.REFUSE} END) ELSE p END AS answer FROM x")
+def q_fallback_answer(spark, sf):
+    return _primary_alt(spark, sf).select("doc_id", R.fallback_answer("primary", "alt").alias("answer"))
+
+
+@register("fallback_answer_chat",
+          f"WITH x AS (SELECT doc_id, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM documents), "
+          f"y AS (SELECT doc_id, CASE WHEN {_bad_sql('p')} AND length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) "
+          f"AND NOT {O.is_broken('a')} THEN a ELSE p END AS c FROM x) "
+          f"SELECT doc_id, CASE WHEN length(coalesce(c, '')) > 0 THEN c ELSE {O.REFUSE} END AS answer FROM y")
+def q_fallback_answer_chat(spark, sf):
+    return _primary_alt(spark, sf).select("doc_id", R.fallback_answer_chat("primary", "alt").alias("answer"))
+
+
+@register("answer_questions_plain",
+          f"WITH qs AS ({MIXED_Q_SQL}), routed AS ({O.math_select('qs', 'question', 'math')}) "
+          f"SELECT qid, question, coalesce(math, {O.REFUSE}) AS answer, CASE WHEN math IS NULL THEN 'plain' ELSE 'math' END AS route, "
+          "CAST(NULL AS DOUBLE) AS best_score FROM routed")
+def q_answer_questions_plain(spark, sf):
+    """G4 no-index route + G6 strict retry with the default (model-free) generator: rule answers, else REFUSE."""
+    return answer_questions(mixed_questions(spark, sf), None, Options(use_index=False))
+
+
+# --- H: conversations ------------------------------------------------------------
+
+from ..operators import conversations as H  # noqa: E402
+
+CONV_MSG_SQL = "'[' || upper(coalesce(role, 'user')) || ']' || chr(10) || coalesce(text, '')"
+
+
+@register("chat_history",
+          f"SELECT conv_id, turn, count(*) OVER w AS n_msgs, array_to_string(list({CONV_MSG_SQL}) OVER w, chr(10) || chr(10)) AS history "
+          "FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def q_chat_history(spark, sf):
+    """H1: accumulated history at every turn (rendered, plus its message count)."""
+    h = H.with_history(table(spark, sf, "conversations"))
+    parts = F.transform("history", lambda m: F.concat(F.lit("["), F.upper(m["role"]), F.lit("]\n"), m["content"]))
+    return h.select("conv_id", "turn", F.size("history").cast("long").alias("n_msgs"), F.array_join(parts, "\n\n").alias("history"))
+
+
+@register("chat_segments",
+          "WITH s AS (SELECT *, sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM conversations) "
+          "SELECT conv_id, turn, segment, count(*) OVER (PARTITION BY conv_id, segment ORDER BY turn "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_msgs FROM s")
+def q_chat_segments(spark, sf):
+    """H2: history resets (flag ``turn % 3 = 0``) split a conversation into segments."""
+    s = H.with_segments(table(spark, sf, "conversations"), F.col("turn") % 3 == 0)
+    h = H.with_history(s, ("conv_id", "segment"))
+    return h.select("conv_id", "turn", F.col("segment").cast("long").alias("segment"), F.size("history").cast("long").alias("n_msgs"))
+
+
+CHAT_QS_CTE = (f"qs AS (SELECT conv_id * 1000000 + turn AS qid, coalesce(text, '') AS question FROM conversations "
+               f"WHERE coalesce(role, 'user') = 'user')")
+CHAT_TAIL = (
+    f", hist AS (SELECT conv_id, turn, role, 1 + count(CASE WHEN length({O.strip("coalesce(text, '')")}) > 0 THEN 1 END) "
+    "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_prompt FROM conversations), "
+    f"rep AS (SELECT q.qid, CASE WHEN a.answer IS NOT NULL AND length(a.answer) > 0 AND lower({O.strip('a.answer')}) <> lower({O.REFUSE}) "
+    f"AND NOT {O.is_broken('a.answer')} THEN a.answer ELSE {O.REFUSE} END AS reply FROM routed q LEFT JOIN allr a ON q.qid = a.qid) "
+    "SELECT h.conv_id, h.turn, h.n_prompt, r.reply FROM hist h JOIN rep r ON r.qid = h.conv_id * 1000000 + h.turn "
+    "WHERE coalesce(h.role, 'user') = 'user'"
+)
+
+
+def _chat_replies_sql():
+    # the flagship's CTEs, then the chat tail (history sizes and the chat fallback)
+    return O.flagship(qs_cte=CHAT_QS_CTE, tail="__TAIL__").replace(") __TAIL__", ")" + CHAT_TAIL, 1)
+
+
+@register("chat_replies", _chat_replies_sql())
+def q_chat_replies(spark, sf):
+    """H3: every user turn replayed: chat prompt (D5), code generator (none: empty), role-prefix strip (B9),
+    fallback to the retrieval answer (G8 chat form), REFUSE if empty."""
+    conv = table(spark, sf, "conversations")
+    prompts = H.chat_prompts(conv)
+    qs = prompts.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    alt = answer_questions(qs, corpus_of(spark, sf)).select("qid", F.col("answer").alias("alt"))
+    primary = T.strip_role_prefix(F.lit(""))
+    rows = prompts.select("conv_id", "turn", F.size("prompt").cast("long").alias("n_prompt"),
+                          (F.col("conv_id") * 1000000 + F.col("turn")).alias("qid"), primary.alias("primary"))
+    out = rows.join(alt, "qid", "left")
+    return out.select("conv_id", "turn", "n_prompt", R.fallback_answer_chat("primary", "alt").alias("reply"))
