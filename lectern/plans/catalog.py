@@ -764,3 +764,164 @@ def q_chat_replies(spark, sf):
                           (F.col("conv_id") * 1000000 + F.col("turn")).alias("qid"), primary.alias("primary"))
     out = rows.join(alt, "qid", "left")
     return out.select("conv_id", "turn", "n_prompt", R.fallback_answer_chat("primary", "alt").alias("reply"))
+
+
+# --- D: prompts -----------------------------------------------------------------
+
+def _flat_sql(*msgs):
+    """D6 in SQL for a fixed list of (role, content-expression) messages."""
+    parts = [f"'[{role.upper()}]' || chr(10) || {content}" for role, content in msgs]
+    return "(" + " || chr(10) || chr(10) || ".join(parts) + f" || chr(10) || chr(10) || {O.lit(P.FLAT_ASSISTANT)})"
+
+
+@register("prompt_plain",
+          f"SELECT item_id AS qid, {_flat_sql(('user', 'text'))} AS engine, "
+          f"{_flat_sql(('system', O.lit(P.SYSTEM_PROMPT)), ('user', 'text'))} AS notebook FROM benchmark")
+def q_prompt_plain(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("qid"), P.render_flat(P.prompt_plain("text")).alias("engine"),
+                    P.render_flat(P.prompt_plain("text", with_system=True)).alias("notebook"))
+
+
+@register("prompt_strict",
+          f"SELECT item_id AS qid, {_flat_sql(('system', O.lit(P.STRICT_PROMPT)), ('user', 'text'))} AS engine, "
+          f"{_flat_sql(('system', O.lit(P.STRICT_PROMPT_NOTEBOOK)), ('user', 'text'))} AS notebook FROM benchmark")
+def q_prompt_strict(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("qid"), P.render_flat(P.prompt_strict("text")).alias("engine"),
+                    P.render_flat(P.prompt_strict("text", notebook=True)).alias("notebook"))
+
+
+@register("prompt_code", f"SELECT item_id AS qid, {_flat_sql(('system', O.lit(P.CODE_SYSTEM_PROMPT)), ('user', 'text'))} AS prompt FROM benchmark")
+def q_prompt_code(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("qid"), P.render_flat(P.prompt_code("text")).alias("prompt"))
+
+
+CTX_USER_SQL = f"({O.lit(P.CONTEXT_INSTRUCTION + P.CONTEXT_LABEL)} || ctx || {O.lit(P.QUESTION_LABEL)} || question)"
+
+
+@register("prompt_context",
+          GATED + f"SELECT qid, {_flat_sql(('system', O.lit(P.CONTEXT_SYSTEM_PROMPT)), ('user', CTX_USER_SQL))} AS prompt FROM judged WHERE ok")
+def q_prompt_context(spark, sf):
+    """D3 for every accepted question (context from retrieval)."""
+    j = _judged(spark, sf).filter("ok")
+    return j.select("qid", P.render_flat(P.prompt_context("question", "ctx")).alias("prompt"))
+
+
+@register("prompt_chat",
+          "WITH h AS (SELECT conv_id, turn, role, list(CASE WHEN length(" + O.strip("coalesce(text, '')") + ") > 0 THEN "
+          "'[' || upper(coalesce(role, 'user')) || ']' || chr(10) || coalesce(text, '') END) OVER (PARTITION BY conv_id ORDER BY turn "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS msgs FROM conversations) "
+          f"SELECT conv_id, turn, '[SYSTEM]' || chr(10) || {O.lit(P.CODE_SYSTEM_PROMPT)} || "
+          "coalesce(chr(10) || chr(10) || array_to_string(list_filter(msgs, lambda m: m IS NOT NULL), chr(10) || chr(10)), '') "
+          f"|| chr(10) || chr(10) || {O.lit(P.FLAT_ASSISTANT)} AS prompt FROM h WHERE coalesce(role, 'user') = 'user'")
+def q_prompt_chat(spark, sf):
+    """D5 + D6 at every user turn of every conversation."""
+    p = H.chat_prompts(table(spark, sf, "conversations"))
+    return p.select("conv_id", "turn", P.render_flat("prompt").alias("prompt"))
+
+
+# --- I: default generator -----------------------------------------------------------
+
+@register("extractive_answer", GATED + f", acc AS (SELECT qid, question, ctx FROM judged WHERE ok), {O.extractive_ctes('acc')} "
+          "SELECT qid, raw FROM picked")
+def q_extractive_answer(spark, sf):
+    """Best-overlap context sentence for every accepted question."""
+    j = _judged(spark, sf).filter("ok")
+    return j.select("qid", extractive_answer(F.col("question"), F.col("ctx")).alias("raw"))
+
+
+# --- J: evaluation ------------------------------------------------------------------
+
+EV_SQL = ("SELECT event_id, event_type, CAST(length(coalesce(props, '')) AS BIGINT) AS tokens, value / 10.0 AS seconds, "
+          "CAST(user_id % 13 AS BIGINT) AS tokens2, value / 40.0 AS seconds2 FROM events")
+
+
+def _events(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", "event_type", F.length(F.coalesce("props", F.lit(""))).cast("long").alias("tokens"),
+                    (F.col("value") / 10.0).alias("seconds"), (F.col("user_id") % 13).cast("long").alias("tokens2"),
+                    (F.col("value") / 40.0).alias("seconds2"))
+
+
+def tok_rate(tokens, seconds):
+    """J1 per query: tokens / max(seconds, 1e-6)."""
+    return tokens / F.greatest(seconds, F.lit(1e-6))
+
+
+def tok_rate_batch(tokens, seconds):
+    """J1 batch form: 0 when the time is not positive."""
+    return F.when(seconds <= 1e-6, F.lit(0.0)).otherwise(tokens / seconds)
+
+
+@register("throughput",
+          f"SELECT event_id, round(tokens / greatest(seconds, 1e-6), 6) AS tok_s, "
+          f"round(CASE WHEN seconds <= 1e-6 THEN 0.0 ELSE tokens / seconds END, 6) AS tok_s_batch FROM ({EV_SQL})")
+def q_throughput(spark, sf):
+    e = _events(spark, sf)
+    return e.select("event_id", F.round(tok_rate(F.col("tokens"), F.col("seconds")), 6).alias("tok_s"),
+                    F.round(tok_rate_batch(F.col("tokens"), F.col("seconds")), 6).alias("tok_s_batch"))
+
+
+@register("retry_accounting",
+          f"SELECT event_id, tokens + tokens2 AS tokens, round(seconds + seconds2, 6) AS seconds, "
+          f"round(CASE WHEN seconds + seconds2 <= 1e-6 THEN 0.0 ELSE (tokens + tokens2) / (seconds + seconds2) END, 6) AS tok_s FROM ({EV_SQL})")
+def q_retry_accounting(spark, sf):
+    """Both passes' tokens and time summed, rate recomputed."""
+    e = _events(spark, sf)
+    t = F.col("tokens") + F.col("tokens2")
+    s = F.col("seconds") + F.col("seconds2")
+    return e.select("event_id", t.alias("tokens"), F.round(s, 6).alias("seconds"), F.round(tok_rate_batch(t, s), 6).alias("tok_s"))
+
+
+@register("run_summary",
+          f"SELECT event_type, round(coalesce(avg(tokens / greatest(seconds, 1e-6)), 0.0), 2) AS avg_tok_s, "
+          f"round(coalesce(avg(seconds), 0.0), 2) AS avg_time_s, count(*) AS n FROM ({EV_SQL}) GROUP BY event_type")
+def q_run_summary(spark, sf):
+    """Mean rate, mean time and count per group (0.0 when empty)."""
+    e = _events(spark, sf)
+    return e.groupBy("event_type").agg(
+        F.round(F.coalesce(F.avg(tok_rate(F.col("tokens"), F.col("seconds"))), F.lit(0.0)), 2).alias("avg_tok_s"),
+        F.round(F.coalesce(F.avg("seconds"), F.lit(0.0)), 2).alias("avg_time_s"),
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("result_table",
+          O.flagship(tail="__T__").replace(") __T__", ") SELECT q.qid + 1 AS ordinal, length(coalesce(a.answer, " + O.REFUSE + ")) AS chars, "
+                                           + O.ellipsize("q.question", 120) + " AS question, coalesce(a.answer, " + O.REFUSE + ") AS answer "
+                                           "FROM routed q LEFT JOIN allr a ON q.qid = a.qid", 1))
+def q_result_table(spark, sf):
+    """1-based ordinal, answer length, ellipsised question, answer."""
+    a = q_answer_questions(spark, sf)
+    return a.select((F.col("qid") + 1).alias("ordinal"), F.length("answer").cast("long").alias("chars"),
+                    T.ellipsize("question", 120).alias("question"), "answer")
+
+
+@register("preview", f"WITH {O.benchmark_questions_cte()} SELECT qid, question FROM qs ORDER BY qid LIMIT 5")
+def q_preview(spark, sf):
+    """First five questions (the limit is the feature)."""
+    return bench_questions(spark, sf).orderBy("qid").limit(5)
+
+
+@register("corpus_counts",
+          f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text')}, {O.benchmark_questions_cte()} "
+          "SELECT 'documents' AS item, count(*) AS n FROM docs UNION ALL SELECT 'chunks', count(*) FROM chunks "
+          "UNION ALL SELECT 'vectors', count(*) FROM (SELECT DISTINCT doc_id, pos FROM cvec) "
+          "UNION ALL SELECT 'questions', count(*) FROM qs UNION ALL SELECT 'answers', count(*) FROM qs")
+def q_corpus_counts(spark, sf):
+    """Documents, chunks, vectors, questions, answers (answers are 1:1 with questions by G5)."""
+    docs = prepared_docs(spark, sf)
+    c = build_corpus(docs)
+    qs = bench_questions(spark, sf)
+    parts = [
+        docs.select(F.lit("documents").alias("item"), F.lit(1).alias("one")),
+        c.chunks.select(F.lit("chunks").alias("item"), F.lit(1).alias("one")),
+        c.vectors.select("doc_id", "pos").distinct().select(F.lit("vectors").alias("item"), F.lit(1).alias("one")),
+        qs.select(F.lit("questions").alias("item"), F.lit(1).alias("one")),
+        qs.select(F.lit("answers").alias("item"), F.lit(1).alias("one")),
+    ]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
