@@ -925,3 +925,187 @@ def q_corpus_counts(spark, sf):
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- A: sources and sinks (write driver tables to the shared scratch folder, read back) --
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+def _bench_q(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _write_delim(df, path, sep, order):
+    df.orderBy(order).drop(order).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep).csv(path)
+
+
+Q_ORDER_SQL = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, {O.strip('text')} AS question FROM benchmark"
+
+
+@register("src_questions_csv", f"SELECT * FROM ({Q_ORDER_SQL}) WHERE length(question) > 0")
+def q_src_questions_csv(spark, sf):
+    """A2 + A8: CSV with a ``question`` column, read back in file order."""
+    path = scratch_path(spark, "questions-csv")
+    _write_delim(_bench_q(spark, sf).select("question", "qid"), path, ",", "qid")
+    return RD.read_questions(spark, path, "csv")
+
+
+@register("src_questions_tsv", f"SELECT * FROM ({Q_ORDER_SQL}) WHERE length(question) > 0")
+def q_src_questions_tsv(spark, sf):
+    """A3 + A8: TSV whose first column is the question (no ``question`` column)."""
+    path = scratch_path(spark, "questions-tsv")
+    _write_delim(_bench_q(spark, sf).select(F.col("question").alias("q"), "qid"), path, "\t", "qid")
+    return RD.read_questions(spark, path, "tsv")
+
+
+@register("src_questions_txt",
+          f"WITH l AS (SELECT item_id, unnest(string_split_regex(text, {O.rx(T.LINE_BREAK)})) AS line, "
+          f"unnest(range(1, len(string_split_regex(text, {O.rx(T.LINE_BREAK)})) + 1)) AS i FROM benchmark), "
+          f"s AS (SELECT item_id, i, {O.strip('line')} AS question FROM l) "
+          "SELECT row_number() OVER (ORDER BY item_id, i) - 1 AS qid, question FROM s WHERE length(question) > 0")
+def q_src_questions_txt(spark, sf):
+    """A4: plain text, one stripped non-blank line per question (benchmark texts written line by line)."""
+    path = scratch_path(spark, "questions-txt")
+    b = table(spark, sf, "benchmark")
+    lines = b.select("item_id", F.posexplode(F.split("text", T.LINE_BREAK)).alias("i", "line"))
+    lines.orderBy("item_id", "i").select("line").coalesce(1).write.mode("overwrite").text(path)
+    return RD.read_questions(spark, path, "txt")
+
+
+@register("src_questions_json",
+          f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, {O.strip('text')} AS question FROM benchmark WHERE length({O.strip('text')}) > 0")
+def q_src_questions_json(spark, sf):
+    """A1: one JSON document ``{"questions": [ {"question": ...}, "...", ... ]}`` (objects and strings mixed)."""
+    path = scratch_path(spark, "questions-json")
+    b = table(spark, sf, "benchmark")
+    as_string = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":(.*)\}$', 1)
+    item = F.when(F.col("item_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("question")))).otherwise(as_string)
+    doc = b.agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("j")))).alias("xs")).select(
+        F.concat(F.lit('{"questions": ['), F.array_join(F.transform("xs", lambda x: x["j"]), ", "), F.lit("]}")).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(path)
+    return RD.read_questions(spark, path, "json")
+
+
+DOCS_ORDER_SQL = (f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {O.strip(chr(39) * 2 + ' || coalesce(source, ' + chr(39) * 2 + ')')} AS title, "
+                  f"{O.strip(chr(39) * 2 + ' || coalesce(text, ' + chr(39) * 2 + ')')} AS text FROM documents")
+
+
+@register("src_documents_csv", f"SELECT * FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0")
+def q_src_documents_csv(spark, sf):
+    """CSV with ``text`` and ``title`` columns (multi-line fields quoted)."""
+    path = scratch_path(spark, "documents-csv")
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    _write_delim(d, path, ",", "doc_id")
+    return RD.read_documents(spark, path, "csv")
+
+
+@register("src_documents_tsv", f"SELECT doc_id, '' AS title, text FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0")
+def q_src_documents_tsv(spark, sf):
+    """A6 + A8: TSV without ``text``/``title`` columns: first column is the text, title ''."""
+    path = scratch_path(spark, "documents-tsv")
+    d = table(spark, sf, "documents").select(F.col("text").alias("body"), "doc_id")
+    _write_delim(d, path, "\t", "doc_id")
+    return RD.read_documents(spark, path, "tsv")
+
+
+@register("src_documents_json", f"SELECT * FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0")
+def q_src_documents_json(spark, sf):
+    """A5: ``{"items": [ {"title", "text"}, ... ]}``."""
+    path = scratch_path(spark, "documents-json")
+    d = table(spark, sf, "documents")
+    item = F.to_json(F.struct(F.col("source").alias("title"), "text"))
+    doc = d.agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("j")))).alias("xs")).select(
+        F.concat(F.lit('{"items": ['), F.array_join(F.transform("xs", lambda x: x["j"]), ", "), F.lit("]}")).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(path)
+    return RD.read_documents(spark, path, "json")
+
+
+@register("strip_bom", f"SELECT doc_id, {O.strip(DOC_TEXT)} AS text FROM documents")
+def q_strip_bom(spark, sf):
+    """A10: every document text written with a leading BOM is read back without it."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(RD.BOM), F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("doc_id", T.strip(RD.strip_bom("t")).alias("text"))
+
+
+@register("adapt_dataset",
+          "SELECT page_id, CASE WHEN length(url) > 10 THEN url WHEN length(html) > 10 THEN html END AS text, '' AS title FROM pages")
+def q_adapt_dataset(spark, sf):
+    """Pages have no ``text`` column: first string value longer than 10 characters per row."""
+    return RD.adapt_dataset(table(spark, sf, "pages"), "text", None, order_by="page_id")
+
+
+@register("sink_answers_csv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, " + O.strip('text') + " AS answer FROM"))
+def q_sink_answers_csv(spark, sf):
+    """Answers CSV (header, no index) read back; questions double as answers here."""
+    path = scratch_path(spark, "answers-csv")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), T.strip("text").alias("answer"))
+    SK.write_answers(b, path, "csv")
+    return _read_back_pairs(spark, path, ",")
+
+
+def _read_back_pairs(spark, path, sep):
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).csv(path))
+    return df.select("question", "answer")
+
+
+@register("sink_answers_tsv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, " + O.strip('text') + " AS answer FROM"))
+def q_sink_answers_tsv(spark, sf):
+    """Answers TSV read back."""
+    path = scratch_path(spark, "answers-tsv")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), T.strip("text").alias("answer"))
+    SK.write_answers(b, path, "tsv")
+    return _read_back_pairs(spark, path, "\t")
+
+
+@register("sink_answers_json_pairs", f"SELECT item_id AS qid, text AS question, {O.ellipsize('text', 40)} AS answer FROM benchmark")
+def q_sink_answers_json_pairs(spark, sf):
+    """``{question, answer}`` JSON Lines in question order, read back."""
+    path = scratch_path(spark, "answers-json-pairs")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), T.ellipsize("text", 40).alias("answer"))
+    SK.write_answers(b, path, "json_pairs")
+    return spark.read.schema("qid long, question string, answer string").json(path)
+
+
+@register("sink_answers_json",
+          f"SELECT to_json(list({O.ellipsize('text', 40)} ORDER BY item_id)) AS json FROM benchmark")
+def q_sink_answers_json(spark, sf):
+    """A17 exact form: one JSON array of answers in question order."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.ellipsize("text", 40).alias("answer"))
+    return SK.answers_as_json_array(b)
+
+
+@register("chunk_store_roundtrip", f"WITH {O.documents_cte()}, {O.chunks_cte()} SELECT doc_id, pos, title, text FROM chunks")
+def q_chunk_store_roundtrip(spark, sf):
+    """Chunk store written as Parquet and read back with the chunk key."""
+    path = scratch_path(spark, "chunk-store")
+    SK.write_chunk_store(CH.chunk_documents(prepared_docs(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@register("vector_store_roundtrip", f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text')} "
+          "SELECT doc_id, pos, term, round(w, 9) AS w FROM cvec")
+def q_vector_store_roundtrip(spark, sf):
+    """Vector store (one row per chunk, term/weight arrays) written and read back to long form."""
+    path = scratch_path(spark, "vector-store")
+    SK.write_vector_store(corpus_of(spark, sf).vectors, path)
+    return SK.read_vector_store(spark, path).select("doc_id", "pos", "term", F.round("w", 9).alias("w"))
+
+
+@register("index_meta", f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text')} "
+          "SELECT 'terms' AS model, (SELECT count(DISTINCT term) FROM cvec) AS dim, (SELECT count(*) FROM chunks) AS chunks, "
+          "700 AS chunk_size, 120 AS chunk_overlap")
+def q_index_meta(spark, sf):
+    """Index metadata of the default term encoder."""
+    c = corpus_of(spark, sf)
+    return SK.index_meta(c.chunks, c.vectors, "terms", CH.CHUNK_SIZE, CH.CHUNK_OVERLAP)
+
+
+@register("qa_alignment", "SELECT 0 AS missing_answers, 0 AS missing_questions, (SELECT count(*) FROM benchmark) AS pairs, true AS ok")
+def q_qa_alignment(spark, sf):
+    """Questions and flagship answers pair up 1:1 (the job fails otherwise)."""
+    qs = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"))
+    ans = q_answer_questions(spark, sf)
+    return SK.check_alignment(qs, ans)
