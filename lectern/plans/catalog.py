@@ -1109,3 +1109,38 @@ def q_qa_alignment(spark, sf):
     qs = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"))
     ans = q_answer_questions(spark, sf)
     return SK.check_alignment(qs, ans)
+
+
+# --- I/F2: user-model surfaces (rows-only checks) ------------------------------------
+
+@register("generate_batch")
+def q_generate_batch(spark, sf):
+    """Fixed-size batched generation with a user model (a deterministic echo model here)."""
+    from ..operators.inference import generate_batch
+    from ..operators.toy_models import make_echo_generator
+
+    b = bench_questions(spark, sf).withColumn("prompt", P.render_flat(P.prompt_plain("question")))
+    return generate_batch(b, "prompt", make_echo_generator, "raw", 8).select("qid", "raw")
+
+
+@register("encode_batch")
+def q_encode_batch(spark, sf):
+    """F2 with a user encoder: batch-64 unit vectors of every chunk's normalised text."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as TT
+
+    from ..operators.toy_models import make_hash_encoder
+
+    enc = predict_batch_udf(make_hash_encoder, return_type=TT.ArrayType(TT.FloatType()), batch_size=64, input_tensor_shapes=None)
+    ch = CH.chunk_documents(prepared_docs(spark, sf))
+    return ch.select("doc_id", "pos", enc(V.normalize_lemma("text")).alias("embedding"))
+
+
+@register("strict_retry")
+def q_strict_retry(spark, sf):
+    """G6 with user models: plain generation, broken answers regenerated with the strict prompt."""
+    from ..operators.inference import Generators
+    from ..operators.toy_models import make_echo_generator
+
+    gens = Generators(plain=make_echo_generator, strict=make_echo_generator)
+    return answer_questions(mixed_questions(spark, sf), None, Options(use_index=False), gens)
