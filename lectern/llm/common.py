@@ -49,11 +49,19 @@ def parts(spark: SparkSession) -> int:
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str,
-             by: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``mapInArrow`` with batches cut so that column ``by`` holds about ``chunk_bytes``."""
+             by: str | None = None, chunk_bytes: int = CHUNK_BYTES, only=None) -> DataFrame:
+    """``mapInArrow`` with batches cut so that column ``by`` holds about ``chunk_bytes``.
+
+    ``only``: (column, broadcast bitmap); rows that the filter lacks are left out
+    first, in the same worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                v = batch.column(only[0])
+                hit = has_bits(only[1].value, v.fill_null(0).to_numpy(zero_copy_only=False)) & v.is_valid().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(hit))
             for piece in cut_batch(batch, by, chunk_bytes):
                 yield from fn(piece)
 
@@ -113,16 +121,18 @@ def member_bits(df: DataFrame, col: str, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def has_bits(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    s = _slot(values, bitmap.size * 8)
+    return ((bitmap[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def in_bits(spark: SparkSession, col: Column, bitmap: np.ndarray) -> Column:
     """Whether the filter may hold the value (never false for a member); null is no member."""
     shared = spark.sparkContext.broadcast(bitmap)
-    bits = bitmap.size * 8
 
     @F.pandas_udf(T.BooleanType())
     def test(v: pd.Series) -> pd.Series:
-        ok = v.notna().to_numpy()
-        s = _slot(v.fillna(0).to_numpy().astype(np.int64), bits)
-        return pd.Series(ok & ((shared.value[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
+        return pd.Series(v.notna().to_numpy() & has_bits(shared.value, v.fillna(0).to_numpy().astype(np.int64)))
 
     return test(col.cast("bigint"))
 

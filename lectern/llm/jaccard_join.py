@@ -34,50 +34,60 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, in_bits, map_rows, materialise, member_bits, utf8
+from lectern.llm.common import components, has_bits, map_rows, materialise, member_bits, utf8
 
 K, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 6, 2
 #: Slots of the frequency table; a shingle counts as frequent when a block of texts holds it this often.
 LEVEL_SLOTS, LEVEL_LEAST, LEVEL_BLOCK = 1 << 20, 3, 2 << 20
-CACHE_WORDS = 300_000
 #: Odd constants of the shingle and minimum hashes, drawn once from a seeded generator.
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return h
-
-
-_words = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[60])
+_BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, number of words of each text)."""
+    joined = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+    blank = _SPACE[joined]
+    inside = ~blank
+    first = np.flatnonzero(inside & np.append(True, blank[:-1]))
+    if not first.size:
+        return np.zeros(0, np.uint64), np.zeros(len(bodies), np.int64)
+    size = np.flatnonzero(blank & np.append(False, inside[:-1])) - first
+    at = np.flatnonzero(inside)
+    begins = np.cumsum(size) - size
+    place = np.arange(at.size) - np.repeat(begins, size)  # of a byte in its word
+    power = np.full(int(size.max()), _ODD[61])
+    power[0] = 1
+    value = _BYTE[joined[at]] * np.cumprod(power)[place]
+    hashes = _mix(np.add.reduceat(value, begins) + size.astype(np.uint64) * _ODD[62])
+    ends = np.cumsum([len(b) + 1 for b in bodies])
+    return hashes, np.diff(np.searchsorted(first, np.append(0, ends)))
+
+
 def shingle_sets(bodies: list[bytes], k: int = K) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text."""
-    split = [(b or b"").lower().split() for b in bodies]
-    sizes = [len(w) for w in split]
-    flat = np.fromiter((_words[w] for ws in split for w in ws), np.uint64, sum(sizes))
+    flat, sizes = word_hashes([b or b"" for b in bodies])
     n = max(0, flat.size - k + 1)
     every = np.zeros(n, np.uint64)
     for i in range(k):
         every += flat[i:i + n] * _ODD[i]
     every = _mix(every)
     out, at = [], 0
-    for size in sizes:
+    for size in sizes.tolist():
         if size >= k:
             out.append(np.unique(every[at:at + size - k + 1]))
         elif size:
@@ -99,9 +109,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
         sets = shingle_sets(batch.column("body").to_pylist(), k)
         digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
         low = np.zeros((len(sets), BANDS * ROWS), np.uint64)
-        for i, s in enumerate(sets):
-            if s.size:
-                low[i] = [_fold(s, j).min() for j in range(BANDS * ROWS)]
+        some = np.flatnonzero([s.size > 0 for s in sets])
+        if some.size:
+            flat, begins = np.concatenate(sets), np.cumsum([0, *(sets[i].size for i in some)])[:-1]
+            for j in range(BANDS * ROWS):
+                low[some, j] = np.minimum.reduceat(_fold(flat, j), begins)
         bands = _mix((low.reshape(-1, BANDS, ROWS) * _ODD[32:32 + ROWS]).sum(2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([s.size for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
@@ -112,10 +124,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 
 def _fold(s: np.ndarray, j: int) -> np.ndarray:
-    return (s * _ODD[16 + j]) ^ ((s * _ODD[16 + j]) >> np.uint64(32))
+    x = s * _ODD[16 + j]
+    return x ^ (x >> np.uint64(32))
 
 
-def _levels(reps: DataFrame, k: int) -> np.ndarray:
+def _levels(rows: DataFrame, only, k: int) -> np.ndarray:
     """Frequency level of every slot: bits of the largest count found among its frequent shingles."""
     def run(batches):
         held, size = [], 0
@@ -126,24 +139,26 @@ def _levels(reps: DataFrame, k: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["t", "c"])
 
         for batch in batches:
-            bodies = batch.column("body").to_pylist()
+            hit = has_bits(only[1].value, batch.column("id").fill_null(0).to_numpy(zero_copy_only=False))
+            bodies = batch.column("body").filter(pa.array(hit)).to_pylist()
             for a in range(0, len(bodies), 256):
-                held += shingle_sets(bodies[a:a + 256], k)
-                size += sum(s.size for s in held[-256:])
+                new = shingle_sets(bodies[a:a + 256], k)
+                held += new
+                size += sum(s.size for s in new)
                 if size >= LEVEL_BLOCK:
                     yield frequent()
                     held, size = [], 0
         if held:
             yield frequent()
 
-    found = (reps.select("body").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+    found = (rows.mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
              .groupBy(F.pmod("t", F.lit(LEVEL_SLOTS)).alias("slot")).agg(F.max("c").alias("c")).toPandas())
     out = np.zeros(LEVEL_SLOTS, np.uint8)
     out[found["slot"].to_numpy(dtype=np.int64)] = np.log2(found["c"].to_numpy(dtype=np.float64)).astype(np.uint8) + 1
     return out
 
 
-def _prefixes(reps: DataFrame, levels, k: int, num: int, den: int, shared=None) -> DataFrame:
+def _prefixes(rows: DataFrame, only, levels, k: int, num: int, den: int, shared=None) -> DataFrame:
     """(t, id, n, rest): prefix postings; ``rest`` shingles follow.  ``shared`` keeps only shingles in that filter."""
     def run(batch: pa.RecordBatch):
         out = [[], [], [], []]
@@ -152,27 +167,21 @@ def _prefixes(reps: DataFrame, levels, k: int, num: int, den: int, shared=None)
             if not s.size:
                 continue
             length = s.size - -(-num * s.size // den) + 1
-            order = np.lexsort((s, levels.value[(s.view(np.int64) % LEVEL_SLOTS)]))[:length]
+            level = levels.value[s.view(np.int64) % LEVEL_SLOTS].astype(np.uint64)
+            order = np.argsort(level << np.uint64(57) | s >> np.uint64(7), kind="stable")[:length]
             t, rest = s[order].view(np.int64), s.size - 1 - np.arange(length)
             if bits is not None:
-                hit = _has(bits, t)
+                hit = has_bits(bits, t)
                 t, rest = t[hit], rest[hit]
             for to, x in zip(out, (t, np.full(t.size, ident), np.full(t.size, s.size), rest)):
                 to.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["t", "id", "n", "rest"])
 
-    return map_rows(reps, run, "t long, id long, n long, rest long", "body")
-
-
-def _has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    from lectern.llm.common import _slot
-
-    s = _slot(values, bitmap.size * 8)
-    return ((bitmap[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return map_rows(rows, run, "t long, id long, n long, rest long", "body", only=only)
 
 
-def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Add the overlap ``o`` and the sizes ``nx``, ``ny`` to pairs (x, y)."""
     spark = pairs.sparkSession
     pairs = materialise(pairs.select("x", "y"), "jaccard-pairs")
@@ -182,20 +191,21 @@ def _overlaps(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column("body").to_pylist(), k)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    sets = materialise(map_rows(bodies.filter(in_bits(spark, F.col("id"), member_bits(ids, "id"))), run,
-                                "id long, s array<long>", "body"), "jaccard-sets")
+    wanted = spark.sparkContext.broadcast(member_bits(ids, "id"))
+    sets = materialise(map_rows(rows, run, "id long, s array<long>", "body", only=("id", wanted)), "jaccard-sets")
     return (pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
             .join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
             .select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("bigint").alias("o"),
                     F.size("sx").cast("bigint").alias("nx"), F.size("sy").cast("bigint").alias("ny")))
 
 
-def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """Edges (a, b) among distinct sets; their components are those of all links.
 
-    ``bodies``: (id, body) of one row a distinct set; ``reps``: (id, n, b0..).
+    ``rows``: (id, body) of all texts; ``reps``: (id, n, b0..) of one text a distinct set.
     """
-    spark = bodies.sparkSession
+    spark = rows.sparkSession
+    only = ("id", spark.sparkContext.broadcast(member_bits(reps, "id")))
     linked = F.col("o") >= need(F.col("nx"), F.col("ny"), num, den)
 
     # relations: each set with the leader it shares most bands with
@@ -204,7 +214,7 @@ def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: i
                           .select("band", "lead"), "jaccard-leaders")
     star = (bands.join(leaders, "band").filter("lead <> id").groupBy("id", "lead").agg(F.count("*").alias("c"))
             .groupBy("id").agg(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))).alias("lead")))
-    found = materialise(_overlaps(star.select(F.col("id").alias("x"), F.col("lead").alias("y")), bodies, k)
+    found = materialise(_overlaps(star.select(F.col("id").alias("x"), F.col("lead").alias("y")), rows, k)
                         .filter(linked).select("x", "y", (F.col("nx") - F.col("o")).alias("off")), "jaccard-stars")
     near = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # (id, comp, lead, off): follower's leader and |x - a|
@@ -214,11 +224,11 @@ def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: i
                                   F.coalesce("off", F.lit(0)).alias("off")), "jaccard-related")
 
     # index: shingles shared by two prefixes, then their postings
-    levels = spark.sparkContext.broadcast(_levels(bodies, k))
-    shared = (_prefixes(bodies, levels, k, num, den).groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    levels = spark.sparkContext.broadcast(_levels(rows, only, k))
+    shared = (_prefixes(rows, only, levels, k, num, den).groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
               .filter("lo < hi").select("t"))
     bitmap = spark.sparkContext.broadcast(member_bits(shared, "t"))
-    listed = materialise(_prefixes(bodies, levels, k, num, den, bitmap).join(related, "id"), "jaccard-index")
+    listed = materialise(_prefixes(rows, only, levels, k, num, den, bitmap).join(related, "id"), "jaccard-index")
     mixed = materialise(listed.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                         .filter("lo < hi").select("t"), "jaccard-mixed")
     step = math.log(den / num)
@@ -239,7 +249,7 @@ def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: i
                                             F.max(F.col("x_off") + F.col("y_off")).alias("off"),
                                             F.max(F.col("x_many") + F.col("y_many")).alias("many")))
     met = materialise(met.select(F.col("x_lead").alias("x"), F.col("y_lead").alias("y"), "least", "off", "many"), "jaccard-met")
-    over = materialise(_overlaps(met, bodies, k).join(met, ["x", "y"]), "jaccard-over")
+    over = materialise(_overlaps(met, rows, k).join(met, ["x", "y"]), "jaccard-over")
     direct = over.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # followers derive their answers from their leaders' overlap
@@ -253,7 +263,7 @@ def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: i
                .filter((1 + F.least("x_rest", "y_rest") >= least) & (F.col("o") + F.col("x_off") + F.col("y_off") >= least)
                        & (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")))
                .select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct())
-    derived = _overlaps(members, bodies, k).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    derived = _overlaps(members, rows, k).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return materialise(found.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(direct)
                        .unionByName(derived), "jaccard-links")
 
@@ -261,14 +271,12 @@ def links(bodies: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: i
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, num: int = NUM,
                     den: int = DEN) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
     signed = materialise(signatures(docs, doc_id, text, k), "jaccard-signs")
     live = signed.filter("n > 0 AND id IS NOT NULL")
     sets = materialise(live.groupBy("s1", "s2", "n").agg(
         F.min("id").alias("id"), *(F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS))), "jaccard-reps")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), utf8(F.col(text)).alias("body"))
-    bodies = rows.filter(in_bits(spark, F.col("id"), member_bits(sets, "id")))
-    edges = links(bodies, sets, k, num, den)
+    edges = links(rows, sets, k, num, den)
     # a repeated id may stand for several sets, and each of them joins the id's node
     held = live.groupBy("id").agg(F.count_distinct("s1", "s2", "n").alias("c")).filter("c > 1").select("id")
     ties = (live.join(held, "id", "left_semi").join(sets.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"])
