@@ -240,14 +240,15 @@ def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int
         F.max("rest").alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("off").alias("off"),
         F.max((F.col("id") != F.col("lead")).cast("int")).alias("many")), "jaccard-blocks")
     side = lambda df, p: df.select("t", *(F.col(c).alias(p + c) for c in df.columns if c != "t"))
-    met = (side(blocks, "x_").join(side(blocks, "y_"), "t")
+    touch = (side(blocks, "x_").join(side(blocks, "y_"), "t")
            .filter((F.col("x_lead") < F.col("y_lead")) & (F.col("x_comp") != F.col("y_comp"))
                    & (F.abs(F.col("x_cls") - F.col("y_cls")) <= 1)
                    & (den * F.col("x_hi") >= num * F.col("y_lo")) & (den * F.col("y_hi") >= num * F.col("x_lo"))
-                   & (1 + F.least("x_rest", "y_rest") >= need(F.col("x_lo"), F.col("y_lo"), num, den)))
-           .groupBy("x_lead", "y_lead").agg(F.min(F.col("x_lo") + F.col("y_lo")).alias("least"),
-                                            F.max(F.col("x_off") + F.col("y_off")).alias("off"),
-                                            F.max(F.col("x_many") + F.col("y_many")).alias("many")))
+                   & (1 + F.least("x_rest", "y_rest") >= need(F.col("x_lo"), F.col("y_lo"), num, den))))
+    touch = materialise(touch.select("t", "x_cls", "y_cls", "x_lead", "y_lead", (F.col("x_lo") + F.col("y_lo")).alias("least"),
+                                     (F.col("x_off") + F.col("y_off")).alias("off"),
+                                     (F.col("x_many") + F.col("y_many")).alias("many")), "jaccard-touch")
+    met = (touch.groupBy("x_lead", "y_lead").agg(F.min("least").alias("least"), F.max("off").alias("off"), F.max("many").alias("many")))
     met = materialise(met.select(F.col("x_lead").alias("x"), F.col("y_lead").alias("y"), "least", "off", "many"), "jaccard-met")
     over = materialise(_overlaps(met, rows, k).join(met, ["x", "y"]), "jaccard-over")
     direct = over.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -256,10 +257,12 @@ def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int
     open_pairs = materialise(over.filter((F.col("many") > 0) & ~linked
                                          & (F.col("o") + F.col("off") >= need(F.col("least"), F.lit(0), num, den)))
                              .select(F.col("x").alias("x_lead"), F.col("y").alias("y_lead"), "o"), "jaccard-open")
-    one = entries.select("t", *(F.col(c).alias("x_" + c) for c in ("id", "n", "rest", "lead", "off")))
-    two = entries.select("t", *(F.col(c).alias("y_" + c) for c in ("id", "n", "rest", "lead", "off")))
+    where = materialise(touch.select("t", "x_cls", "y_cls", "x_lead", "y_lead").join(open_pairs, ["x_lead", "y_lead"]),
+                        "jaccard-where")
+    one = entries.select("t", *(F.col(c).alias("x_" + c) for c in ("cls", "id", "n", "rest", "lead", "off")))
+    two = entries.select("t", *(F.col(c).alias("y_" + c) for c in ("cls", "id", "n", "rest", "lead", "off")))
     least = need(F.col("x_n"), F.col("y_n"), num, den)
-    members = (one.join(open_pairs, "x_lead").join(two, ["t", "y_lead"])
+    members = (where.join(one, ["t", "x_cls", "x_lead"]).join(two, ["t", "y_cls", "y_lead"])
                .filter((1 + F.least("x_rest", "y_rest") >= least) & (F.col("o") + F.col("x_off") + F.col("y_off") >= least)
                        & (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")))
                .select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct())
