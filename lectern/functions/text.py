@@ -97,7 +97,7 @@ def strip_echo(text, question, chars: str = ECHO_CHARS_POST) -> Column:
     t = _c(text)
     q = strip(F.coalesce(_c(question), F.lit("")))
     hit = (F.length(q) > 0) & F.lower(t).startswith(F.lower(q))
-    return F.when(hit, lstrip_chars(F.substring(t, F.length(q) + 1, 1 << 30), chars)).otherwise(t)
+    return F.when(hit, lstrip_chars(F.substr(t, F.length(q) + 1), chars)).otherwise(t)
 
 
 def drop_role_lines(col) -> Column:
@@ -115,7 +115,7 @@ def strip_role_suffix(col) -> Column:
 def strip_role_prefix(col) -> Column:
     """Leading ``assistant`` -> drop 9 chars and strip ``: \\n`` at both ends."""
     t = _c(col)
-    return F.when(F.lower(t).startswith(ROLE), F.btrim(F.substring(t, 10, 1 << 30), F.lit(": \n"))).otherwise(t)
+    return F.when(F.lower(t).startswith(ROLE), F.btrim(F.substr(t, F.lit(10)), F.lit(": \n"))).otherwise(t)
 
 
 def first_sentence(col, min_end: int = 0) -> Column:

@@ -1,8 +1,8 @@
 """Chunk fetch and context assembly (survey F6-F11).
 
-The top-k table has at most ``k`` rows per question, so its size is bounded by
-the (already counted) question set; it is the broadcast side of the chunk
-lookup, and the chunk table is only streamed once.
+The top-k table has at most ``k`` rows per question; callers write it once.
+No side of the lookup is forced into a broadcast: Spark takes one only when the
+written size is under the session's threshold, and joins by shuffle otherwise.
 """
 from __future__ import annotations
 
@@ -29,9 +29,9 @@ def piece_length(k: int, max_ctx: int = MAX_CTX_CHARS) -> int:
 def fetch_chunks(top: DataFrame, chunks: DataFrame, keys=("doc_id", "pos")) -> DataFrame:
     """attach ``title, text`` to each retrieved id; unknown ids get ``''``."""
     keys = list(keys)
-    wanted = F.broadcast(top.select(*keys))
+    wanted = top.select(*keys).distinct()
     found = chunks.select(*keys, "title", "text").join(wanted, keys, "left_semi")
-    out = top.join(F.broadcast(found), keys, "left")
+    out = top.join(found, keys, "left")
     return out.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
 
 

@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSE, is_broken, strip
-from .vectors import SCORE_DIGITS
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -24,7 +23,7 @@ def gate(best="best_score", ctx="ctx", threshold: float = THRESHOLD) -> Column:
     b = F.col(best)
     return (
         b.isNotNull()
-        & (F.round(b, SCORE_DIGITS) >= F.lit(threshold))
+        & (b >= F.lit(threshold))
         & (F.length(strip(F.coalesce(F.col(ctx), F.lit("")))) > 0)
     )
 
@@ -32,7 +31,7 @@ def gate(best="best_score", ctx="ctx", threshold: float = THRESHOLD) -> Column:
 def rejection_reasons(best="best_score", ctx="ctx", threshold: float = THRESHOLD) -> Column:
     """Comma-joined reasons (``no_scores``, ``low_score_0.2190<0.38``, ``empty_context``); '' if accepted."""
     b = F.col(best)
-    low = b.isNotNull() & (F.round(b, SCORE_DIGITS) < F.lit(threshold))
+    low = b.isNotNull() & (b < F.lit(threshold))
     reasons = F.array(
         F.when(b.isNull(), F.lit("no_scores")),
         F.when(low, F.format_string(f"low_score_%.4f<{threshold}", b)),

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, tokens
+from ..session import scratch_path
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -55,15 +56,19 @@ def term_counts(df: DataFrame, ids: list[str], text_col: str, lemma_map: Column
 def lemmatize_tokens(exploded: DataFrame, lemma_table: DataFrame) -> DataFrame:
     """B3/B4 (large lemma table): join distinct tokens to the table, unknown -> itself.
 
-    The join runs on the distinct token set only (memo of B4); the mapping is
-    then broadcast back if its size is bounded, else hash-joined.
+    The table is cut to the forms that occur (distinct tokens, a partial
+    aggregate before the shuffle) and written once.  Both sides of the join are
+    then plain shuffles: Spark broadcasts the written table when its size is
+    under the session's threshold and splits the rows of a frequent token
+    otherwise.
     """
-    lemmas = lemma_table.select(F.col("form").alias("term"), F.col("lemma"))
-    distinct_terms = exploded.select("term").distinct()
-    mapping = distinct_terms.join(lemmas, "term", "left").select(
-        "term", F.coalesce("lemma", "term").alias("lemma")
-    )
-    return exploded.join(mapping, "term").drop("term").withColumnRenamed("lemma", "term")
+    spark = exploded.sparkSession
+    path = scratch_path(spark, "lemmas")
+    lemmas = lemma_table.select(F.col("form").alias("term"), F.col("lemma")).dropDuplicates(["term"])
+    lemmas.join(exploded.select("term").distinct(), "term").write.parquet(path)
+    used = spark.read.schema("term string, lemma string").parquet(path)
+    out = exploded.join(used, "term", "left")
+    return out.withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
 
 
 def l2_weights(tf: DataFrame, ids: list[str]) -> DataFrame:
@@ -83,7 +88,10 @@ def l2_normalize(col) -> Column:
     """F1 for dense arrays: divide by the norm; a zero vector stays zero."""
     v = F.col(col) if isinstance(col, str) else col
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # the norm is bound once as the single element of an array, not evaluated again for each component
+    scaled = F.transform(F.array(norm), lambda n: F.transform(
+        v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return F.get(scaled, 0)
 
 
 def bounded_batches(df: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS) -> list[DataFrame]:

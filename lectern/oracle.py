@@ -175,7 +175,7 @@ def retrieval_ctes(questions: str = "qs", k: int = TOP_K, max_ctx: int = MAX_CTX
 
 def gate(best: str = "best_score", ctx: str = "ctx", threshold: float = THRESHOLD) -> str:
     c = strip(f"coalesce({ctx}, '')")
-    return f"({best} IS NOT NULL AND round({best}, {SCORE_DIGITS}) >= {threshold} AND length({c}) > 0)"
+    return f"({best} IS NOT NULL AND {best} >= {threshold} AND length({c}) > 0)"
 
 
 def extractive_ctes(src: str) -> str:

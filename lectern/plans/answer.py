@@ -6,8 +6,8 @@ rejected questions never reach the generator.
 
 Corpus side at scale: chunk rows are hash-clustered by ``(doc_id, pos)`` once;
 term counts, vector norms, score sums and the partial top-k all run on that
-layout.  The chunk text lookup streams the same clustered chunks against the
-broadcast top-k ids (ReuseExchange shares the shuffle within one plan).
+layout.  The top-k table is written once, so scoring runs once however many
+steps read it, and texts are fetched for its keys only.
 """
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ from ..operators.context import MAX_CTX_CHARS, build_context, fetch_chunks
 from ..operators.inference import Generators, extractive_answer, generate_batch
 from ..operators.routing import THRESHOLD, gate, merge_answers
 from ..operators.vectors import TOP_K, encode_terms, sparse_top_k
+from ..session import written
+from ..sources.sinks import META_SCHEMA, index_meta, read_vector_store, write_chunk_store, write_vector_store
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,21 @@ def build_corpus(docs: DataFrame, opts: Options = Options(), lemma_map: Column |
     return Corpus(chunks, vectors)
 
 
+def store_corpus(corpus: Corpus, path: str, opts: Options = Options()) -> None:
+    """Write chunks, vectors and the index meta (A14-A16) under one folder."""
+    write_chunk_store(corpus.chunks, f"{path}/chunks")
+    write_vector_store(corpus.vectors, f"{path}/vectors")
+    index_meta(corpus.chunks, corpus.vectors, "terms", opts.chunk_size, opts.chunk_overlap).write.json(f"{path}/meta")
+
+
+def open_corpus(spark: SparkSession, path: str, opts: Options = Options()) -> Corpus:
+    """Answer from a stored index: chunks and vectors are read, nothing is chunked or encoded again."""
+    meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first()
+    if meta is None or (meta["chunk_size"], meta["chunk_overlap"]) != (opts.chunk_size, opts.chunk_overlap):
+        raise ValueError(f"the index at {path} was built with other chunk settings: {meta}")
+    return Corpus(spark.read.parquet(f"{path}/chunks"), read_vector_store(spark, f"{path}/vectors"))
+
+
 def load_corpus_from_documents(spark: SparkSession, sf_dir: str, opts: Options = Options()) -> Corpus:
     docs = prepare_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "source", "doc_id")
     return build_corpus(docs, opts)
@@ -71,7 +88,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, opts: Options = Options(),
              lemma_map: Column | None = None) -> DataFrame:
     """``(qid, question)`` -> ``(qid, best_score, scores, ids, ctx)`` for questions with any score."""
     qvec = encode_terms(questions, ["qid"], "question", lemma_map)
-    top = sparse_top_k(qvec, corpus.vectors, ["qid"], ["doc_id", "pos"], opts.top_k)
+    top = written(sparse_top_k(qvec, corpus.vectors, ["qid"], ["doc_id", "pos"], opts.top_k), "top-k")
     fetched = fetch_chunks(top, corpus.chunks)
     return build_context(fetched, ["qid"], opts.top_k, opts.max_ctx_chars)
 

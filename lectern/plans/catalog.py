@@ -88,7 +88,8 @@ LEMMA_RULE_SQL = (
     "unnest(range(1, len(" + O.tokens(O.norm("text")) + ") + 1)) AS i FROM documents), "
     "lem AS (SELECT DISTINCT tk AS form, substring(tk, 1, 6) AS lemma FROM toks WHERE length(tk) >= 8) "
     "SELECT t.doc_id, string_agg(coalesce(l.lemma, t.tk), ' ' ORDER BY t.i) AS lemmatized "
-    "FROM toks t LEFT JOIN lem l ON t.tk = l.form GROUP BY t.doc_id"
+    "FROM toks t LEFT JOIN lem l ON t.tk = l.form GROUP BY t.doc_id "
+    "UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toks)"
 )
 
 
@@ -102,9 +103,9 @@ def lemma_table_from(tokens_df):
 @register("lemmatize", LEMMA_RULE_SQL)
 def q_lemmatize(spark, sf):
     """B3 large-table form: posexplode tokens, join the lemma table, reassemble per document."""
-    toks = docs_raw(spark, sf).select("doc_id", F.posexplode(T.tokens(T.normalize_text("text"))).alias("i", "tk"))
-    lem = lemma_table_from(toks)
-    joined = toks.join(lem, toks.tk == lem.form, "left").select("doc_id", "i", F.coalesce("lemma", "tk").alias("lm"))
+    toks = docs_raw(spark, sf).select("doc_id", F.posexplode_outer(T.tokens(T.normalize_text("text"))).alias("i", "term"))
+    lem = lemma_table_from(toks.select(F.col("term").alias("tk")))
+    joined = V.lemmatize_tokens(toks, lem).select("doc_id", "i", F.coalesce("term", F.lit("")).alias("lm"))
     grouped = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "lm"))).alias("xs"))
     return grouped.select("doc_id", F.array_join(F.transform("xs", lambda x: x["lm"]), " ").alias("lemmatized"))
 
@@ -181,18 +182,26 @@ def q_is_refusal(spark, sf):
 FS_SQL = O.first_sentence(O.strip(DOC_TEXT))
 
 
-@register("is_fragment", f"SELECT doc_id, {O.is_fragment(f'({FS_SQL})')} AS fragment FROM documents")
+# every piece of a whole text, cut behind ". "
+PIECES_SQL = (f"SELECT doc_id, source, i, {O.strip('s0')} AS s FROM (SELECT doc_id, source, unnest(string_split({DOC_TEXT}, '. ')) AS s0, "
+              f"unnest(range(0, len(string_split({DOC_TEXT}, '. ')))) AS i FROM documents)")
+
+
+def doc_pieces(spark, sf):
+    d = docs_raw(spark, sf).select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("i", "s0"))
+    return d.select("doc_id", "source", F.col("i").cast("long").alias("i"), T.strip("s0").alias("s"))
+
+
+@register("is_fragment", f"SELECT doc_id, i, {O.is_fragment('s')} AS fragment FROM ({PIECES_SQL})")
 def q_is_fragment(spark, sf):
-    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
-    return docs_raw(spark, sf).select("doc_id", T.is_fragment(fs).alias("fragment"))
+    return doc_pieces(spark, sf).select("doc_id", "i", T.is_fragment(F.col("s")).alias("fragment"))
 
 
 @register("is_broken",
-          f"SELECT doc_id, {O.is_broken(f'({FS_SQL})')} AS broken_sentence, {O.is_broken('source')} AS broken_title FROM documents")
+          f"SELECT doc_id, i, {O.is_broken('s')} AS broken_sentence, {O.is_broken('source')} AS broken_title FROM ({PIECES_SQL})")
 def q_is_broken(spark, sf):
-    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
-    return docs_raw(spark, sf).select("doc_id", T.is_broken(fs).alias("broken_sentence"),
-                                      T.is_broken(F.col("source")).alias("broken_title"))
+    return doc_pieces(spark, sf).select("doc_id", "i", T.is_broken(F.col("s")).alias("broken_sentence"),
+                                        T.is_broken(F.col("source")).alias("broken_title"))
 
 
 @register("extract_translation", f"SELECT doc_id, {O.translation(O.strip(DOC_TEXT))} AS eng FROM documents")
@@ -498,8 +507,6 @@ def q_top_k_dense(spark, sf):
           f"WITH {DENSE_PAIRS} SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM pairs GROUP BY qid")
 def q_dense_scores(spark, sf):
     """all-pairs exact scores, aggregated per query (count, best, sum) to keep the output per query."""
-    import numpy as np
-
     e = table(spark, sf, "embeddings")
     top = V.dense_top_k(spark, e.select(F.col("vec_id").alias("qid"), "embedding"), e, 1)
     # count and sum over all pairs: sum of scores = q . (sum of corpus vectors); count = corpus size
@@ -621,7 +628,7 @@ def q_score_gate(spark, sf):
 def _reasons_sql():
     c = O.strip("coalesce(ctx, '')")
     return (f"array_to_string(list_filter([CASE WHEN best_score IS NULL THEN 'no_scores' END, "
-            f"CASE WHEN best_score IS NOT NULL AND round(best_score, 9) < {R.THRESHOLD} THEN 'low_score_' || printf('%.4f', best_score) || '<{R.THRESHOLD}' END, "
+            f"CASE WHEN best_score IS NOT NULL AND best_score < {R.THRESHOLD} THEN 'low_score_' || printf('%.4f', best_score) || '<{R.THRESHOLD}' END, "
             f"CASE WHEN length({c}) = 0 THEN 'empty_context' END], lambda z: z IS NOT NULL), ', ')")
 
 
@@ -656,23 +663,21 @@ def q_merge_answers(spark, sf):
     return answer_questions(mixed_questions(spark, sf), corpus_of(spark, sf))
 
 
-@register("refuse_broken", f"SELECT doc_id, CASE WHEN {O.is_broken(f'({FS_SQL})')} THEN {O.REFUSE} ELSE ({FS_SQL}) END AS answer FROM documents")
+@register("refuse_broken", f"SELECT doc_id, i, CASE WHEN {O.is_broken('s')} THEN {O.REFUSE} ELSE s END AS answer FROM ({PIECES_SQL})")
 def q_refuse_broken(spark, sf):
-    """G7 over first sentences of documents."""
-    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
-    return docs_raw(spark, sf).select("doc_id", R.refuse_broken(fs).alias("answer"))
+    """G7 over all sentences of documents."""
+    return doc_pieces(spark, sf).select("doc_id", "i", R.refuse_broken(F.col("s")).alias("answer"))
 
 
-PRIMARY_SQL = f"CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN {O.REFUSE} ELSE ({FS_SQL}) END"
+PRIMARY_SQL = f"CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN {O.REFUSE} ELSE s END"
 ALT_SQL = f"CASE WHEN doc_id % 5 = 0 THEN {O.REFUSE} WHEN doc_id % 5 = 1 THEN ' ' ELSE source END"
 
 
 def _primary_alt(spark, sf):
-    fs = T.first_sentence(T.strip(F.coalesce("text", F.lit(""))))
     k4, k5 = F.col("doc_id") % 4, F.col("doc_id") % 5
-    primary = F.when(k4 == 0, F.lit("")).when(k4 == 1, F.lit(T.REFUSE)).otherwise(fs)
+    primary = F.when(k4 == 0, F.lit("")).when(k4 == 1, F.lit(T.REFUSE)).otherwise(F.col("s"))
     alt = F.when(k5 == 0, F.lit(T.REFUSE)).when(k5 == 1, F.lit(" ")).otherwise(F.col("source"))
-    return docs_raw(spark, sf).select("doc_id", primary.alias("primary"), alt.alias("alt"))
+    return doc_pieces(spark, sf).select("doc_id", "i", primary.alias("primary"), alt.alias("alt"))
 
 
 def _bad_sql(p):
@@ -680,20 +685,20 @@ def _bad_sql(p):
 
 
 @register("fallback_answer",
-          f"WITH x AS (SELECT doc_id, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM documents) "
-          f"SELECT doc_id, CASE WHEN {_bad_sql('p')} THEN (CASE WHEN length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) THEN a "
+          f"WITH x AS (SELECT doc_id, i, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM ({PIECES_SQL})) "
+          f"SELECT doc_id, i, CASE WHEN {_bad_sql('p')} THEN (CASE WHEN length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) THEN a "
           f"WHEN length(p) > 0 THEN p ELSE {O.REFUSE} END) ELSE p END AS answer FROM x")
 def q_fallback_answer(spark, sf):
-    return _primary_alt(spark, sf).select("doc_id", R.fallback_answer("primary", "alt").alias("answer"))
+    return _primary_alt(spark, sf).select("doc_id", "i", R.fallback_answer("primary", "alt").alias("answer"))
 
 
 @register("fallback_answer_chat",
-          f"WITH x AS (SELECT doc_id, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM documents), "
-          f"y AS (SELECT doc_id, CASE WHEN {_bad_sql('p')} AND length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) "
+          f"WITH x AS (SELECT doc_id, i, {PRIMARY_SQL} AS p, {ALT_SQL} AS a FROM ({PIECES_SQL})), "
+          f"y AS (SELECT doc_id, i, CASE WHEN {_bad_sql('p')} AND length(a) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) "
           f"AND NOT {O.is_broken('a')} THEN a ELSE p END AS c FROM x) "
-          f"SELECT doc_id, CASE WHEN length(coalesce(c, '')) > 0 THEN c ELSE {O.REFUSE} END AS answer FROM y")
+          f"SELECT doc_id, i, CASE WHEN length(coalesce(c, '')) > 0 THEN c ELSE {O.REFUSE} END AS answer FROM y")
 def q_fallback_answer_chat(spark, sf):
-    return _primary_alt(spark, sf).select("doc_id", R.fallback_answer_chat("primary", "alt").alias("answer"))
+    return _primary_alt(spark, sf).select("doc_id", "i", R.fallback_answer_chat("primary", "alt").alias("answer"))
 
 
 @register("answer_questions_plain",
@@ -730,8 +735,8 @@ def q_chat_history(spark, sf):
 def q_chat_segments(spark, sf):
     """H2: history resets (flag ``turn % 3 = 0``) split a conversation into segments."""
     s = H.with_segments(table(spark, sf, "conversations"), F.col("turn") % 3 == 0)
-    h = H.with_history(s, ("conv_id", "segment"))
-    return h.select("conv_id", "turn", F.col("segment").cast("long").alias("segment"), F.size("history").cast("long").alias("n_msgs"))
+    w = H.Window.partitionBy("conv_id", "segment").orderBy("turn").rowsBetween(H.UNBOUNDED, H.Window.currentRow)
+    return s.select("conv_id", "turn", F.col("segment").cast("long").alias("segment"), F.count(F.lit(1)).over(w).alias("n_msgs"))
 
 
 CHAT_QS_CTE = (f"qs AS (SELECT conv_id * 1000000 + turn AS qid, coalesce(text, '') AS question FROM conversations "
@@ -919,7 +924,7 @@ def q_corpus_counts(spark, sf):
         c.chunks.select(F.lit("chunks").alias("item"), F.lit(1).alias("one")),
         c.vectors.select("doc_id", "pos").distinct().select(F.lit("vectors").alias("item"), F.lit(1).alias("one")),
         qs.select(F.lit("questions").alias("item"), F.lit(1).alias("one")),
-        qs.select(F.lit("answers").alias("item"), F.lit(1).alias("one")),
+        answer_questions(qs, c).filter("answer IS NOT NULL").select(F.lit("answers").alias("item"), F.lit(1).alias("one")),
     ]
     u = parts[0]
     for p in parts[1:]:
@@ -934,12 +939,31 @@ from ..sources import readers as RD  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
 
+#: Part files of the file queries.
+FILES = 4
+
+
+def _padded():
+    return F.concat(F.lit("  "), F.col("item_id").cast("string"), F.lit(" ")).alias("answer")
+
+
 def _bench_q(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def _write_json_documents(rows, key, order, item, path, each):
+    """One JSON document ``{key: [...]}`` for every ``each`` ids, one file a document, files in id order."""
+    block = F.format_string("%012d", F.floor(F.col(order) / each))
+    docs = rows.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(order, item.alias("j")))).alias("xs"))
+    docs = docs.select("block", F.concat(F.lit('{"%s": [' % key), F.array_join(F.transform("xs", lambda x: x["j"]), ", "),
+                                         F.lit("]}")).alias("value"))
+    docs.write.mode("overwrite").partitionBy("block").text(path)
+
+
 def _write_delim(df, path, sep, order):
-    df.orderBy(order).drop(order).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep).csv(path)
+    # a range sort: part files in name order hold the rows in order
+    (df.repartitionByRange(FILES, order).sortWithinPartitions(order).drop(order).write.mode("overwrite").option("header", True)
+     .option("escape", '"').options(**SK.KEEP_BLANKS).option("sep", sep).csv(path))
 
 
 Q_ORDER_SQL = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, {O.strip('text')} AS question FROM benchmark"
@@ -971,7 +995,7 @@ def q_src_questions_txt(spark, sf):
     path = scratch_path(spark, "questions-txt")
     b = table(spark, sf, "benchmark")
     lines = b.select("item_id", F.posexplode(F.split("text", T.LINE_BREAK)).alias("i", "line"))
-    lines.orderBy("item_id", "i").select("line").coalesce(1).write.mode("overwrite").text(path)
+    lines.repartitionByRange(FILES, "item_id", "i").sortWithinPartitions("item_id", "i").select("line").write.mode("overwrite").text(path)
     return RD.read_questions(spark, path, "txt")
 
 
@@ -983,9 +1007,7 @@ def q_src_questions_json(spark, sf):
     b = table(spark, sf, "benchmark")
     as_string = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":(.*)\}$', 1)
     item = F.when(F.col("item_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("question")))).otherwise(as_string)
-    doc = b.agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("j")))).alias("xs")).select(
-        F.concat(F.lit('{"questions": ['), F.array_join(F.transform("xs", lambda x: x["j"]), ", "), F.lit("]}")).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    _write_json_documents(b, "questions", "item_id", item, path, 16)
     return RD.read_questions(spark, path, "json")
 
 
@@ -1017,15 +1039,32 @@ def q_src_documents_json(spark, sf):
     path = scratch_path(spark, "documents-json")
     d = table(spark, sf, "documents")
     item = F.to_json(F.struct(F.col("source").alias("title"), "text"))
-    doc = d.agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("j")))).alias("xs")).select(
-        F.concat(F.lit('{"items": ['), F.array_join(F.transform("xs", lambda x: x["j"]), ", "), F.lit("]}")).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    _write_json_documents(d, "items", "doc_id", item, path, 250)
     return RD.read_documents(spark, path, "json")
 
 
+@register("src_documents_jsonl", f"SELECT * FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0")
+def q_src_documents_jsonl(spark, sf):
+    """A5 for large inputs: JSON Lines, split and read in parallel."""
+    path = scratch_path(spark, "documents-jsonl")
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), "text")
+    d.repartitionByRange(FILES, "doc_id").sortWithinPartitions("doc_id").select("title", "text").write.json(path)
+    return RD.read_documents(spark, path, "jsonl")
+
+
+@register("sink_dataset", "SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_id, '' AS title, "
+          f"{O.strip("CASE WHEN length(url) > 10 THEN url WHEN length(html) > 10 THEN html END")} AS text FROM pages")
+def q_sink_dataset(spark, sf):
+    """The adapted dataset written as JSON Lines and read back as documents."""
+    path = scratch_path(spark, "dataset")
+    pages = RD.adapt_dataset(table(spark, sf, "pages"), "text", None, order_by="page_id")
+    SK.write_dataset(pages.repartitionByRange(FILES, "page_id").sortWithinPartitions("page_id"), path, "json")
+    return RD.read_documents(spark, path, "jsonl")
+
+
 @register("strip_bom", f"SELECT doc_id, {O.strip(DOC_TEXT)} AS text FROM documents")
 def q_strip_bom(spark, sf):
-    """A10: every document text written with a leading BOM is read back without it."""
+    """A10: a leading BOM goes from every document text."""
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(RD.BOM), F.coalesce("text", F.lit(""))).alias("t"))
     return d.select("doc_id", T.strip(RD.strip_bom("t")).alias("text"))
 
@@ -1037,11 +1076,11 @@ def q_adapt_dataset(spark, sf):
     return RD.adapt_dataset(table(spark, sf, "pages"), "text", None, order_by="page_id")
 
 
-@register("sink_answers_csv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, " + O.strip('text') + " AS answer FROM"))
+@register("sink_answers_csv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, '  ' || CAST(item_id AS VARCHAR) || ' ' AS answer FROM"))
 def q_sink_answers_csv(spark, sf):
-    """Answers CSV (header, no index) read back; questions double as answers here."""
+    """Answers CSV (header, no index) read back; the answers are padded with blanks, which must survive."""
     path = scratch_path(spark, "answers-csv")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), T.strip("text").alias("answer"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), _padded())
     SK.write_answers(b, path, "csv")
     return _read_back_pairs(spark, path, ",")
 
@@ -1051,11 +1090,11 @@ def _read_back_pairs(spark, path, sep):
     return df.select("question", "answer")
 
 
-@register("sink_answers_tsv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, " + O.strip('text') + " AS answer FROM"))
+@register("sink_answers_tsv", Q_ORDER_SQL.replace("SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, ", "SELECT ") .replace(" AS question FROM", " AS question, '  ' || CAST(item_id AS VARCHAR) || ' ' AS answer FROM"))
 def q_sink_answers_tsv(spark, sf):
     """Answers TSV read back."""
     path = scratch_path(spark, "answers-tsv")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), T.strip("text").alias("answer"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.strip("text").alias("question"), _padded())
     SK.write_answers(b, path, "tsv")
     return _read_back_pairs(spark, path, "\t")
 
@@ -1098,9 +1137,11 @@ def q_vector_store_roundtrip(spark, sf):
           "SELECT 'terms' AS model, (SELECT count(DISTINCT term) FROM cvec) AS dim, (SELECT count(*) FROM chunks) AS chunks, "
           "700 AS chunk_size, 120 AS chunk_overlap")
 def q_index_meta(spark, sf):
-    """Index metadata of the default term encoder."""
+    """Index metadata of the default term encoder, written and read back."""
+    path = scratch_path(spark, "index-meta")
     c = corpus_of(spark, sf)
-    return SK.index_meta(c.chunks, c.vectors, "terms", CH.CHUNK_SIZE, CH.CHUNK_OVERLAP)
+    SK.index_meta(c.chunks, c.vectors, "terms", CH.CHUNK_SIZE, CH.CHUNK_OVERLAP).write.json(path)
+    return spark.read.schema(SK.META_SCHEMA).json(path)
 
 
 @register("qa_alignment", "SELECT 0 AS missing_answers, 0 AS missing_questions, (SELECT count(*) FROM benchmark) AS pairs, true AS ok")

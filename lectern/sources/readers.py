@@ -105,12 +105,30 @@ def _json_items(spark: SparkSession, path: str, key: str, item_fn) -> DataFrame:
     A single JSON document is one value; large inputs should use JSON Lines
     (``fmt='jsonl'``), which is split and read in parallel.
     """
+    items = _numbered_items(spark, path, key, "qid")
+    return items.select("qid", item_fn(F.col("item")).alias("question"))
+
+
+def _numbered_items(spark: SparkSession, path: str, key: str, name: str) -> DataFrame:
+    """Array items of one JSON document per file, numbered across the files in path order.
+
+    A file that doesn't parse, is too large for one value or holds no array
+    fails the job: nothing is dropped silently.
+    """
     raw = spark.read.text(path, wholetext=True)
     v = F.try_parse_json(strip_bom("value"))
     arr = F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    bad = F.when(arr.isNull(), F.raise_error(F.lit(f"JSON must be an array or an object with '{key}'")))
-    items = raw.select(F.coalesce(arr, bad.cast("array<variant>")).alias("arr")).select(F.posexplode("arr").alias("qid", "item"))
-    return items.select(F.col("qid").cast("long").alias("qid"), item_fn(F.col("item")).alias("question"))
+    bad = F.raise_error(F.concat(F.lit(f"not a JSON array or an object with '{key}' (or too large for one value): "),
+                                 F.col("_metadata.file_path")))
+    found = raw.select(F.col("_metadata.file_path").alias("__f"), F.coalesce(arr, bad.cast("array<variant>")).alias("arr"))
+    sizes = sorted(tuple(r) for r in found.select("__f", F.size("arr")).collect())  # one row a file
+    base, acc = [], 0
+    for f, n in sizes:
+        base.append((f, acc))
+        acc += n
+    offsets = spark.createDataFrame(base, "__f string, __o long")
+    items = found.select("__f", F.posexplode("arr").alias("__i", "item"))
+    return items.join(F.broadcast(offsets), "__f").select((F.col("__i") + F.col("__o")).alias(name), "item")
 
 
 def document_item(v: Column, text_key: str, title_key: str) -> tuple[Column, Column]:
@@ -127,7 +145,7 @@ def document_item(v: Column, text_key: str, title_key: str) -> tuple[Column, Col
 def read_documents(spark: SparkSession, path: str, fmt: str | None = None, text_column: str = "text",
                    title_column: str = "title") -> DataFrame:
     """``(doc_id, title, text)`` in input order; blank text dropped."""
-    fmt = fmt or {".json": "json", ".csv": "csv", ".tsv": "tsv"}.get(_suffix(path), "txt")
+    fmt = fmt or {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".tsv": "tsv"}.get(_suffix(path), "txt")
     if fmt in ("csv", "tsv"):
         df = _read_delimited(spark, path, "," if fmt == "csv" else "\t")
         tcol = resolve_column(df, text_column)
@@ -135,12 +153,16 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None, text_
         df = with_position(spark, df, "doc_id", keep=F.length(clean_rows(f"`{tcol}`")) > 0)
         out = df.select("doc_id", clean_rows(title).alias("title"), clean_rows(f"`{tcol}`").alias("text"))
     elif fmt == "json":
-        raw = spark.read.text(path, wholetext=True)
-        v = F.try_parse_json(strip_bom("value"))
-        arr = F.coalesce(F.try_variant_get(v, "$.items", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-        items = raw.select(F.posexplode(arr).alias("doc_id", "item"))
+        items = _numbered_items(spark, path, "items", "doc_id")
         title, text = document_item(F.col("item"), text_column, title_column)
-        out = items.select(F.col("doc_id").cast("long"), title.alias("title"), text.alias("text")).filter(F.col("text").isNotNull())
+        out = items.select("doc_id", title.alias("title"), text.alias("text")).filter(F.col("text").isNotNull())
+    elif fmt == "jsonl":
+        line = strip_bom("value")
+        item = F.coalesce(F.try_parse_json(line), F.raise_error(F.concat(F.lit("not a JSON line: "), line)).cast("variant"))
+        title, text = document_item(item, text_column, title_column)
+        blank = F.length(strip(F.col("value"))) == 0
+        raw = with_position(spark, spark.read.text(path), "doc_id", keep=~blank)
+        out = raw.select("doc_id", title.alias("title"), text.alias("text")).filter(F.col("text").isNotNull())
     else:
         text = strip(strip_bom("value"))
         raw = with_position(spark, spark.read.text(path, wholetext=True), "doc_id", keep=F.length(text) > 0)

@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.text import REFUSE
 
 
+#: Spark's CSV writer trims values unless told otherwise.
+KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+META_SCHEMA = "model string, dim long, chunks long, chunk_size int, chunk_overlap int"
+
+
 def check_alignment(questions: DataFrame, answers: DataFrame, key: str = "qid") -> DataFrame:
     """Fails the job when questions and answers do not pair up 1:1; else one row of counts."""
-    q = questions.select(key, F.lit(1).alias("__q"))
-    a = answers.select(key, F.lit(1).alias("__a"))
-    j = q.join(a, key, "full_outer")
-    stats = j.agg(F.sum(F.when(F.col("__a").isNull(), 1).otherwise(0)).alias("missing_answers"),
-                  F.sum(F.when(F.col("__q").isNull(), 1).otherwise(0)).alias("missing_questions"),
-                  F.count(F.lit(1)).alias("pairs"))
+    # rows per key on both sides; a key answered twice is a surplus answer without a question
+    both = questions.select(key, F.lit(1).alias("__q"), F.lit(0).alias("__a")).unionByName(
+        answers.select(key, F.lit(0).alias("__q"), F.lit(1).alias("__a")))
+    j = both.groupBy(key).agg(F.sum("__q").alias("__q"), F.sum("__a").alias("__a"))
+    stats = j.agg(F.coalesce(F.sum(F.greatest(F.col("__q") - F.col("__a"), F.lit(0))), F.lit(0)).alias("missing_answers"),
+                  F.coalesce(F.sum(F.greatest(F.col("__a") - F.col("__q"), F.lit(0))), F.lit(0)).alias("missing_questions"),
+                  F.coalesce(F.sum(F.least("__q", "__a")), F.lit(0)).alias("pairs"))
     bad = (F.col("missing_answers") > 0) | (F.col("missing_questions") > 0)
     return stats.withColumn("ok", F.when(bad, F.raise_error(F.lit("questions and answers must pair up"))).otherwise(F.lit(True)))
 
@@ -35,7 +41,7 @@ def write_answers(df: DataFrame, path: str, fmt: str = "json_pairs", key: str =
         ordered.select(key, "question", "answer").write.mode("overwrite").json(path)
     elif fmt in ("csv", "tsv"):
         (ordered.select("question", "answer").write.mode("overwrite").option("header", True).option("escape", '"')
-         .option("sep", "," if fmt == "csv" else "\t").csv(path))
+         .options(**KEEP_BLANKS).option("sep", "," if fmt == "csv" else "\t").csv(path))
     else:
         raise ValueError(f"unknown answers format: {fmt}")
 
@@ -52,7 +58,8 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "json":
         out.write.mode("overwrite").json(path)
     elif fmt in ("csv", "tsv"):
-        out.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", "," if fmt == "csv" else "\t").csv(path)
+        out.write.mode("overwrite").option("header", True).option("escape", '"').options(**KEEP_BLANKS).option(
+            "sep", "," if fmt == "csv" else "\t").csv(path)
     else:
         raise ValueError(f"unknown dataset format: {fmt}; use json, csv or tsv")
 
