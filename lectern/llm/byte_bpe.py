@@ -28,17 +28,16 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows, texts_of, utf8
+from lectern.llm.common import map_rows, merge_side_by_side, rank_of_pairs, texts_of, utf8
 
 # Classes of code points; the last ones depend on what follows.
 LETTER, NUMBER, OTHER, BLANK_ON, BLANK_LAST, SPACE_LAST, QUOTE_2, QUOTE_3, BREAK = range(9)
 # States: what the token in progress may take next.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, ONE_MORE, TWO_MORE = range(8)
 #: Slices, and their code points together, that a worker's cache may hold before it starts anew.
-CACHE_SLICES, CACHE_CHARS = 300_000, 8 << 20
+CACHE_SLICES, CACHE_CHARS = 150_000, 2 << 20
 #: Up to this many bytes unseen slices merge side by side, beyond it one by one through a heap.
 ROW_BYTES = 32
-_NO_PAIR = 1 << 40
 
 
 def _rules() -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +87,14 @@ def _code_classes() -> np.ndarray:
     An encoding of single bytes whose pattern is one class emits exactly the
     members of that class.
     """
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     ranks = {bytes([i]): i for i in range(256)}
-
-    def members(pattern: str) -> np.ndarray:
-        enc = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return np.frombuffer(bytes(enc.encode_ordinary(every)).decode("utf-8").encode("utf-32-le"), np.uint32)
-
     out = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK_ON)):
-        out[members(pattern)] = kind
+        enc = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for a in range(0, 0x110000, 0x800):  # a block of surrogates falls on whole steps
+            if not 0xD800 <= a < 0xE000:
+                found = bytes(enc.encode_ordinary("".join(map(chr, range(a, a + 0x800)))))
+                out[np.frombuffer(found.decode("utf-8").encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -209,10 +206,7 @@ class Vocabulary:
             [self.ranks[bytes([i])] for i in range(256)], np.int64)
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, rank, _ = self._pairs
-        key = left << 24 | right
-        at = np.minimum(np.searchsorted(keys, key), keys.size - 1)
-        return np.where(keys[at] == key, rank[at], _NO_PAIR)
+        return rank_of_pairs(*self._pairs[:2], left, right)
 
     def merge_rows(self, pieces: list[bytes]) -> list[list[int]]:
         """``merge`` for short slices of about one length: every round merges one pair in each row."""
@@ -220,31 +214,7 @@ class Vocabulary:
         n = np.array([len(p) for p in pieces])
         ids = self._pairs[2][np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)].reshape(-1, width)
         ids = np.pad(ids, ((0, 0), (0, 1)))
-        col = np.arange(width)
-        rank = np.where(col < n[:, None] - 1, self._pair_rank(ids[:, :-1], ids[:, 1:]), _NO_PAIR)
-        done, row = ids.copy(), np.arange(len(pieces))
-        while row.size:
-            i = rank.argmin(1)
-            every = np.arange(row.size)
-            low = rank[every, i]
-            more = low < _NO_PAIR
-            if not more.all():
-                done[row[~more]] = ids[~more]
-                row, ids, rank, i, low = row[more], ids[more], rank[more], i[more], low[more]
-                every = np.arange(row.size)
-                if not row.size:
-                    break
-            n[row] -= 1
-            ids[:, :-1] = np.take_along_axis(ids, np.minimum(col + (col > i[:, None]), width), 1)
-            ids[every, i] = low
-            rank = np.take_along_axis(rank, np.minimum(col + (col >= i[:, None]), width - 1), 1)
-            rank[:, -1] = _NO_PAIR
-            for j in (i, i - 1):
-                ok = (j >= 0) & (j < n[row] - 1)
-                rank[every[ok], j[ok]] = self._pair_rank(ids[every[ok], j[ok]], ids[every[ok], j[ok] + 1])
-            last = i >= n[row] - 1
-            rank[every[last], i[last]] = _NO_PAIR
-        return [r[:k] for r, k in zip(done.tolist(), n.tolist())]
+        return merge_side_by_side(ids, n, self._pair_rank)
 
     def _learn(self, pieces) -> None:
         new = {p: p.encode("utf-8") for p in dict.fromkeys(pieces)}
@@ -339,7 +309,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     kind = "ids binary, offsets binary" if packed else "ids array<int>, offsets array<bigint>"
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(F.col(text)).alias("body"))
-    return map_rows(rows, run, f"doc_id long, {kind}", "body")
+    return map_rows(rows, run, f"doc_id long, {kind}", "body", after=lambda: vocabulary(path).forget())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -23,12 +23,19 @@ ASCII_SPACE = r"[\x20\x09-\x0D]"
 FILTER_BITS = 1 << 23
 #: UTF-8 bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session sets none.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared folder and package for the executors; safe to call repeatedly."""
+    """Shared folder and package for the executors; safe to call repeatedly.
+
+    Rows of long texts move to Python in small batches unless the session says otherwise.
+    """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +56,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str,
-             by: str | None = None, chunk_bytes: int = CHUNK_BYTES, only=None) -> DataFrame:
+             by: str | None = None, chunk_bytes: int = CHUNK_BYTES, only=None,
+             after: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` with batches cut so that column ``by`` holds about ``chunk_bytes``.
 
     ``only``: (column, broadcast bitmap); rows that the filter lacks are left out
-    first, in the same worker.
+    first, in the same worker.  ``after`` runs when a task has read its rows: it
+    empties caches, as workers outlive their tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +73,8 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
                 batch = batch.filter(pa.array(hit))
             for piece in cut_batch(batch, by, chunk_bytes):
                 yield from fn(piece)
+        if after is not None:
+            after()
 
     return df.mapInArrow(run, schema)
 
@@ -180,3 +191,49 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if label2.filter("component <> was").limit(1).count() == 0:
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+# --- pair merging ------------------------------------------------------------
+
+#: Rank of a pair that never merges.
+NO_PAIR = 1 << 40
+
+
+def rank_of_pairs(keys: np.ndarray, ranks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rank of each pair of ids by a sorted table of ``left << 24 | right``."""
+    key = left << 24 | right
+    at = np.minimum(np.searchsorted(keys, key), keys.size - 1)
+    return np.where(keys[at] == key, ranks[at], NO_PAIR)
+
+
+def merge_side_by_side(ids: np.ndarray, n: np.ndarray, pair_rank, token_of=None) -> list[list[int]]:
+    """Merge the adjacent pair of lowest rank, leftmost among equals, in every row until none is left.
+
+    ``ids``: rows of ``n`` ids with one spare column; ``token_of`` maps a rank to the merged id.
+    """
+    width = ids.shape[1] - 1
+    col = np.arange(width)
+    rank = np.where(col < n[:, None] - 1, pair_rank(ids[:, :-1], ids[:, 1:]), NO_PAIR)
+    done, row = ids.copy(), np.arange(len(ids))
+    while row.size:
+        i = rank.argmin(1)
+        every = np.arange(row.size)
+        low = rank[every, i]
+        more = low < NO_PAIR
+        if not more.all():
+            done[row[~more]] = ids[~more]
+            row, ids, rank, i, low = row[more], ids[more], rank[more], i[more], low[more]
+            every = np.arange(row.size)
+            if not row.size:
+                break
+        n[row] -= 1
+        ids[:, :-1] = np.take_along_axis(ids, np.minimum(col + (col > i[:, None]), width), 1)
+        ids[every, i] = low if token_of is None else token_of[low]
+        rank = np.take_along_axis(rank, np.minimum(col + (col >= i[:, None]), width - 1), 1)
+        rank[:, -1] = NO_PAIR
+        for j in (i, i - 1):
+            ok = (j >= 0) & (j < n[row] - 1)
+            rank[every[ok], j[ok]] = pair_rank(ids[every[ok], j[ok]], ids[every[ok], j[ok] + 1])
+        last = i >= n[row] - 1
+        rank[every[last], i[last]] = NO_PAIR
+    return [r[:k] for r, k in zip(done.tolist(), n.tolist())]

@@ -42,7 +42,7 @@ from lectern.llm.common import components, has_bits, map_rows, materialise, memb
 K, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 6, 2
 #: Slots of the frequency table; a shingle counts as frequent when a block of texts holds it this often.
-LEVEL_SLOTS, LEVEL_LEAST, LEVEL_BLOCK = 1 << 20, 3, 2 << 20
+LEVEL_SLOTS, LEVEL_LEAST, LEVEL_BLOCK = 1 << 20, 3, 1 << 20
 #: Odd constants of the shingle and minimum hashes, drawn once from a seeded generator.
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 

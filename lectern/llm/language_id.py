@@ -24,9 +24,8 @@ columns are ignored.  An empty table gives an empty result.
 """
 from __future__ import annotations
 
+import functools
 import math
-import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,6 @@ from lectern.llm.common import map_rows, materialise, texts_of, utf8
 BUCKETS, PER_LANG, EVIDENCE, MAX_LANGS = 1 << 15, 1500, 150, 64
 #: Pseudo-counts of the smoothing at each level, share of declarations taken for right beforehand, prior of the unknown.
 SMOOTH, TRUST, UNKNOWN = 8.0, 0.9, 0.01
-CACHE_WORDS = 200_000
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def markup_language(html: Column) -> Column:
@@ -53,9 +50,24 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def _grams(word: str) -> list[int]:
-    s = f" {word} "
-    return [(ord(a) * 961 + ord(b) * 31 * 7 + ord(c)) * 0x9E3779B1 >> 7 & (BUCKETS - 1) for a, b, c in zip(s, s[1:], s[2:])]
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def grams(text: str) -> np.ndarray:
+    """Buckets of the trigrams of all words, a blank on either side of a word."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    letter = _letters()[codes]
+    codes[~letter] = 32
+    keep = letter.copy()
+    keep[:-1] |= letter[1:]  # of the signs between two words the one before the second
+    keep[1:] |= letter[:-1]  # and the one behind the first
+    codes, letter = codes[keep], letter[keep]
+    if codes.size < 3:
+        return np.zeros(0, np.int64)
+    x = (codes[:-2] * np.uint64(961) + codes[1:-1] * np.uint64(217) + codes[2:]) * np.uint64(0x9E3779B1) >> np.uint64(7)
+    return (x & np.uint64(BUCKETS - 1)).astype(np.int64)[letter[1:-1]]
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
@@ -75,9 +87,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.nd
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), texts_of(batch.column("body"))):
                 to = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                grams = [g for w in WORD.findall(body.lower()) for g in _grams(w)]
-                if grams:
-                    to += np.bincount(grams, minlength=BUCKETS)
+                to += np.bincount(grams(body), minlength=BUCKETS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at), pa.array(c[at])],
@@ -91,58 +101,21 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.nd
     return langs, np.log(table / table.sum(0))
 
 
-class _WordScores:
-    """Sums of trigram log-likelihoods of words, and their number of trigrams."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.table.shape[1] + 1))
-
-    def texts(self, texts: list[str]) -> np.ndarray:
-        if len(self.seen) > CACHE_WORDS:
-            self.forget()
-        words = [WORD.findall(t.lower()) for t in texts]
-        out = np.zeros((len(texts), self.rows.shape[1]))
-        for i, mine in enumerate(words):
-            where = list(map(self.seen.get, mine))
-            if None in where:
-                for w in dict.fromkeys(w for w, at in zip(mine, where) if at is None):
-                    n = self.seen[w] = len(self.seen)
-                    if n >= len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                    g = _grams(w)
-                    self.rows[n, :-1], self.rows[n, -1] = self.table[g].sum(0), len(g)
-                where = list(map(self.seen.__getitem__, mine))
-            if where:
-                out[i] = self.rows[where].sum(0)
-        return out
-
-
-_scorers: dict[str, _WordScores] = {}
-
-
 def _text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns, grams, and per language the tempered log-likelihood l_i and the text posterior p_i."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    kinds, stamp = dict(rows.dtypes), uuid.uuid4().hex  # workers outlive a query: one scorer a model
+    kinds = dict(rows.dtypes)
 
     def run(batch: pa.RecordBatch):
-        scorer = _scorers.get(stamp)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[stamp] = _WordScores(shared.value)
-        found = scorer.texts(texts_of(batch.column("body")))
-        ll, grams = found[:, :-1], found[:, -1]
-        ll = ll * np.minimum(1, EVIDENCE / np.maximum(grams, 1))[:, None]
+        found = [grams(t) for t in texts_of(batch.column("body"))]
+        count = np.array([g.size for g in found], np.int64)
+        ll = np.array([shared.value[g].sum(0) for g in found]).reshape(len(found), -1)
+        ll = ll * np.minimum(1, EVIDENCE / np.maximum(count, 1))[:, None]
         ll = ll - ll.max(1, keepdims=True)
         post = np.exp(ll[:, :-1])
         post = post / np.maximum(post.sum(1, keepdims=True), 1e-300)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in keep), pa.array(grams.astype(np.int64)), *(pa.array(ll[:, i]) for i in range(ll.shape[1])),
+            [*(batch.column(c) for c in keep), pa.array(count), *(pa.array(ll[:, i]) for i in range(ll.shape[1])),
              *(pa.array(post[:, i]) for i in range(post.shape[1]))],
             [*keep, "grams", *(f"l{i}" for i in range(ll.shape[1])), *(f"p{i}" for i in range(post.shape[1]))])
 

@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import os
+import re
 from array import array
 
 import numpy as np
@@ -24,19 +27,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from lectern.llm.common import map_rows, materialise, parts, texts_of, utf8
+from lectern.llm.common import map_rows, materialise, merge_side_by_side, parts, rank_of_pairs, texts_of, utf8
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS, CACHE_CHARS = 300_000, 8 << 20
+#: Words that merge side by side: lower-case ASCII letters, up to this many.
+ROW_CHARS, PLAIN = 32, re.compile(r"[a-z]+\Z").match
+CACHE_WORDS, CACHE_CHARS = 250_000, 4 << 20
+#: A sign behind a letter or number and before a blank is a token piece of its own, so it may stand apart.
+SIGN = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 
 
 class WordIds:
-    """Ids of a tokenizer whose tokens never cross a space, cached by space-separated chunk."""
+    """Ids of a tokenizer whose tokens never cross a space, cached by space-separated chunk.
+
+    The tokenizer lower-cases and splits off signs itself; ASCII texts are
+    lowered and full stops and commas behind words set apart before the lookup,
+    which changes no id and lets more chunks share an entry.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([vocab[a] << 24 | vocab[b] for a, b in merges], np.int64)
+        self.order = np.argsort(key)
+        self.keys, self.merged = key[self.order], np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.inner = np.array([vocab[chr(c)] for c in range(ord("a"), ord("z") + 1)], np.int64)
+        self.last = np.array([vocab[chr(c) + end] for c in range(ord("a"), ord("z") + 1)], np.int64)
         self.forget()
 
+    def merge_plain(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of ASCII letters a-z: their merges need no splitting or normalising."""
+        width = max(map(len, words))
+        n = np.array([len(w) for w in words])
+        at = np.frombuffer("".join(w.ljust(width, "a") for w in words).encode(), np.uint8).reshape(-1, width) - ord("a")
+        ids = np.pad(self.inner[at], ((0, 0), (0, 1)))
+        every = np.arange(len(words))
+        ids[every, n - 1] = self.last[at[every, n - 1]]
+        return merge_side_by_side(ids, n, lambda a, b: rank_of_pairs(self.keys, self.order, a, b), self.merged)
+
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.chars = 0
@@ -48,15 +80,22 @@ class WordIds:
             self.forget()
         words, sizes = [], []
         for t in texts:
-            mine = t.replace("\n", " ").split(" ")
+            if t.isascii() and "<|" not in t:  # a special token is spelled in lower case
+                t = t.lower()
+            mine = SIGN.sub(r" \1", t).replace("\n", " ").split(" ")
             words += mine
             sizes.append(len(mine))
         where = list(map(self.seen.get, words))
         if None in where:
             new = list(dict.fromkeys(w for w, i in zip(words, where) if i is None))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            plain = sorted((w for w in new if len(w) <= ROW_CHARS and PLAIN(w)), key=len)
+            rest = [w for w in new if len(w) > ROW_CHARS or not PLAIN(w)]
+            found = list(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+            for a in range(0, len(plain), 4096):
+                found += zip(plain[a:a + 4096], self.merge_plain(plain[a:a + 4096]))
+            for w, ids in found:
                 self.seen[w] = len(self.at) - 1
-                self.flat.extend(e.ids)
+                self.flat.extend(ids)
                 self.at.append(len(self.flat))
                 self.chars += len(w)
             where = list(map(self.seen.__getitem__, words))

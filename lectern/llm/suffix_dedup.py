@@ -45,7 +45,7 @@ LENGTH = 400
 GRAM = 65
 CLASSES = (336, 42, 6, 1)
 #: Distinct spans that one index group may hold, and bytes meant for a shard.
-MOST, SHARD_BYTES = 256, 1 << 20
+MOST, SHARD_BYTES = 256, 1 << 19
 #: Positions hashed at once in a long text (the anchor's place takes 24 bits of its sort key).
 STRETCH = 1 << 22
 
