@@ -12,7 +12,9 @@ Two documents link when their shingle sets reach a Jaccard similarity of
    with the largest remaining length behind the posting.  Lists and blocks
    whose entries all belong to one component are skipped, and so are pairs of
    blocks whose sizes or positions leave too small an overlap.
-4. What remains are pairs of leaders; their overlap is computed once.  The
+4. What remains are pairs of leaders.  Parity bitmaps of the sets bound the
+   overlap from above: |x & y| <= (|x| + |y| - odd slots of px ^ py) / 2.  Only
+   pairs that this bound leaves open are compared element by element, once.  The
    answers of the followers come from it: |x & y| <= |a & b| + |x - a| + |y - b|,
    so most followers need no set at all, and only pairs that may still link are
    compared element by element.
@@ -43,6 +45,8 @@ K, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 6, 2
 #: Slots of the frequency table; a shingle counts as frequent when a block of texts holds it this often.
 LEVEL_SLOTS, LEVEL_LEAST, LEVEL_BLOCK = 1 << 20, 3, 1 << 20
+#: Largest parity bitmap in bits; beyond it the bound is looser and the exact comparison decides.
+PARITY_MOST = 1 << 17
 #: Odd constants of the shingle and minimum hashes, drawn once from a seeded generator.
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -98,13 +102,29 @@ def shingle_sets(bodies: list[bytes], k: int = K) -> list[np.ndarray]:
     return out
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Bitmap of 2 to 4 slots an element (at most PARITY_MOST): whether a slot holds an odd number of them."""
+    slots = min(PARITY_MOST, 1 << max(6, s.size.bit_length() + 1))
+    counts = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Odd slots of the symmetric difference, the larger bitmap folded to the smaller one's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.size != b.size:
+        size = min(a.size, b.size)
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def need(x: Column, y: Column, num: int, den: int) -> Column:
     """Least overlap of two sets of these sizes that link: overlap * (num + den) >= num * (x + y)."""
     return F.ceil((num * (x + y)) / F.lit(num + den).cast("double") - 1e-9)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(id, n, s1, s2, b0..): set size, 128-bit digest of the set, bands of minimum hashes."""
+    """(id, n, s1, s2, parity, b0..): set size, 128-bit digest of the set, parity bitmap, bands of minimum hashes."""
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch.column("body").to_pylist(), k)
         digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
@@ -117,10 +137,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
         bands = _mix((low.reshape(-1, BANDS, ROWS) * _ODD[32:32 + ROWS]).sum(2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([s.size for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-             *(pa.array(bands[:, j]) for j in range(BANDS))], ["id", "n", "s1", "s2", *(f"b{j}" for j in range(BANDS))])
+             pa.array([parity_bits(x) for x in sets], pa.binary()), *(pa.array(bands[:, j]) for j in range(BANDS))], ["id", "n", "s1", "s2", "parity", *(f"b{j}" for j in range(BANDS))])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), utf8(F.col(text)).alias("body"))
-    return map_rows(rows, run, "id long, n long, s1 long, s2 long, " + ", ".join(f"b{j} long" for j in range(BANDS)), "body")
+    return map_rows(rows, run, "id long, n long, s1 long, s2 long, parity binary, " + ", ".join(f"b{j} long" for j in range(BANDS)), "body")
 
 
 def _fold(s: np.ndarray, j: int) -> np.ndarray:
@@ -181,10 +201,25 @@ def _prefixes(rows: DataFrame, only, levels, k: int, num: int, den: int, shared=
     return map_rows(rows, run, "t long, id long, n long, rest long", "body", only=only)
 
 
+def _open(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y, floor) whose overlap may let them link, or may reach ``floor`` where that isn't null."""
+    def run(batches):
+        for batch in batches:
+            px, py = (batch.column(c).to_pylist() for c in ("px", "py"))
+            total = (batch.column("nx").to_numpy() + batch.column("ny").to_numpy()).astype(np.int64)
+            most = (total - np.fromiter(map(differing, px, py), np.int64, len(px))) // 2
+            floor = batch.column("floor").fill_null(1 << 62).to_numpy(zero_copy_only=False)
+            yield batch.select(["x", "y", "floor"]).filter(pa.array((most * (num + den) >= num * total) | (most >= floor)))
+
+    of = lambda c: signed.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c))
+    return (pairs.select("x", "y", F.col("floor").cast("bigint").alias("floor")).join(of("x"), "x").join(of("y"), "y")
+            .mapInArrow(run, "x long, y long, floor long"))
+
+
 def _overlaps(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Add the overlap ``o`` and the sizes ``nx``, ``ny`` to pairs (x, y)."""
     spark = pairs.sparkSession
-    pairs = materialise(pairs.select("x", "y"), "jaccard-pairs")
+    pairs = materialise(pairs.select("x", "y").distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
 
     def run(batch: pa.RecordBatch):
@@ -199,10 +234,11 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     F.size("sx").cast("bigint").alias("nx"), F.size("sy").cast("bigint").alias("ny")))
 
 
-def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+def links(rows: DataFrame, reps: DataFrame, signed: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """Edges (a, b) among distinct sets; their components are those of all links.
 
-    ``rows``: (id, body) of all texts; ``reps``: (id, n, b0..) of one text a distinct set.
+    ``rows``: (id, body) of all texts; ``reps``: (id, n, b0..) of one text a distinct set;
+    ``signed``: (id, n, parity) of all texts.
     """
     spark = rows.sparkSession
     only = ("id", spark.sparkContext.broadcast(member_bits(reps, "id")))
@@ -214,7 +250,8 @@ def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int
                           .select("band", "lead"), "jaccard-leaders")
     star = (bands.join(leaders, "band").filter("lead <> id").groupBy("id", "lead").agg(F.count("*").alias("c"))
             .groupBy("id").agg(F.max_by("lead", F.struct(F.col("c"), -F.col("lead"))).alias("lead")))
-    found = materialise(_overlaps(star.select(F.col("id").alias("x"), F.col("lead").alias("y")), rows, k)
+    star = star.select(F.col("id").alias("x"), F.col("lead").alias("y"), F.lit(None).alias("floor"))
+    found = materialise(_overlaps(_open(star, signed, num, den), rows, k)
                         .filter(linked).select("x", "y", (F.col("nx") - F.col("o")).alias("off")), "jaccard-stars")
     near = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # (id, comp, lead, off): follower's leader and |x - a|
@@ -250,7 +287,9 @@ def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int
                                      (F.col("x_many") + F.col("y_many")).alias("many")), "jaccard-touch")
     met = (touch.groupBy("x_lead", "y_lead").agg(F.min("least").alias("least"), F.max("off").alias("off"), F.max("many").alias("many")))
     met = materialise(met.select(F.col("x_lead").alias("x"), F.col("y_lead").alias("y"), "least", "off", "many"), "jaccard-met")
-    over = materialise(_overlaps(met, rows, k).join(met, ["x", "y"]), "jaccard-over")
+    likely = _open(met.withColumn("floor", F.when(F.col("many") > 0, need(F.col("least"), F.lit(0), num, den) - F.col("off"))),
+                   signed, num, den)
+    over = materialise(_overlaps(likely, rows, k).join(met, ["x", "y"]), "jaccard-over")
     direct = over.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # followers derive their answers from their leaders' overlap
@@ -265,8 +304,8 @@ def links(rows: DataFrame, reps: DataFrame, k: int = K, num: int = NUM, den: int
     members = (where.join(one, ["t", "x_cls", "x_lead"]).join(two, ["t", "y_cls", "y_lead"])
                .filter((1 + F.least("x_rest", "y_rest") >= least) & (F.col("o") + F.col("x_off") + F.col("y_off") >= least)
                        & (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")))
-               .select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct())
-    derived = _overlaps(members, rows, k).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+               .select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), F.lit(None).alias("floor")).distinct())
+    derived = _overlaps(_open(members, signed, num, den), rows, k).filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return materialise(found.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(direct)
                        .unionByName(derived), "jaccard-links")
 
@@ -279,7 +318,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = materialise(live.groupBy("s1", "s2", "n").agg(
         F.min("id").alias("id"), *(F.min(f"b{j}").alias(f"b{j}") for j in range(BANDS))), "jaccard-reps")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), utf8(F.col(text)).alias("body"))
-    edges = links(rows, sets, k, num, den)
+    edges = links(rows, sets, live.select("id", "n", "parity"), k, num, den)
     # a repeated id may stand for several sets, and each of them joins the id's node
     held = live.groupBy("id").agg(F.count_distinct("s1", "s2", "n").alias("c")).filter("c > 1").select("id")
     ties = (live.join(held, "id", "left_semi").join(sets.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"])

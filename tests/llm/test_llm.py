@@ -195,6 +195,18 @@ def test_jaccard_join(spark, k):
     assert sorted(map(tuple, got)) == linked_components(rows, k)
 
 
+@pytest.mark.parametrize("most", [64, 1 << 17])
+def test_parity_bound_holds(monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "PARITY_MOST", most)
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        pool = draw.integers(0, 1 << 63, int(draw.integers(1, 400)), dtype=np.uint64)
+        x, y = (np.unique(draw.choice(pool, int(draw.integers(1, 300)))) for _ in range(2))
+        odd = jaccard_join.differing(jaccard_join.parity_bits(x), jaccard_join.parity_bits(y))
+        assert np.intersect1d(x, y).size <= (x.size + y.size - odd) // 2
+        assert jaccard_join.differing(jaccard_join.parity_bits(x), jaccard_join.parity_bits(x)) == 0
+
+
 def test_jaccard_odd_rows(docs):
     got = jaccard_join.near_duplicates(docs).collect()
     assert len(got) == docs.count()
