@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import os
 import re
@@ -26,23 +27,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from lectern.llm.common import map_rows, materialise, merge_side_by_side, parts, rank_of_pairs, texts_of, utf8
 
 CAPACITY, END_ID = 4096, 1
-#: Words that merge side by side: lower-case ASCII letters, up to this many.
-ROW_CHARS, PLAIN = 32, re.compile(r"[a-z]+\Z").match
-CACHE_WORDS, CACHE_CHARS = 250_000, 4 << 20
-#: A sign behind a letter or number and before a blank is a token piece of its own, so it may stand apart.
-SIGN = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
+#: Words that merge side by side: lower-case letters of Latin-1, up to this many bytes.
+ROW_BYTES, LETTERS = 32, "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+CACHE_WORDS, CACHE_BYTES = 400_000, 8 << 20
+#: Signs behind a letter or number and before a blank are a token piece of their own, so they may stand apart
+#: (a bar may end a special token).  Only for letters that normalising leaves single: others may end in a mark.
+_SIGN, _SINGLE = r"[!-/:-@\[-`{}~]", "[0-9A-Za-zÀ-ÖØ-öø-įı-ſЀ-ҁ]"
+SIGN = re.compile(rf"{_SIGN}(?<={_SINGLE}{_SIGN}){_SIGN}*(?=[ \n]|\Z)")
+
+
+def latin(text: str) -> bool:
+    """Whether all code points are Latin-1: composed already, and lowered one by one."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class WordIds:
     """Ids of a tokenizer whose tokens never cross a space, cached by space-separated chunk.
 
-    The tokenizer lower-cases and splits off signs itself; ASCII texts are
-    lowered and full stops and commas behind words set apart before the lookup,
-    which changes no id and lets more chunks share an entry.
+    The tokenizer lower-cases and splits off signs itself; Latin-1 texts are
+    lowered and signs behind words set apart before the lookup, which changes
+    no id and lets more chunks share an entry.
     """
 
     def __init__(self, path: str):
@@ -55,52 +67,60 @@ class WordIds:
         key = np.array([vocab[a] << 24 | vocab[b] for a, b in merges], np.int64)
         self.order = np.argsort(key)
         self.keys, self.merged = key[self.order], np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.inner = np.array([vocab[chr(c)] for c in range(ord("a"), ord("z") + 1)], np.int64)
-        self.last = np.array([vocab[chr(c) + end] for c in range(ord("a"), ord("z") + 1)], np.int64)
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)  # id of a byte, of a word's last byte
+        for c in LETTERS:
+            for byte, sign in zip(c.encode(), spell(c)[0][0]):
+                self.inner[byte], self.last[byte] = vocab[sign], vocab[sign + end]
         self.forget()
 
-    def merge_plain(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of ASCII letters a-z: their merges need no splitting or normalising."""
+    def merge_plain(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of ``LETTERS``: their merges need no splitting or normalising."""
         width = max(map(len, words))
         n = np.array([len(w) for w in words])
-        at = np.frombuffer("".join(w.ljust(width, "a") for w in words).encode(), np.uint8).reshape(-1, width) - ord("a")
+        at = np.frombuffer(b"".join(w.ljust(width, b"a") for w in words), np.uint8).reshape(-1, width)
         ids = np.pad(self.inner[at], ((0, 0), (0, 1)))
         every = np.arange(len(words))
         ids[every, n - 1] = self.last[at[every, n - 1]]
         return merge_side_by_side(ids, n, lambda a, b: rank_of_pairs(self.keys, self.order, a, b), self.merged)
 
+    def learn(self, new: pa.Array) -> None:
+        """Keep the ids of distinct words."""
+        size = pa.compute.binary_length(new)
+        short = pa.compute.and_(pa.compute.match_substring_regex(new, f"^[{LETTERS}]+$"), pa.compute.less_equal(size, ROW_BYTES))
+        rest = new.filter(pa.compute.invert(short)).to_pylist()
+        some = new.filter(short)
+        some = some.take(pa.compute.sort_indices(size.filter(short)))
+        plain, spelled = some.to_pylist(), some.cast(pa.large_binary()).to_pylist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        for a in range(0, len(plain), 4096):
+            found += self.merge_plain(spelled[a:a + 4096])
+        self.seen.update(zip(rest + plain, range(len(self.at) - 1, len(self.at) - 1 + len(found))))
+        ends = np.cumsum([len(ids) for ids in found]) + len(self.flat)
+        self.at.frombytes(ends.astype(np.int64).tobytes())
+        self.flat.extend(itertools.chain.from_iterable(found))
+        self.bytes += pa.compute.sum(size).as_py()
+
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.chars = 0
+        self.bytes = 0
         self.flat, self.at = array("q"), array("q", [0])
 
     def ids(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of every text, followed by ``end_id``."""
-        if len(self.seen) > CACHE_WORDS or self.chars > CACHE_CHARS:
+        if len(self.seen) > CACHE_WORDS or self.bytes > CACHE_BYTES:
             self.forget()
-        words, sizes = [], []
-        for t in texts:
-            if t.isascii() and "<|" not in t:  # a special token is spelled in lower case
-                t = t.lower()
-            mine = SIGN.sub(r" \1", t).replace("\n", " ").split(" ")
-            words += mine
-            sizes.append(len(mine))
+        spaced = [SIGN.sub(r" \g<0>", t.lower() if latin(t) and "<|" not in t else t).replace("\n", " ") for t in texts]
+        split = pa.compute.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        sizes = pa.compute.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()  # each word of the batch once
         where = list(map(self.seen.get, words))
         if None in where:
-            new = list(dict.fromkeys(w for w, i in zip(words, where) if i is None))
-            plain = sorted((w for w in new if len(w) <= ROW_CHARS and PLAIN(w)), key=len)
-            rest = [w for w in new if len(w) > ROW_CHARS or not PLAIN(w)]
-            found = list(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
-            for a in range(0, len(plain), 4096):
-                found += zip(plain[a:a + 4096], self.merge_plain(plain[a:a + 4096]))
-            for w, ids in found:
-                self.seen[w] = len(self.at) - 1
-                self.flat.extend(ids)
-                self.at.append(len(self.flat))
-                self.chars += len(w)
+            self.learn(coded.dictionary.filter(pa.array([i is None for i in where], pa.bool_())))
             where = list(map(self.seen.__getitem__, words))
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.int64) if self.flat else np.zeros(0, np.int64)
-        where = np.array(where, np.int64)
+        where = np.array(where, np.int64)[coded.indices.to_numpy()]
         counts = at[where + 1] - at[where]
         before = np.cumsum(counts) - counts
         ids = flat[np.repeat(at[where] - before, counts) + np.arange(int(counts.sum()))]

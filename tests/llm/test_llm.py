@@ -257,6 +257,15 @@ def test_packing(docs):
     assert (s.groupby("sequence_id").length.sum() <= 4096).all()
 
 
+def test_word_ids_match_the_tokenizer():
+    tok = Tokenizer.from_file(WORDS)
+    odd = ["", "  ", "Café's déjà-vu!!! it's.", "foo<|endoftext|> bar<|ENDOFTEXT|>", "<|startoftext|>x!|> y", "İ, ΣΑΣ. Á. क़.",
+           "don't 'll x's! y's's", "ÀÉß÷×µªº²½. ÷ x÷ ÿŸ.", "a\xa0b\x85c\x1cd\tx\r\ny.\n", "word$$$\nnext.###", "é" * 300, "q" * 300, "x≠ =\u0338 y=\u0338"]
+    odd += ["".join(rng.choice("abcXYZéÉßÿŸ÷×_'\"!.,-|<> \n\t19²½\xa0\u0301中İΣ\x00") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    got = packing.WordIds(WORDS).ids(odd, 1)
+    assert [g.tolist() for g in got] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in odd]
+
+
 def test_packing_plan_is_tight():
     for _ in range(20):
         histogram = {rng.randrange(1, 101): rng.randrange(1, 400) for _ in range(30)}
