@@ -244,6 +244,18 @@ def test_language_evidence_from_markup_and_address(spark):
     assert spark.range(1).select(language_id.markup_language(F.lit('<HTML class=a lang="DE-at">')).alias("x")).first().x == "de"
 
 
+def test_language_model_holds_every_label(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANG_BLOCK", 64, raising=False)  # three passes
+    own = lambda i: " ".join(chr(0x4E00 + 40 * i + j) * 2 + chr(0x4E00 + 40 * i + (j + 7) % 40) for j in range(40))
+    rows = [(i, own(i), f"l{i:03d}") for i in range(140)] + [(1000 + i, own(0), "l000") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langs, counts = language_id.fit(docs)
+    assert len(langs) == 140
+    said = F.when(F.col("doc_id") == 139, F.lit("l139"))
+    found = language_id.identify(docs, (langs, counts), declared=said, host=F.concat("lang", F.lit(".site"))).join(docs, "doc_id").collect()
+    assert len(found) == 143 and all(r.language == r.lang and not r.rejected for r in found)
+
+
 def test_packing(docs):
     tok = Tokenizer.from_file(WORDS)
     got = packing.pack(packing.pieces(docs, WORDS).withColumn("crc", F.crc32("ids")).drop("ids")).toPandas()
