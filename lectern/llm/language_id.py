@@ -4,7 +4,7 @@ Four kinds of evidence meet in one posterior over the languages and an unknown
 one:
 
 * text: character trigrams of words, hashed to ``BUCKETS`` counts a language,
-  fitted on about ``PER_LANG`` labelled texts of each; a long text counts as
+  fitted on about ``PER_LANG`` distinct labelled texts of each; a long text counts as
   ``EVIDENCE`` trigrams, as its trigrams aren't independent;
 * the language that markup declares, weighed by how often each declaration
   agrees with the text in this corpus;
@@ -78,14 +78,16 @@ def grams(text: str) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], DataFrame | None]:
     """(languages, their trigram counts as a written table (lang, bucket, n)) from (text, lang)."""
-    rows = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("c")), "lang-sizes")
+    rows = labelled.select("text", "lang", F.xxhash64("text").alias("key")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    # equal texts are drawn together, so they count once, in the size of a language and in its sample
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("c"), F.approx_count_distinct("key", 0.02).alias("d"))
+    sizes = materialise(sizes.select("lang", F.when(F.col("c") <= per_lang, F.col("c")).otherwise(F.col("d")).alias("c")), "lang-sizes")
     langs = sorted(r["lang"] for r in sizes.select("lang").collect())  # one row a language
     if not langs:
         return [], None
     million = F.lit(1_000_000)
     limit = F.ceil(million * F.least(F.lit(1.0), F.lit(per_lang) / F.col("c")))
-    drawn = (rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), million) < limit)
+    drawn = (rows.join(F.broadcast(sizes), "lang").filter(F.pmod("key", million) < limit).dropDuplicates(["lang", "key"])
              .select("lang", utf8(F.col("text")).alias("body")))
 
     def run(batches):

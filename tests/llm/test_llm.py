@@ -256,6 +256,17 @@ def test_language_model_holds_every_label(spark, monkeypatch):
     assert len(found) == 143 and all(r.language == r.lang and not r.rejected for r in found)
 
 
+def test_language_sample_is_even_among_copies(spark):
+    texts = [" ".join(rng.choice(["foo", "oof", "ofo", "bar"]) for _ in range(9)) + f" t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    key = lambda t: spark.range(1).select(F.pmod(F.xxhash64(F.lit(t)), F.lit(1_000_000))).first()[0]
+    hot = next(f"zzz yyy {c}{d}" for c in "abcdefgh" for d in "abcdefghijklm" if key(f"zzz yyy {c}{d}") < 60_000)  # in the sample
+    rows = [(t, "aa") for t in texts] + [(hot, "aa")] * 400
+    _, counts = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), per_lang=100)
+    got = {r.bucket: r.n for r in counts.collect()}
+    assert all(got[b] <= 250 for b in language_id.grams("zzz"))  # about 100 texts, not 400 copies
+    assert sum(got.values()) > 50 * 20
+
+
 def test_packing(docs):
     tok = Tokenizer.from_file(WORDS)
     got = packing.pack(packing.pieces(docs, WORDS).withColumn("crc", F.crc32("ids")).drop("ids")).toPandas()
