@@ -143,62 +143,132 @@ def sparse_scores(qvec: DataFrame, cvec: DataFrame, q_ids: list[str], c_ids: lis
 
 
 # ---------------------------------------------------------------------------
-# Dense exact inner product (F3) with local top-k per Arrow batch.
+# Dense exact inner product (F3): blocks of queries meet blocks of corpus vectors.
 # ---------------------------------------------------------------------------
+#: Vectors and bytes of a block at most, how many times larger a block of queries is, corpus vectors scored at once.
+BLOCK, BLOCK_BYTES, QUERY_TIMES, STRIDE = 4096, 4 << 20, 2, 512
 
-def _dense_block_topk(q_ids, q_mat, k: int, id_col: str, vec_col: str):
-    """mapInPandas body: score a batch of corpus vectors against all queries and
-    keep, per query, every row whose score reaches the k-th best of the batch
-    (ties at the cut are kept, so the exact global top-k is a subset)."""
+
+def _vector_blocks(rows: DataFrame, name: str, times: int = 1) -> DataFrame:
+    """(block, dims, ids, body): vectors (id, vec) of one length side by side as binary, written once."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark import TaskContext
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
+        part = TaskContext.get().partitionId()
+        waiting, count = {}, 0  # dims -> [ids, vectors, number]
+
+        def emit(dims):
+            nonlocal count
+            ids, body, _ = waiting.pop(dims)
+            count += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + count]), pa.array([dims], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
+                 pa.array([np.concatenate(body).tobytes()], pa.binary())], ["block", "dims", "ids", "body"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
-            ids = pdf[id_col].to_numpy()
-            scores = q_mat @ mat.T  # (queries, batch)
+            lists, ids = batch.column("vec"), batch.column("id").to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            values, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+            for dims in np.unique(sizes).tolist():
+                at, most = np.flatnonzero(sizes == dims), times * min(BLOCK, max(1, BLOCK_BYTES // (8 * dims)))
+                while at.size:
+                    have = waiting.setdefault(dims, [[], [], 0])
+                    take, at = at[:most - have[2]], at[most - have[2]:]
+                    have[0].append(ids[take])
+                    have[1].append(values[(ends[take] - dims)[:, None] + np.arange(dims)])
+                    have[2] += take.size
+                    if have[2] == most:
+                        yield emit(dims)
+        for dims in list(waiting):
+            yield emit(dims)
+
+    spark, schema = rows.sparkSession, "block long, dims int, ids binary, body binary"
+    path = scratch_path(spark, name)
+    rows.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _best_of_blocks(q, blocks, k: int):
+    """(query position, id, score) of all rows of the blocks (ids, vectors) that can be among a query's ``k`` best.
+
+    Kept are the rows that reach the k-th best score less the rounding of
+    ``rank_top_k``, and of rows with one score those of the ``k`` smallest ids.
+    """
+    import numpy as np
+
+    at, ident, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor, slack = np.full(len(q), -np.inf), 10.0 ** -SCORE_DIGITS
+    for c_ids, c in blocks:
+        for a in range(0, len(c), STRIDE):
+            scores = q @ c[a:a + STRIDE].T
             n = scores.shape[1]
             if n > k:
-                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                keep = scores >= (kth[:, None] - 1e-9)
-            else:
-                keep = np.ones_like(scores, dtype=bool)
-            qi, ci = np.nonzero(keep)
-            yield pd.DataFrame({"qid": q_ids[qi], id_col: ids[ci], "score": scores[qi, ci]})
-
-    return run
+                floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
+            i, j = np.nonzero(scores >= floor[:, None] - slack)
+            at, ident, score = np.concatenate([at, i]), np.concatenate([ident, c_ids[a + j]]), np.concatenate([score, scores[i, j]])
+            pick = np.lexsort((ident, -score, at))
+            at, ident, score = at[pick], ident[pick], score[pick]
+            place = np.arange(at.size)
+            fresh = np.append(True, (at[1:] != at[:-1]) | (score[1:] != score[:-1]))[:at.size]
+            keep = place - np.maximum.accumulate(np.where(fresh, place, 0)) < k
+            at, ident, score = at[keep], ident[keep], score[keep]
+            last = np.arange(at.size) - np.searchsorted(at, at) == k - 1
+            floor[at[last]] = np.maximum(floor[at[last]], score[last])
+            keep = score >= floor[at] - slack
+            at, ident, score = at[keep], ident[keep], score[keep]
+    return at, ident, score
 
 
 def dense_top_k(spark, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, qid_col: str = "qid",
-                q_vec_col: str = "embedding", id_col: str = "vec_id", vec_col: str = "embedding",
-                max_queries: int = 200_000) -> DataFrame:
+                q_vec_col: str = "embedding", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """F3 + F5: exact inner-product top-k of every query against every corpus vector.
 
-    The query matrix is the broadcast side: its row count is checked first,
-    then it is shipped once per executor.  Corpus partitions are scored as
-    numpy blocks and only per-batch candidates (about ``k`` per query) leave
-    the Python worker, so the shuffle is batches x k x queries, not N x queries.
-    Above ``max_queries`` the queries are processed in bounded groups.
+    Both sides are cut into blocks inside the workers and written.  A block of
+    queries makes one cell, or several where there are fewer blocks than tasks;
+    the blocks of the corpus are dealt to the cells of their length and stream
+    past the queries, so no vector passes through the driver and a worker holds
+    one block of queries.  Only a cell's candidates (about ``k`` a query) go
+    into the ranking.
+
+    Vectors that are null, empty or hold a null or NaN and rows with a null id
+    take no part; vectors of different length never meet.
     """
+    import itertools
+
     import numpy as np
+    import pyarrow as pa
+
+    def rows(df: DataFrame, ident: str, vec: str) -> DataFrame:
+        found = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+        return found.filter(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
+
+    asked = _vector_blocks(rows(queries, qid_col, q_vec_col), "query-blocks", QUERY_TIMES)
+    held = _vector_blocks(rows(corpus, id_col, vec_col), "corpus-blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = math.ceil(parts / max(1, asked.count()))
+    one = asked.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
+                       F.lit(0).alias("side"), "dims", "ids", "body")
+    # the other side of this join is one number a block of queries
+    two = held.join(F.broadcast(asked.select(F.col("block").alias("q_block"), "dims")), "dims").select(
+        "q_block", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "dims", "ids", "body")
+    dealt = one.unionByName(two).repartition(parts, "q_block", "cell").sortWithinPartitions("q_block", "cell", "side")
 
-    n = queries.count()
-    groups = max(1, math.ceil(n / max_queries))
-    out = None
-    for g in range(groups):
-        part = queries if groups == 1 else queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(groups)) == g)
-        rows = part.select(qid_col, q_vec_col).collect()  # bounded by max_queries (checked above)
-        if not rows:
-            continue
-        q_ids = np.array([r[0] for r in rows])
-        q_mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-        schema = f"qid long, {id_col} long, score double"
-        cands = corpus.select(id_col, vec_col).mapInPandas(_dense_block_topk(q_ids, q_mat, k, id_col, vec_col), schema)
-        top = rank_top_k(cands, ["qid"], [id_col], k)
-        out = top if out is None else out.unionByName(top)
-    if out is None:
-        return spark.createDataFrame([], f"qid long, {id_col} long, score double, rank int")
-    return out
+    def run(batches):
+        def blocks():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, body = (batch.column(x)[i].as_buffer() for x in ("ids", "body"))
+                    yield ((batch.column("q_block")[i].as_py(), batch.column("cell")[i].as_py()), np.frombuffer(ids, np.int64),
+                           np.frombuffer(body, np.float64).reshape(-1, batch.column("dims")[i].as_py()))
+
+        for _, cell in itertools.groupby(blocks(), lambda x: x[0]):
+            _, q_ids, q = next(cell)  # the queries come first
+            at, ident, score = _best_of_blocks(q, (x[1:] for x in cell), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ident), pa.array(score)], ["qid", id_col, "score"])
+
+    found = dealt.mapInArrow(run, f"qid long, {id_col} long, score double")
+    return rank_top_k(found, ["qid"], [id_col], k)
