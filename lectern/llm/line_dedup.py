@@ -38,7 +38,7 @@ NO_ID = (1 << 63) - 1
 
 
 def line_key(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     return F.translate(bare, UPPER, LOWER)
 
 

@@ -123,6 +123,14 @@ def test_line_dedup(docs):
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, bytes(r.kept_text)) for r in got) == sorted(want)
 
 
+def test_lines_that_end_in_a_line_separator(spark):
+    rows = []
+    for i, end in enumerate(["\x85", "\u2028", "\u2029"]):
+        rows += [(10 * i, f"some words {i} {end}"), (10 * i + 1, f"some words {i}{end}"), (10 * i + 2, f" SOME words {i} {end}\nx")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=1).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {d: int(d % 10 == 2) for d, _ in rows}
+
+
 def test_line_store_reopens(spark):
     root = scratch_path(spark, "lines")
     batch = lambda ks, i: spark.createDataFrame([(i, hashlib.md5(k.encode()).digest()) for k in ks], "id long, hash binary")
