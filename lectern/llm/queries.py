@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, packing, suffix_dedup, topk_search,
-                         toxicity, warc)
+from lectern.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, suffix_dedup,
+                         topk_search, toxicity, warc)
 from lectern.llm.common import table
 from lectern.session import scratch_path
 
@@ -80,9 +80,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), carry=False)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_toxicity, op3_line_dedup, op4_warc, op5_jaccard_join, op6_language_id, op7_best_fit_packing,
-    op8_exact_dedup, op9_topk_search, op10_suffix_dedup, pages_language_id)}
+    op8_exact_dedup, op9_topk_search, op10_suffix_dedup, op12_prefix_trie, op13_mixing, pages_language_id)}
 
 _BLANK = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +125,41 @@ s AS (SELECT q.vec_id AS query_id, o.vec_id, CAST(list_inner_product(CAST(q.c AS
       FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op12_prefix_trie": """
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+             FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base,
+             xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                       lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h FROM own),
+l AS (SELECT c.*, least(h, coalesce(n, 0)) AS lead FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM own GROUP BY 1) USING (base)),
+r AS (SELECT l.conv_id, pos AS d, role, text FROM l JOIN own ON own.conv_id = l.base AND pos <= h
+      UNION ALL SELECT l.conv_id, pos - h + lead, role, text FROM l JOIN own ON own.conv_id = l.conv_id AND pos > h
+      UNION ALL SELECT conv_id, 0, '', '' FROM l),
+k AS (SELECT conv_id, d, octet_length(encode(text)) AS b, max(d) OVER (PARTITION BY conv_id) AS z,
+             string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r),
+nodes AS (SELECT key, min(conv_id) AS m, any_value(d) AS d, count(*) AS n, any_value(b) AS b, count(*) FILTER (d = z) AS e,
+                 coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (d = z), '') AS ends FROM k GROUP BY key),
+up AS (SELECT x.m, x.d, p.key AS parent, q.m AS parent_conv_id FROM nodes x JOIN k p ON p.conv_id = x.m AND p.d = x.d - 1 JOIN nodes q ON q.key = p.key),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY 1),
+sub AS (SELECT a.key, sum((x.n - 1) * x.b) AS saved, count(*) FILTER (x.key NOT IN (SELECT key FROM kids)) AS leaves
+        FROM nodes x JOIN k a ON a.conv_id = x.m AND a.d <= x.d GROUP BY a.key)
+SELECT x.m AS conv_id, x.d AS depth, parent_conv_id, x.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM nodes x JOIN sub USING (key) LEFT JOIN kids USING (key) LEFT JOIN up ON up.m = x.m AND up.d = x.d""",
+    "op13_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_BLANK.replace("[", "[^")}+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS z FROM d GROUP BY 1),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s),
+o AS (SELECT *, coalesce(sum(z) OVER before, 0) AS zs, coalesce(sum(w) OVER before, 0) AS ws, sum(z) OVER () AS zt, sum(w) OVER () AS wt
+      FROM w WINDOW before AS (ORDER BY 2 * z / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (1.5 * zt - 2 * zs) * w / (wt - ws) > 2 * z AS above FROM o),
+t AS (SELECT source, z, CASE WHEN above THEN 2 * z ELSE (1.5 * zt - 2 * coalesce(sum(z) FILTER (above) OVER (), 0)) * w
+                 / (wt - coalesce(sum(w) FILTER (above) OVER (), 0)) END AS target FROM c),
+r AS (SELECT *, CASE WHEN z > 0 THEN target / z ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, z::BIGINT AS source_size, target,
+       (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / pow(2, 52)
+                                        < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
 }
