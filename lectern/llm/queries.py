@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, suffix_dedup,
-                         topk_search, toxicity, warc)
+                         token_alignment, topk_search, toxicity, warc)
 from lectern.llm.common import table
 from lectern.session import scratch_path
 
@@ -80,6 +80,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -91,7 +97,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_toxicity, op3_line_dedup, op4_warc, op5_jaccard_join, op6_language_id, op7_best_fit_packing,
-    op8_exact_dedup, op9_topk_search, op10_suffix_dedup, op12_prefix_trie, op13_mixing, pages_language_id)}
+    op8_exact_dedup, op9_topk_search, op10_suffix_dedup, op11_token_alignment, op12_prefix_trie, op13_mixing, pages_language_id)}
 
 _BLANK = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
