@@ -58,9 +58,8 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
 def cluster_chunks(chunks: DataFrame) -> DataFrame:
     """Hash-cluster chunks by their key once.
 
-    Every later per-chunk step (term counts, vector norm, per-question score
-    sums) groups by a superset of ``(doc_id, pos)`` and therefore runs without
-    another exchange.  Keyed by the chunk, not the document, so one very long
+    Every later per-chunk step (term counts, vector norm) groups by a superset
+    of ``(doc_id, pos)`` and therefore runs without another exchange.  Keyed by the chunk, not the document, so one very long
     document spreads over many tasks.
     """
     return chunks.repartition("doc_id", "pos")

@@ -5,12 +5,9 @@ term frequency, L2-normalised, long form ``(id..., term, w)``.  Inner product
 of two such vectors is the cosine of their term-frequency vectors.
 
 Scale notes
-* Chunk vectors are built on chunk rows hash-clustered by ``(doc_id, pos)``:
-  term counts, the norm window and the per-(question, chunk) score sum all
-  group by supersets of that key, so none of them adds an exchange.
-* The question side of the term join is broadcast only after its row count is
-  checked; above the bound the questions are split into bounded batches, each
-  broadcast, so no term (stop words hit every chunk) is ever shuffled.
+* The long form is built on chunk rows hash-clustered by ``(doc_id, pos)``: term
+  counts and the norm window group by supersets of that key, so they add no
+  exchange.  Scoring reads term blocks instead (``term_blocks``).
 * Top-k uses ``row_number() <= k``; Catalyst inserts a partial
   ``WindowGroupLimit`` before the exchange, so only ``k`` rows per question per
   partition are shuffled.
@@ -31,7 +28,6 @@ from ..session import scratch_path
 TOP_K = 3
 # ---------------------------------------------------------------------------
 SCORE_DIGITS = 9
-MAX_BROADCAST_ROWS = 2_000_000
 
 
 def normalize_lemma(col, lemma_map: Column | None = None) -> Column:
@@ -94,19 +90,6 @@ def l2_normalize(col) -> Column:
     return F.get(scaled, 0)
 
 
-def bounded_batches(df: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS) -> list[DataFrame]:
-    """Split a small side into batches that are each safe to broadcast.
-
-    One count of the side (an action on the small table) proves the bound.
-    Every row lands in exactly one batch; nothing is dropped.
-    """
-    n = df.count()
-    if n <= max_rows:
-        return [F.broadcast(df)]
-    parts = math.ceil(n / max_rows)
-    return [F.broadcast(df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == b)) for b in range(parts)]
-
-
 def rank_top_k(scores: DataFrame, q_ids: list[str], tie: list[str], k: int = TOP_K) -> DataFrame:
     """best ``k`` per question by rounded score, lower chunk key first on ties."""
     ranked = scores.withColumn("__rs", F.round("score", SCORE_DIGITS))
@@ -114,34 +97,6 @@ def rank_top_k(scores: DataFrame, q_ids: list[str], tie: list[str], k: int = TOP
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__rs")
 
 
-def sparse_top_k(qvec: DataFrame, cvec: DataFrame, q_ids: list[str], c_ids: list[str], k: int = TOP_K,
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """F4 + F5: exact sparse inner product, then top-k per question.
-
-    ``qvec``: ``(q_ids..., term, w)``; ``cvec``: ``(c_ids..., term, w)``.
-    Returns ``(q_ids..., c_ids..., score, rank)``.
-    """
-    q = qvec.select(*q_ids, "term", F.col("w").alias("qw"))
-    out = None
-    for batch in bounded_batches(q, q_ids[0], max_broadcast_rows):
-        pairs = cvec.join(batch, "term")
-        scores = pairs.groupBy(*q_ids, *c_ids).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-        top = rank_top_k(scores, q_ids, c_ids, k)
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-def sparse_scores(qvec: DataFrame, cvec: DataFrame, q_ids: list[str], c_ids: list[str],
-                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """F4 alone: every (question, chunk) pair sharing a term with its exact score."""
-    q = qvec.select(*q_ids, "term", F.col("w").alias("qw"))
-    out = None
-    for batch in bounded_batches(q, q_ids[0], max_broadcast_rows):
-        s = cvec.join(batch, "term").groupBy(*q_ids, *c_ids).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 # ---------------------------------------------------------------------------
 # Dense exact inner product (F3): blocks of queries meet blocks of corpus vectors.
 # ---------------------------------------------------------------------------

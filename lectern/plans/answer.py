@@ -23,7 +23,8 @@ from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, clu
 from ..operators.context import MAX_CTX_CHARS, build_context, fetch_chunks
 from ..operators.inference import Generators, extractive_answer, generate_batch
 from ..operators.routing import THRESHOLD, gate, merge_answers
-from ..operators.vectors import TOP_K, encode_terms, sparse_top_k
+from ..operators.term_blocks import block_top_k, question_blocks, term_blocks, with_lemmas
+from ..operators.vectors import TOP_K, encode_terms
 from ..session import written
 from ..sources.sinks import META_SCHEMA, index_meta, read_vector_store, write_chunk_store, write_vector_store
 
@@ -42,33 +43,43 @@ class Options:
 
 @dataclass
 class Corpus:
-    """Chunks ``(doc_id, pos, title, text)`` and their vectors ``(doc_id, pos, term, w)``."""
+    """Chunks ``(doc_id, pos, title, text)``, their vectors ``(doc_id, pos, term, w)`` and the term blocks that are scored.
+
+    ``memo``: the lemmas ``(form, lemma)`` that corpus and questions share, if any.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
+    blocks: DataFrame
+    memo: DataFrame | None = None
 
 
 def build_corpus(docs: DataFrame, opts: Options = Options(), lemma_map: Column | None = None,
-                 lemma_table: DataFrame | None = None) -> Corpus:
-    """L1: documents ``(doc_id, title, text)`` -> clustered chunks and unit term vectors (lazy)."""
-    chunks = cluster_chunks(chunk_documents(docs, opts.chunk_size, opts.chunk_overlap))
-    vectors = encode_terms(chunks, ["doc_id", "pos"], "text", lemma_map, lemma_table)
-    return Corpus(chunks, vectors)
+                 memo: DataFrame | None = None) -> Corpus:
+    """L1: documents ``(doc_id, title, text)`` -> chunks, unit term vectors and term blocks (lazy; blocks are written with a memo)."""
+    chunks = chunk_documents(docs, opts.chunk_size, opts.chunk_overlap)
+    vectors = encode_terms(cluster_chunks(chunks), ["doc_id", "pos"], "text", lemma_map, memo)
+    blocks = term_blocks(chunks, "doc_id", "pos", "text", lemma_map)
+    return Corpus(chunks, vectors, with_lemmas(blocks, memo) if memo is not None else blocks, memo)
 
 
 def store_corpus(corpus: Corpus, path: str, opts: Options = Options()) -> None:
     """Write chunks, vectors and the index meta (A14-A16) under one folder."""
     write_chunk_store(corpus.chunks, f"{path}/chunks")
     write_vector_store(corpus.vectors, f"{path}/vectors")
+    corpus.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     index_meta(corpus.chunks, corpus.vectors, "terms", opts.chunk_size, opts.chunk_overlap).write.json(f"{path}/meta")
 
 
-def open_corpus(spark: SparkSession, path: str, opts: Options = Options()) -> Corpus:
-    """Answer from a stored index: chunks and vectors are read, nothing is chunked or encoded again."""
+def open_corpus(spark: SparkSession, path: str, opts: Options = Options(), memo: DataFrame | None = None) -> Corpus:
+    """Answer from a stored index: chunks, vectors and blocks are read, nothing is chunked or encoded again.
+
+    ``memo``: the lemmas the index was built with, for the questions.
+    """
     meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first()
     if meta is None or (meta["chunk_size"], meta["chunk_overlap"]) != (opts.chunk_size, opts.chunk_overlap):
         raise ValueError(f"the index at {path} was built with other chunk settings: {meta}")
-    return Corpus(spark.read.parquet(f"{path}/chunks"), read_vector_store(spark, f"{path}/vectors"))
+    return Corpus(spark.read.parquet(f"{path}/chunks"), read_vector_store(spark, f"{path}/vectors"), spark.read.parquet(f"{path}/blocks"), memo)
 
 
 def load_corpus_from_documents(spark: SparkSession, sf_dir: str, opts: Options = Options()) -> Corpus:
@@ -84,11 +95,17 @@ def load_benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def top_chunks(questions: DataFrame, corpus: Corpus, k: int = TOP_K, lemma_map: Column | None = None) -> DataFrame:
+    """F2 + F4 + F5: ``(qid, question)`` -> ``(qid, doc_id, pos, score, rank)``."""
+    asked = question_blocks(questions, "qid", "question", lemma_map)
+    asked = with_lemmas(asked, corpus.memo) if corpus.memo is not None else asked
+    return block_top_k(written(asked, "question-blocks"), corpus.blocks, k)
+
+
 def retrieve(questions: DataFrame, corpus: Corpus, opts: Options = Options(),
              lemma_map: Column | None = None) -> DataFrame:
     """``(qid, question)`` -> ``(qid, best_score, scores, ids, ctx)`` for questions with any score."""
-    qvec = encode_terms(questions, ["qid"], "question", lemma_map)
-    top = written(sparse_top_k(qvec, corpus.vectors, ["qid"], ["doc_id", "pos"], opts.top_k), "top-k")
+    top = written(top_chunks(questions, corpus, opts.top_k, lemma_map), "top-k")
     fetched = fetch_chunks(top, corpus.chunks)
     return build_context(fetched, ["qid"], opts.top_k, opts.max_ctx_chars)
 

@@ -49,9 +49,11 @@ from ..functions import text as T  # noqa: E402
 from ..operators import chunking as CH  # noqa: E402
 from ..operators import context as CX  # noqa: E402
 from ..operators import routing as R  # noqa: E402
+from ..operators import term_blocks as TB  # noqa: E402
 from ..operators import vectors as V  # noqa: E402
 from ..operators.inference import extractive_answer  # noqa: E402
-from .answer import Options, build_corpus, retrieve  # noqa: E402
+from ..session import written  # noqa: E402
+from .answer import Options, build_corpus, retrieve, top_chunks  # noqa: E402
 
 
 def docs_raw(spark, sf):
@@ -522,16 +524,14 @@ def q_dense_scores(spark, sf):
 @register("sparse_scores", f"WITH {RETR_BASE} SELECT qid, doc_id, pos, round(score, 6) AS score FROM scores")
 def q_sparse_scores(spark, sf):
     c = corpus_of(spark, sf)
-    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
-    s = V.sparse_scores(qv, c.vectors, ["qid"], ["doc_id", "pos"])
+    s = TB.block_pairs(written(TB.question_blocks(bench_questions(spark, sf)), "question-blocks"), c.blocks)
     return s.select("qid", "doc_id", "pos", F.round("score", 6).alias("score"))
 
 
 @register("top_k_sparse", f"WITH {RETR_BASE} SELECT qid, rank, doc_id, pos, round(score, 6) AS score FROM top")
 def q_top_k_sparse(spark, sf):
     c = corpus_of(spark, sf)
-    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
-    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    t = top_chunks(bench_questions(spark, sf), c, 3)
     return t.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "pos", F.round("score", 6).alias("score"))
 
 
@@ -544,8 +544,7 @@ def q_fetch_chunks(spark, sf):
     """F6 with missing ids (-1 and max+1) added per question: they fetch ''."""
     c = corpus_of(spark, sf)
     qs = bench_questions(spark, sf)
-    qv = V.encode_terms(qs, ["qid"], "question")
-    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3).select("qid", "rank", "doc_id", "pos")
+    t = top_chunks(qs, c, 3).select("qid", "rank", "doc_id", "pos")
     mx = table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("m")).first()["m"]  # one scalar
     extra = qs.select("qid", F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("pos")).unionByName(
         qs.select("qid", F.lit(9).alias("rank"), F.lit(mx).cast("long").alias("doc_id"), F.lit(0).alias("pos")))
@@ -557,8 +556,7 @@ def q_fetch_chunks(spark, sf):
 @register("trim_pieces", f"WITH {RETR_BASE} SELECT qid, rank, piece FROM pieces")
 def q_trim_pieces(spark, sf):
     c = corpus_of(spark, sf)
-    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
-    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    t = top_chunks(bench_questions(spark, sf), c, 3)
     f = CX.fetch_chunks(t, c.chunks)
     return f.select("qid", F.col("rank").cast("long").alias("rank"), CX.trim_piece(3).alias("piece"))
 
@@ -573,8 +571,7 @@ def q_build_context(spark, sf):
           f"WITH {RETR_BASE} SELECT qid, string_agg(substring(text, 1, 466), chr(10) || chr(10) ORDER BY rank) AS ctx FROM fetched GROUP BY qid")
 def q_build_context_basic(spark, sf):
     c = corpus_of(spark, sf)
-    qv = V.encode_terms(bench_questions(spark, sf), ["qid"], "question")
-    t = V.sparse_top_k(qv, c.vectors, ["qid"], ["doc_id", "pos"], 3)
+    t = top_chunks(bench_questions(spark, sf), c, 3)
     return CX.build_context_basic(CX.fetch_chunks(t, c.chunks), ["qid"], 3)
 
 
