@@ -66,26 +66,12 @@ def cluster_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def number_chunks(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    """Contiguous 0-based ``chunk_id`` in ``(doc_id, pos)`` order without a global window.
-
-    Range-partition + sort, checkpoint (reliable, in the shared checkpoint
-    folder) so the partition layout is fixed, count rows per partition (one row
-    per partition reaches the driver), then ``chunk_id = offset[partition] +
-    index within partition``.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    ordered = chunks.orderBy("doc_id", "pos").withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__mid", F.monotonically_increasing_id()
-    )
-    ordered = ordered.checkpoint(eager=True)
-    counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"), F.min("__mid").alias("m0")).collect()
-    offsets, acc = {}, 0
-    for r in sorted(counts, key=lambda r: r["__pid"]):
-        offsets[r["__pid"]] = (acc, r["m0"])
-        acc += r["n"]
-    if not offsets:
-        return ordered.drop("__pid", "__mid").withColumn("chunk_id", F.lit(None).cast("long"))
-    base = F.create_map(*[x for pid, (off, m0) in offsets.items() for x in (F.lit(pid), F.lit(off - m0))])
-    return ordered.withColumn("chunk_id", F.col("__mid") + F.element_at(base, F.col("__pid"))).drop("__pid", "__mid")
+    """``chunk_id`` 0-based in ``(doc_id, pos)`` order, read off a written chunk store."""
+    from ..session import scratch_path
+    from ..sources.chunk_store import ChunkStore, write_chunk_store
+
+    path = scratch_path(spark, "chunk-store")
+    for c in ("title", "text"):
+        chunks = chunks if c in chunks.columns else chunks.withColumn(c, F.lit(None).cast("string"))
+    write_chunk_store(chunks, path)
+    return ChunkStore(spark, path).numbered()

@@ -23,6 +23,7 @@ from ..functions.text import normalize_text, strip, tokens
 # Fixed values that must equal the reference's for right results.
 # ---------------------------------------------------------------------------
 GEN_BATCH = 8
+ENCODE_BATCH = 64
 SEED = 127
 
 
@@ -79,6 +80,15 @@ def generate_batch(df: DataFrame, prompt_col: str, make_generator: Callable[[],
     return df.withColumn(out, udf(F.col(prompt_col)))
 
 
+def encode_batch(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable], out: str = "embedding",
+                 batch_size: int = ENCODE_BATCH) -> DataFrame:
+    """F2 with a user encoder: ``make_encoder()(texts: np.ndarray[str]) -> np.ndarray[n, dim]`` over fixed-size batches."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    udf = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return df.withColumn(out, udf(F.col(text_col)))
+
+
 @dataclass
 class Generators:
     """User model hooks per route; ``None`` means the deterministic default."""

@@ -104,8 +104,17 @@ def rank_top_k(scores: DataFrame, q_ids: list[str], tie: list[str], k: int = TOP
 BLOCK, BLOCK_BYTES, QUERY_TIMES, STRIDE = 4096, 4 << 20, 2, 512
 
 
-def _vector_blocks(rows: DataFrame, name: str, times: int = 1) -> DataFrame:
-    """(block, dims, ids, body): vectors (id, vec) of one length side by side as binary, written once."""
+BLOCK_SCHEMA = "block long, dims int, ids binary, body binary"
+
+
+def vector_rows(df: DataFrame, ident: str, vec: str) -> DataFrame:
+    """(id, vec) of the vectors that can be scored: not null, not empty, without null or NaN, with an id."""
+    found = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    return found.filter(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
+def vector_blocks(rows: DataFrame, path: str, times: int = 1) -> DataFrame:
+    """(block, dims, ids, body): vectors (id, vec) of one length side by side as binary, written to ``path`` and read back."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -141,10 +150,9 @@ def _vector_blocks(rows: DataFrame, name: str, times: int = 1) -> DataFrame:
         for dims in list(waiting):
             yield emit(dims)
 
-    spark, schema = rows.sparkSession, "block long, dims int, ids binary, body binary"
-    path = scratch_path(spark, name)
-    rows.mapInArrow(run, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    spark = rows.sparkSession
+    rows.mapInArrow(run, BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
 def _best_of_blocks(q, blocks, k: int):
@@ -192,17 +200,14 @@ def dense_top_k(spark, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, qi
     Vectors that are null, empty or hold a null or NaN and rows with a null id
     take no part; vectors of different length never meet.
     """
-    import itertools
+    held = vector_blocks(vector_rows(corpus, id_col, vec_col), scratch_path(spark, "corpus-blocks"))
+    return dense_top_k_of_blocks(vector_rows(queries, qid_col, q_vec_col), held, k, id_col)
 
-    import numpy as np
-    import pyarrow as pa
 
-    def rows(df: DataFrame, ident: str, vec: str) -> DataFrame:
-        found = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        return found.filter(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
-
-    asked = _vector_blocks(rows(queries, qid_col, q_vec_col), "query-blocks", QUERY_TIMES)
-    held = _vector_blocks(rows(corpus, id_col, vec_col), "corpus-blocks")
+def _cells(queries: DataFrame, held: DataFrame) -> DataFrame:
+    """Blocks of the queries (id, vec) and the stored corpus blocks dealt to them, sorted by (q_block, cell, side), queries first."""
+    spark = queries.sparkSession
+    asked = vector_blocks(queries, scratch_path(spark, "query-blocks"), QUERY_TIMES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = math.ceil(parts / max(1, asked.count()))
     one = asked.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
@@ -210,20 +215,55 @@ def dense_top_k(spark, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, qi
     # the other side of this join is one number a block of queries
     two = held.join(F.broadcast(asked.select(F.col("block").alias("q_block"), "dims")), "dims").select(
         "q_block", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "dims", "ids", "body")
-    dealt = one.unionByName(two).repartition(parts, "q_block", "cell").sortWithinPartitions("q_block", "cell", "side")
+    return one.unionByName(two).repartition(parts, "q_block", "cell").sortWithinPartitions("q_block", "cell", "side")
+
+
+def _stream_cells(batches):
+    """(query ids, query vectors, iterator of corpus (ids, vectors)) of every cell of a task."""
+    import itertools
+
+    import numpy as np
+
+    def blocks():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, body = (batch.column(x)[i].as_buffer() for x in ("ids", "body"))
+                yield ((batch.column("q_block")[i].as_py(), batch.column("cell")[i].as_py()), np.frombuffer(ids, np.int64),
+                       np.frombuffer(body, np.float64).reshape(-1, batch.column("dims")[i].as_py()))
+
+    for _, cell in itertools.groupby(blocks(), lambda x: x[0]):
+        _, q_ids, q = next(cell)
+        yield q_ids, q, (x[1:] for x in cell)
+
+
+def dense_top_k_of_blocks(queries: DataFrame, held: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
+    """``dense_top_k`` of queries (id, vec) against stored ``vector_blocks``."""
+    import pyarrow as pa
 
     def run(batches):
-        def blocks():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    ids, body = (batch.column(x)[i].as_buffer() for x in ("ids", "body"))
-                    yield ((batch.column("q_block")[i].as_py(), batch.column("cell")[i].as_py()), np.frombuffer(ids, np.int64),
-                           np.frombuffer(body, np.float64).reshape(-1, batch.column("dims")[i].as_py()))
-
-        for _, cell in itertools.groupby(blocks(), lambda x: x[0]):
-            _, q_ids, q = next(cell)  # the queries come first
-            at, ident, score = _best_of_blocks(q, (x[1:] for x in cell), k)
+        for q_ids, q, corpus in _stream_cells(batches):
+            at, ident, score = _best_of_blocks(q, corpus, k)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ident), pa.array(score)], ["qid", id_col, "score"])
 
-    found = dealt.mapInArrow(run, f"qid long, {id_col} long, score double")
+    found = _cells(queries, held).mapInArrow(run, f"qid long, {id_col} long, score double")
     return rank_top_k(found, ["qid"], [id_col], k)
+
+
+def dense_score_stats(queries: DataFrame, held: DataFrame) -> DataFrame:
+    """(qid, n, best, total) over the scores of every query (id, vec) with all stored vectors of its length."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for q_ids, q, corpus in _stream_cells(batches):
+            n, best, total = 0, np.full(len(q), -np.inf), np.zeros(len(q))
+            for _, c in corpus:
+                for a in range(0, len(c), STRIDE):
+                    scores = q @ c[a:a + STRIDE].T
+                    n, best, total = n + scores.shape[1], np.maximum(best, scores.max(1)), total + scores.sum(1)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.full(len(q), n)), pa.array(best), pa.array(total)],
+                                                 ["qid", "n", "best", "total"])
+
+    found = _cells(queries, held).mapInArrow(run, "qid long, n long, best double, total double")
+    return found.groupBy("qid").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.sum("total").alias("total"))

@@ -140,10 +140,10 @@ def chunks_cte(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, src: str =
     )
 
 
-def vectors_cte(name: str, src: str, ids: str, text: str) -> str:
-    """Unit term-frequency vectors ``(ids, term, w)`` of ``src.text``."""
+def vectors_cte(name: str, src: str, ids: str, text: str, term: str = "form") -> str:
+    """Unit term-frequency vectors ``(ids, term, w)`` of ``src.text``; ``term``: what is counted of a token ``form``."""
     return (
-        f"{name}_tok AS (SELECT {ids}, unnest({tokens(norm(text))}) AS term FROM {src}), "
+        f"{name}_tok AS (SELECT {ids}, {term} AS term FROM (SELECT {ids}, unnest({tokens(norm(text))}) AS form FROM {src})), "
         f"{name}_tf AS (SELECT {ids}, term, count(*) AS tf FROM {name}_tok GROUP BY {ids}, term), "
         f"{name} AS (SELECT {ids}, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {ids})) AS w FROM {name}_tf)"
     )
@@ -154,14 +154,18 @@ def benchmark_questions_cte() -> str:
     return f"qs AS (SELECT CAST(item_id AS BIGINT) AS qid, {text} AS question FROM benchmark WHERE length({text}) > 0)"
 
 
-def retrieval_ctes(questions: str = "qs", k: int = TOP_K, max_ctx: int = MAX_CTX_CHARS) -> str:
-    """top-k, fetch, context: defines ``top`` and ``retr(qid, best_score, ctx)``."""
+def retrieval_ctes(questions: str = "qs", k: int = TOP_K, max_ctx: int = MAX_CTX_CHARS, term: str = "form", every: bool = False) -> str:
+    """top-k, fetch, context: defines ``top`` and ``retr(qid, best_score, ctx)``.
+
+    ``term``: what is counted of a token; ``every``: pairs without a common term score 0 (dense vectors)."""
     per = piece_length(k, max_ctx)
     return ", ".join([
-        vectors_cte("cvec", "chunks", "doc_id, pos", "text"),
-        vectors_cte("qvec", questions, "qid", "question"),
-        "scores AS (SELECT q.qid, c.doc_id, c.pos, sum(q.w * c.w) AS score FROM qvec q JOIN cvec c ON q.term = c.term "
+        vectors_cte("cvec", "chunks", "doc_id, pos", "text", term),
+        vectors_cte("qvec", questions, "qid", "question", term),
+        f"{'met' if every else 'scores'} AS (SELECT q.qid, c.doc_id, c.pos, sum(q.w * c.w) AS score FROM qvec q JOIN cvec c ON q.term = c.term "
         "GROUP BY q.qid, c.doc_id, c.pos)",
+        *([f"scores AS (SELECT q.qid, c.doc_id, c.pos, coalesce(m.score, 0.0) AS score FROM {questions} q CROSS JOIN chunks c "
+           "LEFT JOIN met m ON m.qid = q.qid AND m.doc_id = c.doc_id AND m.pos = c.pos)"] if every else []),
         f"ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, {SCORE_DIGITS}) DESC, doc_id, pos) AS rank FROM scores)",
         f"top AS (SELECT * FROM ranked WHERE rank <= {k})",
         "fetched AS (SELECT t.qid, t.rank, t.score, t.doc_id, t.pos, coalesce(c.title, '') AS title, coalesce(c.text, '') AS text "
@@ -198,7 +202,8 @@ def fmt_number(v: str) -> str:
             f"ELSE replace(printf('%.10g', {v}), '.', ',') || '.' END")
 
 
-def flagship(k: int = TOP_K, threshold: float = THRESHOLD, qs_cte: str | None = None, tail: str | None = None) -> str:
+def flagship(k: int = TOP_K, threshold: float = THRESHOLD, qs_cte: str | None = None, tail: str | None = None, term: str = "form",
+             every: bool = False) -> str:
     """I5 answer_questions: questions ``qs(qid, question)`` (benchmark by default) over documents.
 
     ``tail`` replaces the final SELECT; it can read ``routed`` and ``allr``."""
@@ -208,7 +213,7 @@ def flagship(k: int = TOP_K, threshold: float = THRESHOLD, qs_cte: str | None =
         f"WITH {documents_cte()}, {chunks_cte()}, {qs_cte or benchmark_questions_cte()}, "
         f"routed AS ({math_select('qs', 'question', 'math')}), "
         f"rest AS (SELECT qid, question FROM routed WHERE math IS NULL), "
-        f"{retrieval_ctes('rest', k)}, "
+        f"{retrieval_ctes('rest', k, term=term, every=every)}, "
         f"judged AS (SELECT r.qid, r.question, x.best_score, x.ctx, {gate('x.best_score', 'x.ctx', threshold)} AS ok "
         f"FROM rest r LEFT JOIN retr x ON r.qid = x.qid), "
         f"acc AS (SELECT qid, question, ctx, best_score FROM judged WHERE ok), "

@@ -11,6 +11,7 @@ steps read it, and texts are fetched for its keys only.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,14 @@ from ..functions.text import REFUSE, clean_answer, clean_raw_output, is_broken,
 from ..functions import prompts as P
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, cluster_chunks, prepare_documents
 from ..operators.context import MAX_CTX_CHARS, build_context, fetch_chunks
-from ..operators.inference import Generators, extractive_answer, generate_batch
+from ..operators.inference import Generators, encode_batch, extractive_answer, generate_batch
+from ..operators.lemmas import Lemmas
 from ..operators.routing import THRESHOLD, gate, merge_answers
-from ..operators.term_blocks import block_top_k, question_blocks, term_blocks, with_lemmas
-from ..operators.vectors import TOP_K, encode_terms
+from ..operators.term_blocks import block_top_k, question_blocks, term_blocks
+from ..operators.vectors import TOP_K, BLOCK_SCHEMA, dense_top_k_of_blocks, encode_terms, l2_normalize, normalize_lemma, vector_blocks, vector_rows
 from ..session import written
-from ..sources.sinks import META_SCHEMA, index_meta, read_vector_store, write_chunk_store, write_vector_store
+from ..sources.chunk_store import ChunkStore, write_chunk_store
+from ..sources.sinks import META_SCHEMA, index_meta, read_vector_store, write_vector_store
 
 
 @dataclass(frozen=True)
@@ -43,43 +46,80 @@ class Options:
 
 @dataclass
 class Corpus:
-    """Chunks ``(doc_id, pos, title, text)``, their vectors ``(doc_id, pos, term, w)`` and the term blocks that are scored.
+    """Chunks ``(doc_id, pos, title, text)`` and what is scored.
 
-    ``memo``: the lemmas ``(form, lemma)`` that corpus and questions share, if any.
+    Default encoder: unit vectors ``(doc_id, pos, term, w)`` and term blocks.
+    User encoder: vector blocks of the numbered chunks of ``store``.
+    ``lemmas``: the memo that corpus and questions share, if any.
     """
 
     chunks: DataFrame
-    vectors: DataFrame
-    blocks: DataFrame
-    memo: DataFrame | None = None
+    vectors: DataFrame | None = None
+    blocks: DataFrame | None = None
+    lemmas: Lemmas | None = None
+    store: ChunkStore | None = None
+    dense: DataFrame | None = None
+    make_encoder: Callable[[], Callable] | None = None
 
 
-def build_corpus(docs: DataFrame, opts: Options = Options(), lemma_map: Column | None = None,
-                 memo: DataFrame | None = None) -> Corpus:
-    """L1: documents ``(doc_id, title, text)`` -> chunks, unit term vectors and term blocks (lazy; blocks are written with a memo)."""
+def build_corpus(docs: DataFrame, opts: Options = Options(), lemma_map: Column | None = None, lemmas: Lemmas | None = None) -> Corpus:
+    """L1: documents ``(doc_id, title, text)`` -> chunks, unit term vectors and term blocks (lazy; blocks are written with ``lemmas``)."""
     chunks = chunk_documents(docs, opts.chunk_size, opts.chunk_overlap)
-    vectors = encode_terms(cluster_chunks(chunks), ["doc_id", "pos"], "text", lemma_map, memo)
     blocks = term_blocks(chunks, "doc_id", "pos", "text", lemma_map)
-    return Corpus(chunks, vectors, with_lemmas(blocks, memo) if memo is not None else blocks, memo)
+    blocks = lemmas.of_blocks(blocks) if lemmas is not None else blocks
+    memo = lemmas.memo(docs.sparkSession) if lemmas is not None else None
+    vectors = encode_terms(cluster_chunks(chunks), ["doc_id", "pos"], "text", lemma_map, memo)
+    return Corpus(chunks, vectors, blocks, lemmas)
 
 
 def store_corpus(corpus: Corpus, path: str, opts: Options = Options()) -> None:
-    """Write chunks, vectors and the index meta (A14-A16) under one folder."""
+    """Write chunks, vectors, term blocks and the index meta (A14-A16) under one folder."""
     write_chunk_store(corpus.chunks, f"{path}/chunks")
     write_vector_store(corpus.vectors, f"{path}/vectors")
     corpus.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-    index_meta(corpus.chunks, corpus.vectors, "terms", opts.chunk_size, opts.chunk_overlap).write.json(f"{path}/meta")
+    index_meta(corpus.chunks, corpus.vectors, "terms", opts.chunk_size, opts.chunk_overlap).write.mode("overwrite").json(f"{path}/meta")
 
 
-def open_corpus(spark: SparkSession, path: str, opts: Options = Options(), memo: DataFrame | None = None) -> Corpus:
-    """Answer from a stored index: chunks, vectors and blocks are read, nothing is chunked or encoded again.
+def store_dense_corpus(docs: DataFrame, path: str, make_encoder: Callable[[], Callable], model: str, opts: Options = Options(),
+                       lemmas: Lemmas | None = None) -> None:
+    """L1 with a user encoder: the chunk store, the exact flat index of its numbered chunks as vector blocks, and the meta."""
+    spark = docs.sparkSession
+    write_chunk_store(chunk_documents(docs, opts.chunk_size, opts.chunk_overlap), f"{path}/chunks")
+    chunks = ChunkStore(spark, f"{path}/chunks").numbered().select("chunk_id", "text")
+    vectors = encode_batch(_normalised(chunks, "chunk_id", "text", lemmas), "norm", make_encoder)
+    held = vector_blocks(vector_rows(vectors.withColumn("embedding", l2_normalize("embedding")), "chunk_id", "embedding"), f"{path}/dense")
+    dims = held.agg(F.max("dims").cast("long").alias("dim"), F.sum(F.octet_length("ids") / 8).cast("long").alias("chunks"))
+    dims.select(F.lit(model).alias("model"), "dim", "chunks", F.lit(opts.chunk_size).alias("chunk_size"),
+                F.lit(opts.chunk_overlap).alias("chunk_overlap")).write.mode("overwrite").json(f"{path}/meta")
 
-    ``memo``: the lemmas the index was built with, for the questions.
-    """
+
+def _normalised(df: DataFrame, key: str, text: str, lemmas: Lemmas | None) -> DataFrame:
+    """(key, norm): what an encoder sees."""
+    return df.select(key, normalize_lemma(text).alias("norm")) if lemmas is None else lemmas.of_texts(df, [key], text)
+
+
+def _check_meta(spark: SparkSession, path: str, opts: Options) -> None:
     meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first()
     if meta is None or (meta["chunk_size"], meta["chunk_overlap"]) != (opts.chunk_size, opts.chunk_overlap):
         raise ValueError(f"the index at {path} was built with other chunk settings: {meta}")
-    return Corpus(spark.read.parquet(f"{path}/chunks"), read_vector_store(spark, f"{path}/vectors"), spark.read.parquet(f"{path}/blocks"), memo)
+
+
+def open_corpus(spark: SparkSession, path: str, opts: Options = Options(), lemmas: Lemmas | None = None) -> Corpus:
+    """Answer from a stored index: chunks, vectors and blocks are read, nothing is chunked or encoded again.
+
+    ``lemmas``: the memo that the index was built with, for the questions.
+    """
+    _check_meta(spark, path, opts)
+    store = ChunkStore(spark, f"{path}/chunks")
+    return Corpus(store.rows(), read_vector_store(spark, f"{path}/vectors"), spark.read.parquet(f"{path}/blocks"), lemmas, store)
+
+
+def open_dense_corpus(spark: SparkSession, path: str, make_encoder: Callable[[], Callable], opts: Options = Options(),
+                      lemmas: Lemmas | None = None) -> Corpus:
+    """A stored dense index; ``make_encoder`` encodes the questions."""
+    _check_meta(spark, path, opts)
+    store = ChunkStore(spark, f"{path}/chunks")
+    return Corpus(store.rows(), lemmas=lemmas, store=store, dense=spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/dense"), make_encoder=make_encoder)
 
 
 def load_corpus_from_documents(spark: SparkSession, sf_dir: str, opts: Options = Options()) -> Corpus:
@@ -98,15 +138,25 @@ def load_benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_chunks(questions: DataFrame, corpus: Corpus, k: int = TOP_K, lemma_map: Column | None = None) -> DataFrame:
     """F2 + F4 + F5: ``(qid, question)`` -> ``(qid, doc_id, pos, score, rank)``."""
     asked = question_blocks(questions, "qid", "question", lemma_map)
-    asked = with_lemmas(asked, corpus.memo) if corpus.memo is not None else asked
+    asked = corpus.lemmas.of_blocks(asked) if corpus.lemmas is not None else asked
     return block_top_k(written(asked, "question-blocks"), corpus.blocks, k)
 
 
+def top_chunk_ids(questions: DataFrame, corpus: Corpus, k: int = TOP_K) -> DataFrame:
+    """F2 + F3 + F5: ``(qid, question)`` -> ``(qid, chunk_id, score, rank)`` by the stored vectors of a user encoder."""
+    norm = _normalised(questions.filter("qid is not null"), "qid", "question", corpus.lemmas)
+    vectors = encode_batch(norm, "norm", corpus.make_encoder)
+    return dense_top_k_of_blocks(vector_rows(vectors.withColumn("embedding", l2_normalize("embedding")), "qid", "embedding"), corpus.dense, k, "chunk_id")
+
+
 def retrieve(questions: DataFrame, corpus: Corpus, opts: Options = Options(),
              lemma_map: Column | None = None) -> DataFrame:
     """``(qid, question)`` -> ``(qid, best_score, scores, ids, ctx)`` for questions with any score."""
-    top = written(top_chunks(questions, corpus, opts.top_k, lemma_map), "top-k")
-    fetched = fetch_chunks(top, corpus.chunks)
+    if corpus.dense is not None:
+        fetched = corpus.store.fetch(written(top_chunk_ids(questions, corpus, opts.top_k), "top-k"), by="id")
+    else:
+        top = written(top_chunks(questions, corpus, opts.top_k, lemma_map), "top-k")
+        fetched = corpus.store.fetch(top) if corpus.store is not None else fetch_chunks(top, corpus.chunks)
     return build_context(fetched, ["qid"], opts.top_k, opts.max_ctx_chars)
 
 

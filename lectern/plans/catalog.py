@@ -509,16 +509,9 @@ def q_top_k_dense(spark, sf):
           f"WITH {DENSE_PAIRS} SELECT qid, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM pairs GROUP BY qid")
 def q_dense_scores(spark, sf):
     """all-pairs exact scores, aggregated per query (count, best, sum) to keep the output per query."""
-    e = table(spark, sf, "embeddings")
-    top = V.dense_top_k(spark, e.select(F.col("vec_id").alias("qid"), "embedding"), e, 1)
-    # count and sum over all pairs: sum of scores = q . (sum of corpus vectors); count = corpus size
-    dim_sum = e.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    qx = e.select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    total = qx.join(F.broadcast(dim_sum), "i").groupBy("vec_id").agg(F.sum(F.col("x").cast("double") * F.col("s")).alias("total"))
-    n = e.count()
-    return (top.select(F.col("qid").alias("vec_id"), "score").join(total, "vec_id")
-            .select(F.col("vec_id").alias("qid"), F.lit(n).cast("long").alias("n"), F.round("score", 6).alias("best"),
-                    F.round("total", 4).alias("total")))
+    rows = V.vector_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    found = V.dense_score_stats(rows, V.vector_blocks(rows, scratch_path(spark, "corpus-blocks")))
+    return found.select("qid", "n", F.round("best", 6).alias("best"), F.round("total", 4).alias("total"))
 
 
 @register("sparse_scores", f"WITH {RETR_BASE} SELECT qid, doc_id, pos, round(score, 6) AS score FROM scores")
@@ -933,6 +926,7 @@ def q_corpus_counts(spark, sf):
 
 from ..session import scratch_path  # noqa: E402
 from ..sources import readers as RD  # noqa: E402
+from ..sources import chunk_store as CS  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
 
@@ -1117,8 +1111,8 @@ def q_sink_answers_json(spark, sf):
 def q_chunk_store_roundtrip(spark, sf):
     """Chunk store written as Parquet and read back with the chunk key."""
     path = scratch_path(spark, "chunk-store")
-    SK.write_chunk_store(CH.chunk_documents(prepared_docs(spark, sf)), path)
-    return spark.read.parquet(path)
+    CS.write_chunk_store(CH.chunk_documents(prepared_docs(spark, sf)), path)
+    return CS.ChunkStore(spark, path).rows().select("doc_id", "pos", "title", "text")
 
 
 @register("vector_store_roundtrip", f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text')} "
@@ -1161,17 +1155,68 @@ def q_generate_batch(spark, sf):
     return generate_batch(b, "prompt", make_echo_generator, "raw", 8).select("qid", "raw")
 
 
-@register("encode_batch")
+# One token adds 1 to the bucket of its shape (see make_shape_encoder).
+SHAPE_SQL = "(7 * unicode(form) + 3 * unicode(right(form, 1)) + length(form)) % 64"
+
+
+@register("encode_batch",
+          f"WITH {O.documents_cte()}, {O.chunks_cte()}, {O.vectors_cte('cvec', 'chunks', 'doc_id, pos', 'text', SHAPE_SQL)}, "
+          "n AS (SELECT doc_id, pos, unnest(range(0, 64)) AS i FROM chunks) "
+          "SELECT n.doc_id, n.pos, n.i, round(coalesce(c.w, 0.0), 9) AS x FROM n LEFT JOIN cvec c ON c.doc_id = n.doc_id AND c.pos = n.pos AND c.term = n.i")
 def q_encode_batch(spark, sf):
-    """F2 with a user encoder: batch-64 unit vectors of every chunk's normalised text."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as TT
+    """F2 with a user encoder: batch-64 unit vectors of every chunk's normalised text, one row a component."""
+    from ..operators.inference import encode_batch
+    from ..operators.toy_models import make_shape_encoder
+
+    ch = CH.chunk_documents(prepared_docs(spark, sf)).select("doc_id", "pos", V.normalize_lemma("text").alias("norm"))
+    found = encode_batch(ch, "norm", make_shape_encoder).select("doc_id", "pos", F.posexplode("embedding").alias("i", "x"))
+    return found.select("doc_id", "pos", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+
+
+@register("answer_questions_dense", O.flagship(term=SHAPE_SQL, every=True))
+def q_answer_questions_dense(spark, sf):
+    """F2 to F10 with a user encoder: a dense index stored from the documents, opened again and asked."""
+    from ..operators.toy_models import make_shape_encoder
+    from .answer import open_dense_corpus, store_dense_corpus
+
+    path = scratch_path(spark, "dense-index")
+    store_dense_corpus(prepared_docs(spark, sf), path, make_shape_encoder, "shapes")
+    return answer_questions(bench_questions(spark, sf), open_dense_corpus(spark, path, make_shape_encoder))
+
+
+STEM_SQL = "CASE WHEN length(form) >= 8 THEN substring(form, 1, 6) ELSE form END"
+
+
+@register("answer_questions_lemma", O.flagship(term=STEM_SQL))
+def q_answer_questions_lemma(spark, sf):
+    """B3/B5 in retrieval: corpus and questions over the lemmas of one memo, learnt from their distinct tokens."""
+    from ..operators.lemmas import Lemmas
+    from ..operators.toy_models import make_stem_lemmatiser
+
+    lemmas = Lemmas(scratch_path(spark, "memo"), make_stem_lemmatiser)
+    return answer_questions(bench_questions(spark, sf), build_corpus(prepared_docs(spark, sf), lemmas=lemmas))
+
+
+@register("answer_questions_dense_lemma", O.flagship(term=SHAPE_SQL.replace("form", f"({STEM_SQL})"), every=True))
+def q_answer_questions_dense_lemma(spark, sf):
+    """The user encoder over lemmatised texts, on both sides."""
+    from ..operators.lemmas import Lemmas
+    from ..operators.toy_models import make_shape_encoder, make_stem_lemmatiser
+    from .answer import open_dense_corpus, store_dense_corpus
+
+    path, lemmas = scratch_path(spark, "dense-index"), Lemmas(scratch_path(spark, "memo"), make_stem_lemmatiser)
+    store_dense_corpus(prepared_docs(spark, sf), path, make_shape_encoder, "shapes", lemmas=lemmas)
+    return answer_questions(bench_questions(spark, sf), open_dense_corpus(spark, path, make_shape_encoder, lemmas=lemmas))
+
 
-    from ..operators.toy_models import make_hash_encoder
+@register("answer_questions_stored", O.flagship())
+def q_answer_questions_stored(spark, sf):
+    """The term index stored, opened and asked; texts are fetched from the ranges that hold wanted keys."""
+    from .answer import open_corpus, store_corpus
 
-    enc = predict_batch_udf(make_hash_encoder, return_type=TT.ArrayType(TT.FloatType()), batch_size=64, input_tensor_shapes=None)
-    ch = CH.chunk_documents(prepared_docs(spark, sf))
-    return ch.select("doc_id", "pos", enc(V.normalize_lemma("text")).alias("embedding"))
+    path = scratch_path(spark, "term-index")
+    store_corpus(corpus_of(spark, sf), path)
+    return answer_questions(bench_questions(spark, sf), open_corpus(spark, path))
 
 
 @register("strict_retry")

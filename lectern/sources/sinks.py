@@ -64,11 +64,6 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError(f"unknown dataset format: {fmt}; use json, csv or tsv")
 
 
-def write_chunk_store(chunks: DataFrame, path: str) -> None:
-    """``(doc_id, pos, title, text)`` Parquet, sorted by the chunk key inside files."""
-    chunks.select("doc_id", "pos", "title", "text").sortWithinPartitions("doc_id", "pos").write.mode("overwrite").parquet(path)
-
-
 def write_vector_store(vectors: DataFrame, path: str) -> None:
     """The exact flat store: one row per chunk with its terms and weights."""
     per_chunk = vectors.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("vec"))

@@ -92,3 +92,100 @@ def test_blocks_are_skipped(spark):
     scored = list(TB.block_scores(asked, held, np.array([0.5, 0.5])))
     assert scored[0][0].tolist() == [1]  # the first question reaches 0.30 at most
     assert not list(TB.block_scores(asked, held, np.array([0.5, 0.95])))
+
+
+# --- lemmas ----------------------------------------------------------------------
+
+def test_memo_learns_each_form_once(spark, tmp_path):
+    from lectern.operators.lemmas import Lemmas
+
+    def make():
+        import os
+
+        def lemmatise(forms):
+            with open(f"{tmp_path}/calls-{os.getpid()}", "a") as f:
+                f.writelines(x + "\n" for x in forms)
+            return [{"wolves": "wolf", "mice": "mouse", "gone": "", "pair": "two words"}.get(x) for x in forms]
+
+        return lemmatise
+
+    lemmas = Lemmas(f"{tmp_path}/memo", make)
+    c = spark.createDataFrame([(1, 0, "Wolves, mice; wolf"), (1, 1, "mice mouse gone"), (2, 0, None), (3, 0, "gone"), (4, 0, "pair WOLVES")],
+                              "doc_id long, pos int, text string").repartition(3)
+    held = written(lemmas.of_blocks(TB.term_blocks(c, "doc_id", "pos", "text", rows=2)), "held")
+    got = {}
+    for r in held.collect():
+        b = TB._Block(r.asDict())
+        for i, t in enumerate(b.terms):
+            for at in range(b.starts[i], b.starts[i + 1]):
+                got[b.key1[b.row[at]], b.key2[b.row[at]], t] = round(b.weight[at], 9)
+    one, two = round(2 / 5 ** 0.5, 9), round(1 / 5 ** 0.5, 9)
+    third = round(1 / 3 ** 0.5, 9)
+    assert got == {(1, 0, "wolf"): one, (1, 0, "mouse"): two, (1, 1, "mouse"): 1.0, (4, 0, "two"): third, (4, 0, "words"): third, (4, 0, "wolf"): third}
+    asked = lemmas.of_blocks(TB.question_blocks(spark.createDataFrame([(9, "wolf MICE unseen")], "qid long, question string")))
+    top = TB.block_top_k(written(asked, "asked"), held, 5).collect()
+    assert [(r.doc_id, r.pos) for r in top] == [(1, 0), (1, 1), (4, 0)]
+    texts = {r.doc_id: r.norm for r in lemmas.of_texts(c.filter("pos = 0"), ["doc_id"], "text").collect()}
+    assert texts == {1: "wolf mouse wolf", 2: "", 3: "", 4: "two words wolf"}
+    calls = [x for f in tmp_path.glob("calls-*") for x in f.read_text().split("\n") if x]
+    assert sorted(calls) == sorted(set(calls)) == ["gone", "mice", "mouse", "pair", "unseen", "wolf", "wolves"]
+
+
+def test_answers_change_with_the_memo(spark):
+    import __spark_entry__ as E
+
+    plain, lemma = (E.queries()[k](spark, "/root/testdata/sf0.001").select("qid", "best_score").collect()
+                    for k in ("answer_questions", "answer_questions_lemma"))
+    assert sorted(plain) != sorted(lemma)
+
+
+# --- chunk store -------------------------------------------------------------------
+
+def scans(node):
+    """File scans of an executed plan, through its finished stages."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from scans(node.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from scans(node.plan())
+    elif name == "ReusedExchangeExec":
+        return
+    elif name == "FileSourceScanExec":
+        yield node
+    for i in range(node.children().size()):
+        yield from scans(node.children().apply(i))
+
+
+def test_chunk_store(spark, tmp_path):
+    from lectern.sources.chunk_store import ChunkStore, write_chunk_store
+
+    r = random.Random(4)
+    rows = [(d, p, f"t{d}", f"text {d} {p} " + "x" * 200) for d in [*range(-20, 300), 2**40] for p in range(r.randrange(1, 9))]
+    rows += [(500, p, "hot", "long document " * 20) for p in range(1500)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, pos int, title string, text string")
+    write_chunk_store(df, f"{tmp_path}/store", parts=16)
+    store = ChunkStore(spark, f"{tmp_path}/store")
+    want = {i: x for i, x in enumerate(sorted(rows))}
+    assert {x.chunk_id: (x.doc_id, x.pos, x.title, x.text) for x in store.numbered().collect()} == want
+    keys = spark.createDataFrame([(1, 7, 0), (2, 500, 700), (2, 500, 700), (3, -99, 0), (4, 2**40, 0), (5, 7, 77), (6, None, 0)], "qid long, doc_id long, pos int")
+    got = store.fetch(written(keys, "keys"))
+    text = {x[:2]: x[2:] for x in rows}
+    out = got.collect()
+    assert sorted((x.qid, x.title, x.text) for x in out) == sorted((k.qid, *text.get((k.doc_id, k.pos), ("", ""))) for k in keys.collect())
+    read = max(s.metrics().apply("numFiles").value() for s in scans(got._jdf.queryExecution().executedPlan()) if "part" in s.simpleString(999))
+    assert read <= 5  # of 16: the ranges of the wanted keys
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    ids = written(spark.createDataFrame([(1, 5), (2, len(rows) - 1), (3, 10**9), (4, -1)], "qid long, chunk_id long"), "ids")
+    got = {x.qid: (x.doc_id, x.pos, x.title, x.text) for x in store.fetch(ids, by="id").collect()}
+    assert got == {1: want[5], 2: want[len(rows) - 1], 3: (None, None, "", ""), 4: (None, None, "", "")}
+
+
+def test_empty_chunk_store(spark, tmp_path):
+    from lectern.sources.chunk_store import ChunkStore, write_chunk_store
+
+    write_chunk_store(spark.createDataFrame([], "doc_id long, pos int, title string, text string"), f"{tmp_path}/store")
+    store = ChunkStore(spark, f"{tmp_path}/store")
+    assert store.numbered().count() == 0
+    assert store.fetch(spark.createDataFrame([(1, 7, 0)], "qid long, doc_id long, pos int")).select("text").first().text == ""
