@@ -6,11 +6,12 @@
   language model and runs as built-in Column expressions.
 * ``generate_batch`` (I1) runs a user-supplied model as Arrow-batched
   inference through ``predict_batch_udf``: the model is loaded once per Python
-  worker by ``make_generator`` and sees fixed-size batches of prompts.
+  worker by ``make_generator(profile)`` and sees fixed-size batches of prompts,
+  each with a seed of its own.  Every row gets its text, tokens and seconds.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ SEED = 127
 
 @dataclass(frozen=True)
 class Profile:
-    """Generation settings handed to the user's generator."""
+    """Generation settings that ``make_generator`` gets; ``seed`` enters every row's seed."""
 
     max_new_tokens: int
     do_sample: bool
@@ -53,31 +54,57 @@ def _terms(col) -> Column:
 
 def extractive_answer(question, ctx) -> Column:
     """Best-overlap context sentence (earliest on ties), '' when there is none."""
-    q_terms = _terms(question)
     sentences = F.filter(
         F.transform(F.regexp_extract_all(F.coalesce(ctx, F.lit("")), F.lit(SENTENCE), 1), lambda s: strip(s)),
         lambda s: F.length(s) > 0,
     )
-    scored = F.transform(
+    # the question's terms are bound once as the single element of an array, not made again for every sentence
+    best = F.transform(F.array(_terms(question)), lambda q_terms: F.array_min(F.transform(
         sentences,
-        lambda s, i: F.struct(
-            (-F.size(F.array_intersect(_terms(s), q_terms))).alias("neg"), i.alias("idx"), s.alias("text")
-        ),
-    )
-    return F.coalesce(F.array_min(scored)["text"], F.lit(""))
+        lambda s, i: F.struct((-F.size(F.array_intersect(_terms(s), q_terms))).alias("neg"), i.alias("idx"), s.alias("text")))))
+    return F.coalesce(F.get(best, 0)["text"], F.lit(""))
+
+
+RAW = "struct<text: string, tokens: bigint, seconds: double>"
 
 
-def generate_batch(df: DataFrame, prompt_col: str, make_generator: Callable[[], Callable], out: str = "raw",
+def row_seed(prompt, seed: int = SEED) -> Column:
+    """A row's seed: 60 bits that depend on the run's seed and the prompt, so partitions and batches don't change a sample."""
+    p = F.col(prompt) if isinstance(prompt, str) else prompt
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(p, F.lit("")))), 1, 15), 16, 10).cast("bigint")
+
+
+def generate_batch(df: DataFrame, prompt_col: str, make_generator: Callable, profile: Profile = PROFILE_PLAIN, out: str = "raw",
                    batch_size: int = GEN_BATCH) -> DataFrame:
-    """Run ``make_generator()(prompts: np.ndarray[str]) -> np.ndarray[str]`` over fixed-size batches.
+    """I1 + I2: ``df`` with ``out``: a struct of text, tokens and seconds.
 
-    ``make_generator`` is called once per Python worker (model load); the
-    returned function maps a batch of prompts to a batch of raw outputs.
+    ``make_generator(profile)`` is called once per Python worker (model load)
+    and returns ``predict(prompts, seeds)`` over numpy arrays.  It gives the
+    texts, or a dict of ``text`` and ``tokens`` (new tokens of each row; without
+    it white-space words are counted).  A batch's time is shared by its rows.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(make_generator, return_type=T.StringType(), batch_size=batch_size)
-    return df.withColumn(out, udf(F.col(prompt_col)))
+    def make():
+        import time
+
+        import numpy as np
+
+        model = make_generator(profile)
+
+        def predict(prompts, seeds):
+            start = time.perf_counter()
+            found = model(prompts, seeds)
+            each = (time.perf_counter() - start) / max(1, len(prompts))
+            texts = found["text"] if isinstance(found, dict) else found
+            tokens = found["tokens"] if isinstance(found, dict) and "tokens" in found else [len(str(t).split()) for t in texts]
+            return {"text": np.array(texts, dtype=object), "tokens": np.array(tokens, dtype=np.int64), "seconds": np.full(len(prompts), each)}
+
+        return predict
+
+    udf = predict_batch_udf(make, return_type=T.StructType([
+        T.StructField("text", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("seconds", T.DoubleType())]), batch_size=batch_size)
+    return df.withColumn(out, udf(F.coalesce(F.col(prompt_col), F.lit("")), row_seed(prompt_col, profile.seed)))
 
 
 def encode_batch(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable], out: str = "embedding",
@@ -91,11 +118,13 @@ def encode_batch(df: DataFrame, text_col: str, make_encoder: Callable[[], Callab
 
 @dataclass
 class Generators:
-    """User model hooks per route; ``None`` means the deterministic default."""
+    """User model hooks per route, each ``make_generator(profile)``; ``None`` means the deterministic default.
+
+    ``context`` gets PROFILE_CONTEXT, ``plain`` and ``strict`` PROFILE_PLAIN, ``code`` PROFILE_CODE.
+    """
 
-    context: Callable[[], Callable] | None = None
-    plain: Callable[[], Callable] | None = None
-    strict: Callable[[], Callable] | None = None
-    code: Callable[[], Callable] | None = None
+    context: Callable | None = None
+    plain: Callable | None = None
+    strict: Callable | None = None
+    code: Callable | None = None
     batch_size: int = GEN_BATCH
-    extra: dict = field(default_factory=dict)

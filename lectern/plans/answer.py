@@ -22,7 +22,7 @@ from ..functions.text import REFUSE, clean_answer, clean_raw_output, is_broken,
 from ..functions import prompts as P
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, cluster_chunks, prepare_documents
 from ..operators.context import MAX_CTX_CHARS, build_context, fetch_chunks
-from ..operators.inference import Generators, encode_batch, extractive_answer, generate_batch
+from ..operators.inference import PROFILE_CONTEXT, PROFILE_PLAIN, RAW, Generators, encode_batch, extractive_answer, generate_batch
 from ..operators.lemmas import Lemmas
 from ..operators.routing import THRESHOLD, gate, merge_answers
 from ..operators.term_blocks import block_top_k, question_blocks, term_blocks
@@ -165,42 +165,54 @@ def _finish_context(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumn("answer", F.when(is_broken("cleaned"), F.lit(REFUSE)).otherwise(F.col("cleaned")))
 
 
+def _generated(df: DataFrame, prompt: Column, make_generator, profile, batch_size: int) -> DataFrame:
+    """``df`` with ``gen``: the model's text, tokens and seconds; without a model nothing was said and no call made."""
+    if make_generator is None:
+        return df.withColumn("gen", F.lit(None).cast(RAW))
+    return generate_batch(df.withColumn("__p", P.render_flat(prompt)), "__p", make_generator, profile, "gen", batch_size).drop("__p")
+
+
+def _cost(calls: int, *passes: str) -> list[Column]:
+    """(calls, tokens, seconds) of the passes of a row (J2: both passes summed)."""
+    tokens = sum((F.coalesce(F.col(f"{p}.tokens"), F.lit(0)) for p in passes), F.lit(0).cast("bigint"))
+    seconds = sum((F.coalesce(F.col(f"{p}.seconds"), F.lit(0.0)) for p in passes), F.lit(0.0))
+    return [F.lit(calls).cast("bigint").alias("calls"), tokens.alias("tokens"), seconds.alias("seconds")]
+
+
 def _plain_branch(rest: DataFrame, gens: Generators) -> DataFrame:
-    """No index: plain generation, cleanup, strict retry on broken answers."""
-    if gens.plain is None:
-        first = rest.withColumn("raw", F.lit(""))
-    else:
-        first = generate_batch(rest.withColumn("__p", P.render_flat(P.prompt_plain("question"))), "__p", gens.plain,
-                               "raw", gens.batch_size).drop("__p")
+    """No index: plain generation, cleanup, strict retry on broken answers.
+
+    Each pass is written once: a model never runs twice for a row, and the second sees the broken rows alone.
+    """
+    first = _generated(rest, P.prompt_plain("question"), gens.plain, PROFILE_PLAIN, gens.batch_size).withColumn("raw", F.col("gen.text"))
     first = clean_raw_output(first, "raw", "question", "raw1")
     first = clean_answer(first, "raw1", "question", "ans1").withColumn("bad", is_broken("ans1"))
-    # The first pass feeds two filters (a model would otherwise run twice, and the
-    # broken-answer filter would be pushed through and inline the cleanup chain);
-    # write the question-sized table once to the shared checkpoint folder.
-    first = first.checkpoint(eager=True)
-    good = first.filter(~F.col("bad")).select("qid", F.col("ans1").alias("answer"))
-    bad = first.filter(F.col("bad")).select("qid", "question")
-    if gens.strict is None:
-        retry = bad.withColumn("raw", F.lit(""))
-    else:
-        retry = generate_batch(bad.withColumn("__p", P.render_flat(P.prompt_strict("question"))), "__p", gens.strict,
-                               "raw", gens.batch_size).drop("__p")
-    retry = clean_raw_output(retry, "raw", "question", "raw2")
-    retry = clean_answer(retry, "raw2", "question", "ans2")
-    retry = retry.select("qid", F.when(is_broken("ans2"), F.lit(REFUSE)).otherwise(F.col("ans2")).alias("answer"))
-    return good.unionByName(retry).withColumn("route", F.lit("plain")).withColumn("best_score", F.lit(None).cast("double"))
-
-
-def answer_questions(questions: DataFrame, corpus: Corpus | None, opts: Options = Options(),
-                     gens: Generators | None = None, lemma_map: Column | None = None) -> DataFrame:
-    """I5 (flagship): ``(qid, question)`` -> ``(qid, question, answer, route, best_score)``."""
+    first = written(first.select("qid", "question", "gen", "ans1", "bad"), "first-pass")
+    n = int(gens.plain is not None)
+    good = first.filter(~F.col("bad")).select("qid", F.col("ans1").alias("answer"), F.lit(False).alias("retried"), *_cost(n, "gen"))
+    again = first.filter("bad").select("qid", "question", F.col("gen").alias("gen1"))
+    again = _generated(again, P.prompt_strict("question"), gens.strict, PROFILE_PLAIN, gens.batch_size).withColumn("raw", F.col("gen.text"))
+    again = clean_raw_output(again, "raw", "question", "raw2")
+    again = clean_answer(again, "raw2", "question", "ans2").withColumn("bad2", is_broken("ans2"))
+    again = again.select("qid", F.when(F.col("bad2"), F.lit(REFUSE)).otherwise(F.col("ans2")).alias("answer"), F.lit(True).alias("retried"),
+                         *_cost(n + int(gens.strict is not None), "gen1", "gen"))
+    return good.unionByName(again).withColumn("route", F.lit("plain")).withColumn("best_score", F.lit(None).cast("double"))
+
+
+def run_questions(questions: DataFrame, corpus: Corpus | None, opts: Options = Options(),
+                  gens: Generators | None = None, lemma_map: Column | None = None) -> DataFrame:
+    """I5 as a run: ``(qid, question, answer, route, best_score, retried, calls, tokens, seconds)``.
+
+    ``calls``: how often a user model was asked for the row; its tokens and seconds are summed over both passes.
+    """
     gens = gens or Generators()
     # Route once: the question table is the small side; writing it to the shared
     # checkpoint folder fixes the split and keeps the rule expressions out of
     # every downstream plan.
     q = with_math_answer(questions.select("qid", "question"), "question", "math").checkpoint(eager=True)
+    none = [F.lit(False).alias("retried"), *_cost(0)]
     math_rows = q.filter(F.col("math").isNotNull()).select(
-        "qid", F.col("math").alias("answer"), F.lit("math").alias("route"), F.lit(None).cast("double").alias("best_score")
+        "qid", F.col("math").alias("answer"), F.lit("math").alias("route"), F.lit(None).cast("double").alias("best_score"), *none
     )
     rest = q.filter(F.col("math").isNull()).select("qid", "question")
     if corpus is None or not opts.use_index:
@@ -211,20 +223,35 @@ def answer_questions(questions: DataFrame, corpus: Corpus | None, opts: Options
         judged = rest.join(retr, "qid", "left").withColumn("ok", gate("best_score", "ctx", opts.threshold))
         judged = judged.checkpoint(eager=True)
         rejected = judged.filter(~F.col("ok")).select(
-            "qid", F.lit(REFUSE).alias("answer"), F.lit("refused").alias("route"), "best_score"
+            "qid", F.lit(REFUSE).alias("answer"), F.lit("refused").alias("route"), "best_score", *none
         )
         accepted = judged.filter(F.col("ok"))
         if gens.context is None:
-            gen = accepted.withColumn("raw", extractive_answer(F.col("question"), F.col("ctx")))
+            gen = accepted.withColumn("raw", extractive_answer(F.col("question"), F.col("ctx"))).withColumn("gen", F.lit(None).cast(RAW))
         else:
-            gen = generate_batch(
-                accepted.withColumn("__p", P.render_flat(P.prompt_context("question", "ctx"))), "__p", gens.context,
-                "raw", gens.batch_size,
-            ).drop("__p")
+            gen = _generated(accepted, P.prompt_context("question", "ctx"), gens.context, PROFILE_CONTEXT, gens.batch_size)
+            gen = gen.withColumn("raw", F.col("gen.text"))
         ctx_rows = _finish_context(gen, "raw").select(
-            "qid", "answer", F.lit("context").alias("route"), "best_score"
+            "qid", "answer", F.lit("context").alias("route"), "best_score", F.lit(False).alias("retried"),
+            *_cost(int(gens.context is not None), "gen")
         )
         branches = [math_rows, rejected, ctx_rows]
     out = merge_answers(q.select("qid", "question"), branches)
     return out.select("qid", "question", "answer", F.coalesce("route", F.lit("refused")).alias("route"),
-                      F.round("best_score", 6).alias("best_score"))
+                      F.round("best_score", 6).alias("best_score"), F.coalesce("retried", F.lit(False)).alias("retried"),
+                      *(F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "tokens")), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+
+
+def answer_questions(questions: DataFrame, corpus: Corpus | None, opts: Options = Options(),
+                     gens: Generators | None = None, lemma_map: Column | None = None) -> DataFrame:
+    """I5 (flagship): ``(qid, question)`` -> ``(qid, question, answer, route, best_score)``."""
+    return run_questions(questions, corpus, opts, gens, lemma_map).select("qid", "question", "answer", "route", "best_score")
+
+
+def run_summary(run: DataFrame) -> DataFrame:
+    """J1-J3 of a written run: one row with mean rate, mean time, counts and sums (0.0 when empty)."""
+    rate = F.when(F.col("seconds") <= 1e-6, F.lit(0.0)).otherwise(F.col("tokens") / F.col("seconds"))
+    zero = F.lit(0.0)
+    return run.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("retried")).alias("retried"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
+                   F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.avg(F.round(rate, 2)), zero), 2).alias("avg_tok_s"),
+                   F.round(F.coalesce(F.avg(F.round("seconds", 3)), zero), 2).alias("avg_time_s"))

@@ -419,23 +419,23 @@ def q_format_number_ru(spark, sf):
 
 
 MIXED_Q_SQL = (
-    "SELECT CAST(item_id AS BIGINT) AS qid, text AS question FROM benchmark UNION ALL "
-    f"SELECT 1000000000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Сколько будет ' || p_size || ' плюс ' || (p_partkey % 9) "
+    "SELECT 2 * CAST(item_id AS BIGINT) AS qid, text AS question FROM benchmark UNION ALL "
+    f"SELECT 2 * p_partkey + 1, CASE p_partkey % 4 WHEN 0 THEN 'Сколько будет ' || p_size || ' плюс ' || (p_partkey % 9) "
     "WHEN 1 THEN 'Квадратный корень из ' || (p_size * p_size) WHEN 2 THEN (p_size % 10 + 1) || ' в третьей степени' "
     "ELSE p_name || '?' END FROM part"
 )
 
 
 def mixed_questions(spark, sf):
-    """Benchmark questions plus rule questions derived from every part row."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), F.col("text").alias("question"))
+    """Benchmark questions (even ids) plus rule questions derived from every part row (odd ids)."""
+    b = table(spark, sf, "benchmark").select((2 * F.col("item_id").cast("long")).alias("qid"), F.col("text").alias("question"))
     p = table(spark, sf, "part")
     k = F.col("p_partkey") % 4
     q = (F.when(k == 0, F.concat(F.lit("Сколько будет "), F.col("p_size"), F.lit(" плюс "), F.col("p_partkey") % 9))
          .when(k == 1, F.concat(F.lit("Квадратный корень из "), F.col("p_size") * F.col("p_size")))
          .when(k == 2, F.concat(F.col("p_size") % 10 + 1, F.lit(" в третьей степени")))
          .otherwise(F.concat(F.col("p_name"), F.lit("?"))))
-    return b.unionByName(p.select((F.lit(1000000000) + F.col("p_partkey")).alias("qid"), q.alias("question")))
+    return b.unionByName(p.select((2 * F.col("p_partkey").cast("long") + 1).alias("qid"), q.alias("question")))
 
 
 @register("math_answer", f"SELECT qid, question, math AS answer FROM ({O.math_select(f'({MIXED_Q_SQL})', 'question', 'math')})")
@@ -724,41 +724,62 @@ def q_chat_history(spark, sf):
           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_msgs FROM s")
 def q_chat_segments(spark, sf):
     """H2: history resets (flag ``turn % 3 = 0``) split a conversation into segments."""
-    s = H.with_segments(table(spark, sf, "conversations"), F.col("turn") % 3 == 0)
-    w = H.Window.partitionBy("conv_id", "segment").orderBy("turn").rowsBetween(H.UNBOUNDED, H.Window.currentRow)
-    return s.select("conv_id", "turn", F.col("segment").cast("long").alias("segment"), F.count(F.lit(1)).over(w).alias("n_msgs"))
+    s = H.history_ranges(table(spark, sf, "conversations"), F.col("turn") % 3 == 0)
+    return s.select("conv_id", "turn", "segment", (F.col("pos") - F.col("first_pos") + 1).alias("n_msgs"))
 
 
-CHAT_QS_CTE = (f"qs AS (SELECT conv_id * 1000000 + turn AS qid, coalesce(text, '') AS question FROM conversations "
-               f"WHERE coalesce(role, 'user') = 'user')")
+@register("chat_segment_history",
+          "WITH s AS (SELECT *, sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM conversations) "
+          f"SELECT conv_id, turn, array_to_string(list({CONV_MSG_SQL}) OVER (PARTITION BY conv_id, segment ORDER BY turn "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), chr(10) || chr(10)) AS history FROM s")
+def q_chat_segment_history(spark, sf):
+    """H1 + H2: the history since the last reset at every turn."""
+    h = H.with_history(table(spark, sf, "conversations"), F.col("turn") % 3 == 0)
+    parts = F.transform("history", lambda m: F.concat(F.lit("["), F.upper(m["role"]), F.lit("]\n"), m["content"]))
+    return h.select("conv_id", "turn", F.array_join(parts, "\n\n").alias("history"))
+
+
+def _seed_sql(prompt):
+    return f"CAST('0x' || substr(md5('127:' || {prompt}), 1, 15) AS BIGINT)"
+
+
+CHAT_PROMPT_SQL = (
+    "hp AS (SELECT conv_id, turn, role, text, list(CASE WHEN length(" + O.strip("coalesce(text, '')") + ") > 0 THEN "
+    "'[' || upper(coalesce(role, 'user')) || ']' || chr(10) || coalesce(text, '') END) OVER (PARTITION BY conv_id ORDER BY turn "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS msgs FROM conversations), "
+    "cp AS (SELECT conv_id, turn, coalesce(text, '') AS question, 1 + len(list_filter(msgs, lambda m: m IS NOT NULL)) AS n_prompt, "
+    f"'[SYSTEM]' || chr(10) || {O.lit(P.CODE_SYSTEM_PROMPT)} || "
+    "coalesce(chr(10) || chr(10) || array_to_string(list_filter(msgs, lambda m: m IS NOT NULL), chr(10) || chr(10)), '') "
+    f"|| chr(10) || chr(10) || {O.lit(P.FLAT_ASSISTANT)} AS prompt FROM hp WHERE coalesce(role, 'user') = 'user')"
+)
+# make_code_generator, restated
+CODE_RAW_SQL = ("CASE length(prompt) % 4 WHEN 0 THEN '' WHEN 1 THEN 'Assistant: print(' || (" + _seed_sql("prompt") + " % 1000) || ')' || chr(10) "
+                "WHEN 2 THEN 'слово' ELSE ' x = ' || (" + _seed_sql("prompt") + " % 7) || ' # штраф 1.1 ' END")
+CHAT_QS_CTE = (CHAT_PROMPT_SQL + ", ct AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS qid FROM cp), qs AS (SELECT qid, question FROM ct)")
 CHAT_TAIL = (
-    f", hist AS (SELECT conv_id, turn, role, 1 + count(CASE WHEN length({O.strip("coalesce(text, '')")}) > 0 THEN 1 END) "
-    "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_prompt FROM conversations), "
-    f"rep AS (SELECT q.qid, CASE WHEN a.answer IS NOT NULL AND length(a.answer) > 0 AND lower({O.strip('a.answer')}) <> lower({O.REFUSE}) "
-    f"AND NOT {O.is_broken('a.answer')} THEN a.answer ELSE {O.REFUSE} END AS reply FROM routed q LEFT JOIN allr a ON q.qid = a.qid) "
-    "SELECT h.conv_id, h.turn, h.n_prompt, r.reply FROM hist h JOIN rep r ON r.qid = h.conv_id * 1000000 + h.turn "
-    "WHERE coalesce(h.role, 'user') = 'user'"
+    f", pr AS (SELECT qid, conv_id, turn, n_prompt, {O.strip('raw')} AS raw FROM (SELECT *, {CODE_RAW_SQL} AS raw FROM ct)), "
+    f"pa AS (SELECT pr.qid, pr.conv_id, pr.turn, pr.n_prompt, {O.strip_role_prefix('raw')} AS p, a.answer AS a FROM pr LEFT JOIN allr a ON pr.qid = a.qid), "
+    f"ch AS (SELECT *, CASE WHEN {_bad_sql('p')} AND a IS NOT NULL AND length({O.strip('a')}) > 0 AND lower({O.strip('a')}) <> lower({O.REFUSE}) "
+    f"AND NOT {O.is_broken('a')} THEN a ELSE p END AS c FROM pa) "
+    f"SELECT conv_id, turn, n_prompt, CASE WHEN length(coalesce(c, '')) > 0 THEN c ELSE {O.REFUSE} END AS reply FROM ch"
 )
 
 
 def _chat_replies_sql():
-    # the flagship's CTEs, then the chat tail (history sizes and the chat fallback)
+    # the flagship's CTEs, then the chat tail (the code model's reply and the chat fallback)
     return O.flagship(qs_cte=CHAT_QS_CTE, tail="__TAIL__").replace(") __TAIL__", ")" + CHAT_TAIL, 1)
 
 
 @register("chat_replies", _chat_replies_sql())
 def q_chat_replies(spark, sf):
-    """H3: every user turn replayed: chat prompt (D5), code generator (none: empty), role-prefix strip (B9),
+    """H3: every user turn replayed: chat prompt (D5), code generator under its profile, role-prefix strip (B9),
     fallback to the retrieval answer (G8 chat form), REFUSE if empty."""
-    conv = table(spark, sf, "conversations")
-    prompts = H.chat_prompts(conv)
-    qs = prompts.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
-    alt = answer_questions(qs, corpus_of(spark, sf)).select("qid", F.col("answer").alias("alt"))
-    primary = T.strip_role_prefix(F.lit(""))
-    rows = prompts.select("conv_id", "turn", F.size("prompt").cast("long").alias("n_prompt"),
-                          (F.col("conv_id") * 1000000 + F.col("turn")).alias("qid"), primary.alias("primary"))
-    out = rows.join(alt, "qid", "left")
-    return out.select("conv_id", "turn", "n_prompt", R.fallback_answer_chat("primary", "alt").alias("reply"))
+    from ..operators.inference import Generators
+    from ..operators.toy_models import make_code_generator
+    from .chat import chat_replies
+
+    return chat_replies(table(spark, sf, "conversations"), corpus_of(spark, sf), gens=Generators(code=make_code_generator))
 
 
 # --- D: prompts -----------------------------------------------------------------
@@ -1145,14 +1166,21 @@ def q_qa_alignment(spark, sf):
 
 # --- I/F2: user-model surfaces (rows-only checks) ------------------------------------
 
-@register("generate_batch")
+PLAIN_SQL = _flat_sql(("user", "question"))
+
+
+@register("generate_batch",
+          f"WITH {O.benchmark_questions_cte()}, p AS (SELECT qid, {PLAIN_SQL} AS prompt FROM qs), "
+          f"l AS (SELECT qid, prompt, list_filter(string_split(prompt, chr(10)), lambda x: length({O.strip('x')}) > 0 AND NOT starts_with(x, '[')) AS lines FROM p), "
+          "r AS (SELECT qid, coalesce(lines[-1], '') AS raw FROM l) "
+          f"SELECT qid, raw, CAST(len(regexp_extract_all(raw, '[^{T.WS_BODY}]+')) AS BIGINT) AS tokens FROM r")
 def q_generate_batch(spark, sf):
     """Fixed-size batched generation with a user model (a deterministic echo model here)."""
-    from ..operators.inference import generate_batch
+    from ..operators.inference import PROFILE_PLAIN, generate_batch
     from ..operators.toy_models import make_echo_generator
 
     b = bench_questions(spark, sf).withColumn("prompt", P.render_flat(P.prompt_plain("question")))
-    return generate_batch(b, "prompt", make_echo_generator, "raw", 8).select("qid", "raw")
+    return generate_batch(b, "prompt", make_echo_generator, PROFILE_PLAIN, "gen", 8).select("qid", F.col("gen.text").alias("raw"), F.col("gen.tokens").alias("tokens"))
 
 
 # One token adds 1 to the bucket of its shape (see make_shape_encoder).
@@ -1219,11 +1247,44 @@ def q_answer_questions_stored(spark, sf):
     return answer_questions(bench_questions(spark, sf), open_corpus(spark, path))
 
 
-@register("strict_retry")
-def q_strict_retry(spark, sf):
-    """G6 with user models: plain generation, broken answers regenerated with the strict prompt."""
+# make_careless_generator and make_careful_generator, restated over the two passes of the plain route
+STRICT_SQL = _flat_sql(("system", O.lit(P.STRICT_PROMPT)), ("user", "question"))
+RETRY_CTES = (
+    f"qs AS ({MIXED_Q_SQL}), routed AS ({O.math_select('qs', 'question', 'math')}), "
+    f"p1 AS (SELECT qid, question, {PLAIN_SQL} AS prompt FROM routed WHERE math IS NULL), "
+    f"g1 AS (SELECT qid, question, CASE WHEN length(prompt) % 2 = 0 THEN 'ответ' ELSE 'ответ номер ' || ({_seed_sql('prompt')} % 1000) || ' готов' END AS raw FROM p1), "
+    f"c1 AS ({O.clean_answer('(' + O.clean_raw_output('g1', 'raw', 'question', 'raw1') + ')', 'raw1', 'question', 'ans1')}), "
+    f"b1 AS (SELECT qid, question, length(raw) AS t1, ans1, {O.is_broken('ans1')} AS bad FROM c1), "
+    f"p2 AS (SELECT qid, question, t1, {STRICT_SQL} AS prompt FROM b1 WHERE bad), "
+    "g2 AS (SELECT qid, question, t1, CASE WHEN length(prompt) % 3 <> 0 THEN 'строгий ответ до 48 слов' ELSE 'слово' END AS raw FROM p2), "
+    f"c2 AS ({O.clean_answer('(' + O.clean_raw_output('g2', 'raw', 'question', 'raw2') + ')', 'raw2', 'question', 'ans2')}), "
+    f"run AS (SELECT qid, question, math AS answer, 'math' AS route, false AS retried, 0 AS calls, 0 AS tokens FROM routed WHERE math IS NOT NULL "
+    "UNION ALL SELECT qid, question, ans1, 'plain', false, 1, t1 FROM b1 WHERE NOT bad "
+    f"UNION ALL SELECT qid, question, CASE WHEN {O.is_broken('ans2')} THEN {O.REFUSE} ELSE ans2 END, 'plain', true, 2, t1 + length(raw) FROM c2)"
+)
+
+
+def _retry_run(spark, sf):
     from ..operators.inference import Generators
-    from ..operators.toy_models import make_echo_generator
+    from ..operators.toy_models import make_careful_generator, make_careless_generator
+    from .answer import run_questions
+
+    gens = Generators(plain=make_careless_generator, strict=make_careful_generator)
+    return run_questions(mixed_questions(spark, sf), None, Options(use_index=False), gens)
+
+
+@register("strict_retry", f"WITH {RETRY_CTES} SELECT * FROM run")
+def q_strict_retry(spark, sf):
+    """G6 + J2 with user models: plain generation, broken answers alone generated again with the strict prompt; calls are counted."""
+    return _retry_run(spark, sf).drop("best_score", "seconds")
+
+
+@register("run_summary_answers",
+          f"WITH {RETRY_CTES} SELECT count(*) AS n, count(*) FILTER (retried) AS retried, CAST(sum(calls) AS BIGINT) AS calls, "
+          "CAST(sum(tokens) AS BIGINT) AS tokens, true AS timed FROM run")
+def q_run_summary_answers(spark, sf):
+    """J1-J3 over a run: counts, calls and tokens of both passes; times differ from run to run, so only that they are there is told."""
+    from .answer import run_summary
 
-    gens = Generators(plain=make_echo_generator, strict=make_echo_generator)
-    return answer_questions(mixed_questions(spark, sf), None, Options(use_index=False), gens)
+    found = run_summary(written(_retry_run(spark, sf), "run"))
+    return found.select("n", "retried", "calls", "tokens", ((F.col("avg_time_s") >= 0) & (F.col("avg_tok_s") > 0)).alias("timed"))

@@ -1,9 +1,10 @@
 """Answering a stream of question files.
 
 Each micro-batch of newly arrived question rows is answered with the same
-batch plan (``answer_questions``) against a corpus that was built once, and
-appended to the answers sink.  ``foreachBatch`` gives exactly-once output per
-epoch when the sink is idempotent (the epoch id is written with the rows).
+batch plan (``answer_questions``).  An opened corpus (``open_corpus``) is read
+from its store; one from ``build_corpus`` is built again for every batch.  The
+answers of an epoch overwrite the folder of that epoch, so an epoch that is
+replayed after a failure leaves its rows once.
 """
 from __future__ import annotations
 
@@ -20,8 +21,7 @@ def answer_stream(spark: SparkSession, questions_dir: str, corpus: Corpus, out_d
 
     def answer_batch(batch: DataFrame, epoch: int) -> None:
         qs = batch.select("qid", F.coalesce("question", F.lit("")).alias("question")).filter(F.length("question") > 0)
-        answers = answer_questions(qs, corpus, opts).withColumn("epoch", F.lit(epoch))
-        answers.write.mode("append").partitionBy("epoch").parquet(out_dir)
+        answer_questions(qs, corpus, opts).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(answer_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if trigger_once else writer
