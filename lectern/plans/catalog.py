@@ -951,8 +951,9 @@ from ..sources import chunk_store as CS  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
 
-#: Part files of the file queries.
-FILES = 4
+def _files(spark):
+    """Part files of the file queries: as many as the session has shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _padded():
@@ -974,7 +975,7 @@ def _write_json_documents(rows, key, order, item, path, each):
 
 def _write_delim(df, path, sep, order):
     # a range sort: part files in name order hold the rows in order
-    (df.repartitionByRange(FILES, order).sortWithinPartitions(order).drop(order).write.mode("overwrite").option("header", True)
+    (df.repartitionByRange(_files(df.sparkSession), order).sortWithinPartitions(order).drop(order).write.mode("overwrite").option("header", True)
      .option("escape", '"').options(**SK.KEEP_BLANKS).option("sep", sep).csv(path))
 
 
@@ -1007,7 +1008,7 @@ def q_src_questions_txt(spark, sf):
     path = scratch_path(spark, "questions-txt")
     b = table(spark, sf, "benchmark")
     lines = b.select("item_id", F.posexplode(F.split("text", T.LINE_BREAK)).alias("i", "line"))
-    lines.repartitionByRange(FILES, "item_id", "i").sortWithinPartitions("item_id", "i").select("line").write.mode("overwrite").text(path)
+    lines.repartitionByRange(_files(spark), "item_id", "i").sortWithinPartitions("item_id", "i").select("line").write.mode("overwrite").text(path)
     return RD.read_questions(spark, path, "txt")
 
 
@@ -1060,17 +1061,52 @@ def q_src_documents_jsonl(spark, sf):
     """A5 for large inputs: JSON Lines, split and read in parallel."""
     path = scratch_path(spark, "documents-jsonl")
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), "text")
-    d.repartitionByRange(FILES, "doc_id").sortWithinPartitions("doc_id").select("title", "text").write.json(path)
+    d.repartitionByRange(_files(spark), "doc_id").sortWithinPartitions("doc_id").select("title", "text").write.json(path)
     return RD.read_documents(spark, path, "jsonl")
 
 
+@register("src_documents_txt",
+          f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, '' AS title, {O.strip('text')} AS text FROM benchmark WHERE length({O.strip('text')}) > 0")
+def q_src_documents_txt(spark, sf):
+    """Whole files as documents, one file a benchmark text."""
+    path = scratch_path(spark, "documents-txt")
+    b = table(spark, sf, "benchmark").select(F.format_string("%020d", F.col("item_id").cast("long")).alias("item"), "text")
+    b.repartition(_files(spark), "item").write.partitionBy("item").text(path)
+    return RD.read_documents(spark, path, "txt").select("doc_id", "title", "text")
+
+
+@register("src_documents_by_suffix",
+          f"WITH d AS (SELECT * FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0) SELECT 'csv' AS fmt, * FROM d UNION ALL SELECT 'tsv', * FROM d UNION ALL SELECT 'jsonl', * FROM d")
+def q_src_documents_by_suffix(spark, sf):
+    """The reader is chosen by the path's suffix alone."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    found = None
+    for fmt in ("csv", "tsv", "jsonl"):
+        path = f"{scratch_path(spark, 'documents')}.{fmt}"
+        if fmt == "jsonl":
+            d.repartitionByRange(_files(spark), "doc_id").sortWithinPartitions("doc_id").select(F.coalesce("title", F.lit("")).alias("title"), "text").write.json(path)
+        else:
+            _write_delim(d, path, {"csv": ",", "tsv": "\t"}[fmt], "doc_id")
+        got = RD.read_documents(spark, path).select(F.lit(fmt).alias("fmt"), "doc_id", "title", "text")
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+@register("adapt_dataset_limit",
+          f"SELECT doc_id, {O.strip('text')} AS text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100)")
+def q_adapt_dataset_limit(spark, sf):
+    """A11 with a limit (the feature itself): the first 100 rows in id order."""
+    d = RD.adapt_dataset(table(spark, sf, "documents"), "text", order_by="doc_id", limit=100)
+    return d.select("doc_id", T.strip("text").alias("text"))
+
+
 @register("sink_dataset", "SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_id, '' AS title, "
           f"{O.strip("CASE WHEN length(url) > 10 THEN url WHEN length(html) > 10 THEN html END")} AS text FROM pages")
 def q_sink_dataset(spark, sf):
     """The adapted dataset written as JSON Lines and read back as documents."""
     path = scratch_path(spark, "dataset")
     pages = RD.adapt_dataset(table(spark, sf, "pages"), "text", None, order_by="page_id")
-    SK.write_dataset(pages.repartitionByRange(FILES, "page_id").sortWithinPartitions("page_id"), path, "json")
+    SK.write_dataset(pages.repartitionByRange(_files(spark), "page_id").sortWithinPartitions("page_id"), path, "json")
     return RD.read_documents(spark, path, "jsonl")
 
 
@@ -1121,11 +1157,21 @@ def q_sink_answers_json_pairs(spark, sf):
 
 
 @register("sink_answers_json",
-          f"SELECT to_json(list({O.ellipsize('text', 40)} ORDER BY item_id)) AS json FROM benchmark")
+          f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, {O.strip(O.ellipsize('text', 40))} AS question FROM benchmark "
+          f"WHERE length({O.strip(O.ellipsize('text', 40))}) > 0")
 def q_sink_answers_json(spark, sf):
-    """A17 exact form: one JSON array of answers in question order."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.ellipsize("text", 40).alias("answer"))
-    return SK.answers_as_json_array(b)
+    """A17 exact form: one JSON array of answers in question order, written in parts and read back in parallel."""
+    path = scratch_path(spark, "answers-json")
+    SK.write_answers_document(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.ellipsize("text", 40).alias("answer")), path)
+    return RD.read_questions(spark, path, "json_parts")
+
+
+@register("sink_dataset_items", f"SELECT * FROM ({DOCS_ORDER_SQL}) WHERE length(text) > 0")
+def q_sink_dataset_items(spark, sf):
+    """A12 exact form: the adapted documents as one ``{"items": [...]}``, read back as documents (A5)."""
+    path = scratch_path(spark, "dataset-items")
+    SK.write_dataset_document(RD.adapt_dataset(table(spark, sf, "documents"), "text", "source", order_by="doc_id"), path, "doc_id")
+    return RD.read_documents(spark, path, "json_parts")
 
 
 @register("chunk_store_roundtrip", f"WITH {O.documents_cte()}, {O.chunks_cte()} SELECT doc_id, pos, title, text FROM chunks")

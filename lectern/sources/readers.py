@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .json_document import read_json_elements
 
 BOM = "﻿"
 
@@ -70,7 +71,7 @@ def _suffix(path: str) -> str:
 
 
 def read_questions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A1-A4: ``(qid, question)`` in input order, stripped, blank dropped."""
+    """A1-A4: ``(qid, question)`` in input order, stripped, blank dropped; ``json_parts``: a folder of ``write_json_document``."""
     fmt = fmt or {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".tsv": "tsv"}.get(_suffix(path), "txt")
     if fmt in ("csv", "tsv"):
         df = _read_delimited(spark, path, "," if fmt == "csv" else "\t")
@@ -79,6 +80,8 @@ def read_questions(spark: SparkSession, path: str, fmt: str | None = None) -> Da
         out = df.select("qid", clean_rows(f"`{col}`").alias("question"))
     elif fmt == "json":
         out = _json_items(spark, path, "questions", question_item)
+    elif fmt == "json_parts":
+        out = read_json_elements(spark, path, "qid").select("qid", question_item(F.col("item")).alias("question"))
     elif fmt == "jsonl":
         item = question_item(F.try_parse_json(strip_bom("value")))
         raw = with_position(spark, spark.read.text(path), "qid", keep=F.length(item) > 0)
@@ -144,7 +147,7 @@ def document_item(v: Column, text_key: str, title_key: str) -> tuple[Column, Col
 
 def read_documents(spark: SparkSession, path: str, fmt: str | None = None, text_column: str = "text",
                    title_column: str = "title") -> DataFrame:
-    """``(doc_id, title, text)`` in input order; blank text dropped."""
+    """``(doc_id, title, text)`` in input order; blank text dropped; ``json_parts``: a folder of ``write_json_document``."""
     fmt = fmt or {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".tsv": "tsv"}.get(_suffix(path), "txt")
     if fmt in ("csv", "tsv"):
         df = _read_delimited(spark, path, "," if fmt == "csv" else "\t")
@@ -152,8 +155,8 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None, text_
         title = F.col(f"`{title_column}`") if title_column in df.columns else F.lit("")
         df = with_position(spark, df, "doc_id", keep=F.length(clean_rows(f"`{tcol}`")) > 0)
         out = df.select("doc_id", clean_rows(title).alias("title"), clean_rows(f"`{tcol}`").alias("text"))
-    elif fmt == "json":
-        items = _numbered_items(spark, path, "items", "doc_id")
+    elif fmt in ("json", "json_parts"):
+        items = _numbered_items(spark, path, "items", "doc_id") if fmt == "json" else read_json_elements(spark, path, "doc_id")
         title, text = document_item(F.col("item"), text_column, title_column)
         out = items.select("doc_id", title.alias("title"), text.alias("text")).filter(F.col("text").isNotNull())
     elif fmt == "jsonl":

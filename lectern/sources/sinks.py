@@ -1,16 +1,17 @@
-"""Answer, dataset and index sinks (survey A12, A14-A21).
+"""Answer, dataset and index sinks (survey A12, A15-A21).
 
 Writers are distributed (one file per task); the order column is kept so
 readers restore question order.  The one-document JSON forms of the reference
-(``["a1", ...]`` / ``{"items": [...]}``) are offered for small results only and
-built with an ordered ``collect_list`` in a single group by design.
+(``["a1", ...]``, ``{"items": [...]}``) are written as ordered parts with a
+manifest (``json_document``).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSE
+from .json_document import write_json_document
 
 
 #: Spark's CSV writer trims values unless told otherwise.
@@ -46,9 +47,24 @@ def write_answers(df: DataFrame, path: str, fmt: str = "json_pairs", key: str =
         raise ValueError(f"unknown answers format: {fmt}")
 
 
-def answers_as_json_array(df: DataFrame, key: str = "qid") -> DataFrame:
-    """A17 exact form for small results: one row holding ``["a1", "a2", ...]``."""
-    return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(key, "answer"))), lambda x: x["answer"])).alias("json"))
+def _as_json(col: str) -> Column:
+    """A string column as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(col, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def write_answers_document(df: DataFrame, path: str, pairs: bool = False, key: str = "qid") -> None:
+    """A17, A18 exact forms: one JSON array of answers, or of question and answer objects, in question order."""
+    answer = F.coalesce("answer", F.lit(REFUSE))
+    if pairs:
+        item = F.to_json(F.struct(F.coalesce("question", F.lit("")).alias("question"), answer.alias("answer")))
+        write_json_document(df, path, [key], item)
+    else:
+        write_json_document(df.withColumn("__answer", answer), path, [key], _as_json("__answer"))
+
+
+def write_dataset_document(df: DataFrame, path: str, order: str) -> None:
+    """A12 exact form: ``{"items": [{"text", "title"}, ...]}`` in the order of a column of ``df``."""
+    write_json_document(df, path, [order], F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title"))), "items")
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -110,3 +110,31 @@ def test_retrieve_scores_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" not in plan  # the top-k table is read, not computed again
     assert found.select(F.count("*")).first()[0] > 0
+
+
+@pytest.mark.parametrize("rows", [0, 1, 60])
+def test_json_document_in_parts(spark, tmp_path, rows):
+    """The files of the manifest, one behind the other, are the document; the readers find the same elements."""
+    from lectern.sources.json_document import manifest
+
+    data = [(i * 7 % 61, f'a "{i}"\n\\ é🙂 ,', None if i % 5 == 0 else f", title {i}") for i in range(rows)]
+    df = spark.createDataFrame(data, "qid long, answer string, title string").repartition(4)
+
+    def whole(path):
+        files = sorted(manifest(spark, path).collect())
+        assert [f.ordinal for f in files] == list(range(len(files)))
+        bodies = [(tmp_path / path / f.file).read_bytes() for f in files]
+        assert [len(b) for b in bodies] == [f.bytes for f in files]
+        return json.loads(b"".join(bodies))
+
+    SK.write_answers_document(df, str(tmp_path / "answers"))
+    want = [a for _, a, _ in sorted(data)]
+    assert whole(str(tmp_path / "answers")) == want
+    got = RD.read_questions(spark, str(tmp_path / "answers"), "json_parts").collect()
+    assert {r.qid: r.question for r in got} == {i: a.strip() for i, a in enumerate(want)}
+    SK.write_dataset_document(df.withColumnRenamed("answer", "text"), str(tmp_path / "items"), "qid")
+    assert whole(str(tmp_path / "items")) == {"items": [{"text": a, "title": t or ""} for _, a, t in sorted(data)]}
+    docs = RD.read_documents(spark, str(tmp_path / "items"), "json_parts").collect()
+    assert {r.doc_id: (r.title, r.text) for r in docs} == {i: ((t or "").strip(), a.strip()) for i, (_, a, t) in enumerate(sorted(data))}
+    SK.write_answers_document(df.withColumn("question", F.col("title")), str(tmp_path / "pairs"), pairs=True)
+    assert whole(str(tmp_path / "pairs")) == [{"question": t or "", "answer": a} for _, a, t in sorted(data)]
