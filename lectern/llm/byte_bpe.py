@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from array import array
 
 import numpy as np
@@ -35,7 +36,7 @@ LETTER, NUMBER, OTHER, BLANK_ON, BLANK_LAST, SPACE_LAST, QUOTE_2, QUOTE_3, BREAK
 # States: what the token in progress may take next.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, ONE_MORE, TWO_MORE = range(8)
 #: Slices, and their code points together, that a worker's cache may hold before it starts anew.
-CACHE_SLICES, CACHE_CHARS = 150_000, 2 << 20
+CACHE_SLICES, CACHE_CHARS = 300_000, 4 << 20
 #: Up to this many bytes unseen slices merge side by side, beyond it one by one through a heap.
 ROW_BYTES = 32
 
@@ -145,6 +146,28 @@ def token_starts(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Cache:
+    """Ids of slices, one behind another."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+        self.chars = 0
+        self.flat, self.at = array("i"), array("q", [0])
+
+    def add(self, slices: list[str], ids: list[int], counts: list[int]) -> None:
+        self.seen.update(zip(slices, range(len(self.at) - 1, len(self.at) - 1 + len(slices))))
+        self.chars += sum(map(len, slices))
+        self.at.frombytes((np.cumsum(counts, dtype=np.int64) + len(self.flat)).tobytes())
+        self.flat.extend(ids)
+
+    def ids(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not where.size:
+            return np.zeros(0, np.int64), where
+        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.int32)
+        counts = at[where + 1] - at[where]
+        return flat[_spread(at[where], counts)].astype(np.int64), counts
+
+
 class Vocabulary:
     """Ranks of a public rank file, with the bytes of all ids in one array."""
 
@@ -161,9 +184,7 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.chars = 0
-        self.flat, self.at = array("q"), array("q", [0])
+        self.young, self.old = _Cache(), _Cache()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the adjacent pair of lowest rank merges first, leftmost among equals."""
@@ -216,35 +237,45 @@ class Vocabulary:
         ids = np.pad(ids, ((0, 0), (0, 1)))
         return merge_side_by_side(ids, n, self._pair_rank)
 
-    def _learn(self, pieces) -> None:
-        new = {p: p.encode("utf-8") for p in dict.fromkeys(pieces)}
-        found = {p: [r] for p, b in new.items() if (r := self.ranks.get(b)) is not None}
-        rest = sorted((len(b), p) for p, b in new.items() if p not in found)
-        short = [p for k, p in rest if k <= ROW_BYTES]
+    def _learn(self, new: pa.Array) -> None:
+        """Ids of distinct slices go into the young generation."""
+        raw = new.cast(pa.large_binary()).to_pylist()
+        ranks = list(map(self.ranks.get, raw))
+        found = [None if r is None else [r] for r in ranks]
+        rest = [i for i, r in enumerate(ranks) if r is None]
+        sizes = np.array([len(raw[i]) for i in rest], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        short = np.array(rest, np.int64)[order[:int((sizes <= ROW_BYTES).sum())]].tolist()
         for a in range(0, len(short), 4096):
             part = short[a:a + 4096]
-            found.update(zip(part, self.merge_rows([new[p] for p in part])))
-        found.update((p, self.merge(new[p])) for k, p in rest if k > ROW_BYTES)
-        for p, ids in found.items():
-            self.flat.extend(ids)
-            self.at.append(len(self.flat))
-            self.seen[p] = len(self.at) - 2
-            self.chars += len(p)
-
-    def encode_slices(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all slices in order, number of ids of each)."""
-        if len(self.seen) > CACHE_SLICES or self.chars > CACHE_CHARS:
-            self.forget()
-        where = list(map(self.seen.get, slices))
-        if None in where:
-            self._learn(s for s, w in zip(slices, where) if w is None)
-            where = list(map(self.seen.__getitem__, slices))
-        where = np.array(where, np.int64)
-        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.int64)
-        counts = at[where + 1] - at[where]
-        ids = flat[_spread(at[where], counts)]
-        del at, flat  # the arrays can't grow while a view is held
-        return ids, counts
+            for i, ids in zip(part, self.merge_rows([raw[i] for i in part])):
+                found[i] = ids
+        for i in rest:
+            if found[i] is None:
+                found[i] = self.merge(raw[i])
+        self.young.add(new.to_pylist(), list(itertools.chain.from_iterable(found)), [len(x) for x in found])
+
+    def encode_slices(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices in order, number of ids of each); every distinct slice is looked up once.
+
+        The cache has two generations: slices met again move into the young one, and the old one is dropped when that is full.
+        """
+        if len(self.young.seen) > CACHE_SLICES or self.young.chars > CACHE_CHARS:
+            self.young, self.old = _Cache(), self.young
+        slices = coded.dictionary.to_pylist()
+        where = list(map(self.young.seen.get, slices))
+        unseen = [i for i, w in enumerate(where) if w is None]
+        if unseen:
+            before = [self.old.seen.get(slices[i]) for i in unseen]
+            again = [(i, w) for i, w in zip(unseen, before) if w is not None]
+            if again:
+                ids, counts = self.old.ids(np.array([w for _, w in again], np.int64))
+                self.young.add([slices[i] for i, _ in again], ids.tolist(), counts.tolist())
+            new = [i for i, w in zip(unseen, before) if w is None]
+            if new:
+                self._learn(coded.dictionary.take(pa.array(new)))
+            where = list(map(self.young.seen.__getitem__, slices))
+        return self.young.ids(np.array(where, np.int64)[coded.indices.to_numpy()])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
         """The bytes of every id copied to its offset."""
@@ -275,12 +306,15 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> list[tuple[np.ndarray,
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     breaks = (np.cumsum(sizes + 1) - 1)[:-1]
     starts = np.flatnonzero(token_starts(codes, breaks))
-    ends = np.append(starts[1:], codes.size)
-    first = np.append(0, breaks + 1)  # of each text
-    owner = np.searchsorted(first, starts, side="right") - 1
-    ends = np.minimum(ends, (first + sizes)[owner])
-    slices = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-    ids, counts = vocab.encode_slices(slices) if slices else (np.zeros(0, np.int64),) * 2
+    owner = np.searchsorted(np.append(0, breaks + 1), starts, side="right") - 1
+    # slices lie one behind another in the texts without the marks between them
+    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    width[breaks] = 0
+    before = np.append(0, np.cumsum(width))
+    data = "".join(texts).encode("utf-8")
+    edges = np.append(before[starts], len(data)).astype(np.int64)
+    slices = pa.LargeStringArray.from_buffers(starts.size, pa.py_buffer(edges), pa.py_buffer(data))
+    ids, counts = vocab.encode_slices(slices.dictionary_encode()) if starts.size else (np.zeros(0, np.int64),) * 2
     per_text = np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
     out, a = [], 0
     for n in per_text.tolist():
@@ -294,14 +328,14 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """(doc_id, ids, offsets): token ids and the byte offset of each token in the text.
 
     As array<int> and array<bigint>, or ``packed`` as binary (little-endian
-    unsigned 32-bit ids, signed 64-bit offsets), which is cheaper to move.
+    unsigned 32-bit numbers, a text has less than 2 GiB), which is cheaper to move.
     """
     def run(batch: pa.RecordBatch):
         vocab = vocabulary(path)
         found = encode_texts(texts_of(batch.column("body")), vocab)
         if packed:
             ids = pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary())
-            offsets = pa.array([o.astype("<i8").tobytes() for _, o in found], pa.binary())
+            offsets = pa.array([o.astype("<u4").tobytes() for _, o in found], pa.binary())
         else:
             ids = pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32()))
             offsets = pa.array([o for _, o in found], pa.list_(pa.int64()))
@@ -320,7 +354,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         vocab, out = vocabulary(path), []
         for ids, offsets in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist()):
             if packed:
-                a, o = np.frombuffer(ids or b"", "<u4").astype(np.int64), np.frombuffer(offsets or b"", "<i8")
+                a, o = np.frombuffer(ids or b"", "<u4").astype(np.int64), np.frombuffer(offsets or b"", "<u4").astype(np.int64)
             else:
                 a, o = np.array(ids or [], np.int64), np.array(offsets or [], np.int64)
             out.append(vocab.decode(a, o))
