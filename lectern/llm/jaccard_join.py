@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, has_bits, map_rows, materialise, member_bits, utf8
+from lectern.llm.common import components, cut_batch, map_rows, materialise, may_be_in, member_bits, parts, release, utf8
 
 K, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 6, 2
@@ -47,6 +47,8 @@ BANDS, ROWS = 6, 2
 LEVEL_SLOTS, LEVEL_LEAST, LEVEL_BLOCK = 1 << 20, 3, 1 << 20
 #: Largest parity bitmap in bits; beyond it the bound is looser and the exact comparison decides.
 PARITY_MOST = 1 << 17
+#: Postings that a task packs at once, those meant for a range of shingles, and those of a packed row at most.
+PACK_POSTINGS, RANGE_POSTINGS, ROW_POSTINGS = 1 << 19, 1 << 18, 512
 #: Odd constants of the shingle and minimum hashes, drawn once from a seeded generator.
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -159,8 +161,7 @@ def _levels(rows: DataFrame, only, k: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["t", "c"])
 
         for batch in batches:
-            hit = has_bits(only[1].value, batch.column("id").fill_null(0).to_numpy(zero_copy_only=False))
-            bodies = batch.column("body").filter(pa.array(hit)).to_pylist()
+            bodies = batch.column("body").filter(pa.array(may_be_in(only[1], batch.column("id")))).to_pylist()
             for a in range(0, len(bodies), 256):
                 new = shingle_sets(bodies[a:a + 256], k)
                 held += new
@@ -170,6 +171,7 @@ def _levels(rows: DataFrame, only, k: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             yield frequent()
+        release()
 
     found = (rows.mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
              .groupBy(F.pmod("t", F.lit(LEVEL_SLOTS)).alias("slot")).agg(F.max("c").alias("c")).toPandas())
@@ -178,27 +180,99 @@ def _levels(rows: DataFrame, only, k: int) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, only, levels, k: int, num: int, den: int, shared=None) -> DataFrame:
-    """(t, id, n, rest): prefix postings; ``rest`` shingles follow.  ``shared`` keeps only shingles in that filter."""
-    def run(batch: pa.RecordBatch):
-        out = [[], [], [], []]
-        bits = None if shared is None else shared.value
-        for ident, s in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("body").to_pylist(), k)):
-            if not s.size:
-                continue
-            length = s.size - -(-num * s.size // den) + 1
-            level = levels.value[s.view(np.int64) % LEVEL_SLOTS].astype(np.uint64)
-            order = np.argsort(level << np.uint64(57) | s >> np.uint64(7), kind="stable")[:length]
-            t, rest = s[order].view(np.int64), s.size - 1 - np.arange(length)
-            if bits is not None:
-                hit = has_bits(bits, t)
-                t, rest = t[hit], rest[hit]
-            for to, x in zip(out, (t, np.full(t.size, ident), np.full(t.size, s.size), rest)):
-                to.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["t", "id", "n", "rest"])
-
-    return map_rows(rows, run, "t long, id long, n long, rest long", "body", only=only)
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as byte planes, which compress well."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+
+
+def _numbers(x: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1).astype(np.int64)
+
+
+_POSTING = (("t", "<i8"), ("id", "<i8"), ("n", "<i4"), ("rest", "<i4"))
+
+
+def _shared_postings(rows: DataFrame, only, levels, k: int, num: int, den: int, total: int) -> DataFrame:
+    """(t, id, n, rest): prefix postings of the shingles that the prefixes of two sets share; ``rest`` shingles follow.
+
+    Postings travel once, packed by range of ``t`` and sorted by it.  The task
+    of a range holds one posting of every shingle it has met so far, and lets a
+    posting go on as soon as its shingle is met again; so a frequent shingle
+    takes no more room than a rare one.
+    """
+    ranges = max(parts(rows.sparkSession), -(-total // RANGE_POSTINGS))
+
+    def pack(batches):
+        held, waiting = [[] for _ in _POSTING], 0
+
+        def flush():
+            t, *rest = (np.concatenate(x) for x in held)
+            for x in held:
+                x.clear()
+            order = np.argsort(t)
+            t, rest = t[order], [x[order] for x in rest]
+            to = ((t.astype(np.float64) + 2.0 ** 63) * (ranges / 2.0 ** 64)).astype(np.int64).clip(0, ranges - 1)
+            first = np.append(True, to[1:] != to[:-1])
+            place = np.arange(to.size) - np.maximum.accumulate(np.where(first, np.arange(to.size), 0))
+            edges = np.append(np.flatnonzero(place % ROW_POSTINGS == 0), to.size)
+            for a in range(0, edges.size - 1, 1024):
+                spans = list(zip(edges[a:a + 1025][:-1].tolist(), edges[a:a + 1025][1:].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([to[x] for x, _ in spans]), *(pa.array([_planes(v[x:y], kind) for x, y in spans], pa.binary())
+                                                           for v, (_, kind) in zip((t, *rest), _POSTING))], ["range", *(c for c, _ in _POSTING)])
+
+        for batch in batches:
+            batch = batch.filter(pa.array(may_be_in(only[1], batch.column("id"))))
+            for piece in cut_batch(batch, "body", 2 << 20):
+                for ident, s in zip(piece.column("id").to_pylist(), shingle_sets(piece.column("body").to_pylist(), k)):
+                    if not s.size:
+                        continue
+                    length = s.size - -(-num * s.size // den) + 1
+                    level = levels.value[s.view(np.int64) % LEVEL_SLOTS].astype(np.uint64)
+                    order = np.argsort(level << np.uint64(57) | s >> np.uint64(7), kind="stable")[:length]
+                    new = s[order].view(np.int64), np.full(length, ident), np.full(length, s.size), s.size - 1 - np.arange(length)
+                    for to, x in zip(held, new):
+                        to.append(x)
+                    waiting += length
+                    if waiting >= PACK_POSTINGS:
+                        yield from flush()
+                        waiting = 0
+        if waiting:
+            yield from flush()
+        release()
+
+    def shared(batches):
+        known = [np.zeros(0, np.int64) for _ in _POSTING]  # one posting of each shingle met
+        met = np.zeros(0, bool)  # whether it has gone on
+
+        def meet(new):
+            nonlocal known, met
+            every = [np.concatenate(x) for x in zip(known, new)]  # known ones come first
+            order = np.argsort(every[0], kind="stable")
+            every = [x[order] for x in every]
+            gone = np.concatenate([met, np.zeros(new[0].size, bool)])[order]
+            first = np.append(True, every[0][1:] != every[0][:-1])
+            group = np.cumsum(first) - 1
+            heads = np.flatnonzero(first)
+            many = np.diff(np.append(heads, first.size)) > 1
+            out = many[group] & ~gone
+            known, met = [x[heads] for x in every], gone[heads] | many
+            return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in every], [c for c, _ in _POSTING])
+
+        waiting, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c, _ in _POSTING)):
+                waiting.append([_numbers(x, kind) for x, (_, kind) in zip(row, _POSTING)])
+                size += waiting[-1][0].size
+                if size >= RANGE_POSTINGS:
+                    yield meet([np.concatenate(x) for x in zip(*waiting)])
+                    waiting, size = [], 0
+        if waiting:
+            yield meet([np.concatenate(x) for x in zip(*waiting)])
+        release()
+
+    packed = rows.mapInArrow(pack, "range long, t binary, id binary, n binary, rest binary").repartition(ranges, "range")
+    return packed.mapInArrow(shared, "t long, id long, n long, rest long")
 
 
 def _open(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
@@ -227,6 +301,8 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     wanted = spark.sparkContext.broadcast(member_bits(ids, "id"))
+    if wanted.value is None:  # too many for a filter
+        rows = rows.join(ids.distinct(), "id", "left_semi")
     sets = materialise(map_rows(rows, run, "id long, s array<long>", "body", only=("id", wanted)), "jaccard-sets")
     return (pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
             .join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
@@ -242,6 +318,8 @@ def links(rows: DataFrame, reps: DataFrame, signed: DataFrame, k: int = K, num:
     """
     spark = rows.sparkSession
     only = ("id", spark.sparkContext.broadcast(member_bits(reps, "id")))
+    if only[1].value is None:  # too many for a filter
+        rows = rows.join(reps.select("id"), "id", "left_semi")
     linked = F.col("o") >= need(F.col("nx"), F.col("ny"), num, den)
 
     # relations: each set with the leader it shares most bands with
@@ -260,12 +338,10 @@ def links(rows: DataFrame, reps: DataFrame, signed: DataFrame, k: int = K, num:
                           .select("id", F.coalesce("component", "id").alias("comp"), F.coalesce("lead", "id").alias("lead"),
                                   F.coalesce("off", F.lit(0)).alias("off")), "jaccard-related")
 
-    # index: shingles shared by two prefixes, then their postings
+    # index: postings of the shingles that two prefixes share
     levels = spark.sparkContext.broadcast(_levels(rows, only, k))
-    shared = (_prefixes(rows, only, levels, k, num, den).groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-              .filter("lo < hi").select("t"))
-    bitmap = spark.sparkContext.broadcast(member_bits(shared, "t"))
-    listed = materialise(_prefixes(rows, only, levels, k, num, den, bitmap).join(related, "id"), "jaccard-index")
+    total = reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    listed = materialise(_shared_postings(rows, only, levels, k, num, den, total).join(related, "id"), "jaccard-index")
     mixed = materialise(listed.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                         .filter("lo < hi").select("t"), "jaccard-mixed")
     step = math.log(den / num)
@@ -301,7 +377,14 @@ def links(rows: DataFrame, reps: DataFrame, signed: DataFrame, k: int = K, num:
     one = entries.select("t", *(F.col(c).alias("x_" + c) for c in ("cls", "id", "n", "rest", "lead", "off")))
     two = entries.select("t", *(F.col(c).alias("y_" + c) for c in ("cls", "id", "n", "rest", "lead", "off")))
     least = need(F.col("x_n"), F.col("y_n"), num, den)
-    members = (where.join(one, ["t", "x_cls", "x_lead"]).join(two, ["t", "y_cls", "y_lead"])
+    # a follower meets the block of the other side first: most can't reach its least need even with its largest offset
+    facing = blocks.select("t", F.col("cls").alias("y_cls"), F.col("lead").alias("y_lead"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"),
+                           F.col("off").alias("b_off"), F.col("rest").alias("b_rest"))
+    floor = need(F.col("x_n"), F.col("b_lo"), num, den)
+    alive = (where.join(facing, ["t", "y_cls", "y_lead"]).join(one, ["t", "x_cls", "x_lead"])
+             .filter((F.col("o") + F.col("x_off") + F.col("b_off") >= floor) & (1 + F.least("x_rest", "b_rest") >= floor)
+                     & (den * F.col("x_n") >= num * F.col("b_lo")) & (den * F.col("b_hi") >= num * F.col("x_n"))).drop("b_lo", "b_hi", "b_off", "b_rest"))
+    members = (alive.join(two, ["t", "y_cls", "y_lead"])
                .filter((1 + F.least("x_rest", "y_rest") >= least) & (F.col("o") + F.col("x_off") + F.col("y_off") >= least)
                        & (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")))
                .select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), F.lit(None).alias("floor")).distinct())
