@@ -1,16 +1,18 @@
 """Helpers shared by the training-data operators.
 
-Nothing here depends on the size of the input: the membership filter has a
-fixed number of bits, Arrow batches are cut by bytes, and every intermediate
-table is written to the cluster's shared folder.
+Arrow batches are cut by bytes, a membership filter takes its bits from a count
+of its members up to a stated bound (beyond it there is a plain join), and every
+intermediate table is written to the cluster's shared folder.
 """
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,9 @@ from lectern.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: ASCII white space as the contracts define it.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-#: Bits of a membership filter (1 MiB); it only prunes, an exact join follows.
-FILTER_BITS = 1 << 23
+#: Bits a member of a membership filter (two of them are set), and the bits it may have at least and at most
+#: (16 MiB).  It only prunes, an exact join follows; with more members than ``FILTER_MOST`` bits there is no filter.
+BITS_A_MEMBER, FILTER_LEAST, FILTER_MOST = 32, 1 << 20, 1 << 27
 #: UTF-8 bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch, where the session sets none.
@@ -60,25 +63,34 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
              after: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` with batches cut so that column ``by`` holds about ``chunk_bytes``.
 
-    ``only``: (column, broadcast bitmap); rows that the filter lacks are left out
-    first, in the same worker.  ``after`` runs when a task has read its rows: it
-    empties caches, as workers outlive their tasks.
+    ``only``: (column, broadcast bitmap or None); rows that the filter lacks are
+    left out first, in the same worker.  ``after`` runs when a task has read its rows: it
+    empties caches, as workers outlive their tasks.  Free memory then goes back
+    to the system.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if only is not None:
-                v = batch.column(only[0])
-                hit = has_bits(only[1].value, v.fill_null(0).to_numpy(zero_copy_only=False)) & v.is_valid().to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(hit))
+                batch = batch.filter(pa.array(may_be_in(only[1], batch.column(only[0]))))
             for piece in cut_batch(batch, by, chunk_bytes):
                 yield from fn(piece)
         if after is not None:
             after()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system: workers are reused, and their heaps would only grow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cut_batch(batch: pa.RecordBatch, by: str | None, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     if by is None or batch.num_rows == 0:
         if batch.num_rows:
@@ -103,27 +115,35 @@ def utf8(col: Column) -> Column:
 
 # --- membership filter -------------------------------------------------------
 
-def _slot(values: np.ndarray, bits: int) -> np.ndarray:
+def _slots(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each value."""
     x = values.astype(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(17)) & np.uint64(bits - 1)
+    y = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(17)) & np.uint64(bits - 1), (y >> np.uint64(23)) & np.uint64(bits - 1)
 
 
-def member_bits(df: DataFrame, col: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size holding every value of a bigint column.
+def member_bits(df: DataFrame, col: str, bits: int | None = None) -> np.ndarray | None:
+    """A bitmap holding every value of a bigint column, sized by their number; None for too many of them.
 
     Each task marks its own bitmap; the bitmaps meet in a two-step OR, so what
-    reaches the driver is ``bits / 8`` bytes whatever the number of rows.
+    reaches the driver is about ``bits / 8`` bytes at most.
     """
+    if bits is None:
+        members = df.count()
+        if members > FILTER_MOST:
+            return None
+        bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (BITS_A_MEMBER * members - 1).bit_length()))
+
     def mark(batches):
-        seen = np.zeros(bits, dtype=bool)
+        seen = np.zeros(bits // 64, np.uint64)
         for b in batches:
             v = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            seen[_slot(v.astype(np.int64), bits)] = True
-        if seen.any():
-            words = np.packbits(seen, bitorder="little").view(np.int64)
-            at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["at", "word"])
+            for slot in _slots(v.astype(np.int64), bits):
+                np.bitwise_or.at(seen, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+        at = np.flatnonzero(seen)
+        if at.size:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at].view(np.int64), pa.int64())], ["at", "word"])
 
     rows = (df.select(F.col(col).cast("bigint").alias("v")).mapInArrow(mark, "at long, word long")
             .groupBy("at").agg(F.bit_or("word").alias("word")).toPandas())
@@ -132,18 +152,26 @@ def member_bits(df: DataFrame, col: str, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def may_be_in(shared, column: pa.Array) -> np.ndarray:
+    """Rows of a bigint column that a broadcast filter may hold; null is no member."""
+    some = column.is_valid().to_numpy(zero_copy_only=False)
+    return some if shared.value is None else some & has_bits(shared.value, column.fill_null(0).to_numpy(zero_copy_only=False))
+
+
 def has_bits(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    s = _slot(values, bitmap.size * 8)
-    return ((bitmap[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    hits = [((bitmap[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) for s in _slots(values, bitmap.size * 8)]
+    return hits[0] & hits[1]
 
 
-def in_bits(spark: SparkSession, col: Column, bitmap: np.ndarray) -> Column:
-    """Whether the filter may hold the value (never false for a member); null is no member."""
+def in_bits(spark: SparkSession, col: Column, bitmap: np.ndarray | None) -> Column:
+    """Whether the filter may hold the value (never false for a member); null is no member.  Without a filter any value may be one."""
+    if bitmap is None:
+        return col.isNotNull()
     shared = spark.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf(T.BooleanType())
-    def test(v: pd.Series) -> pd.Series:
-        return pd.Series(v.notna().to_numpy() & has_bits(shared.value, v.fillna(0).to_numpy().astype(np.int64)))
+    @F.arrow_udf(T.BooleanType())  # no pandas in the workers
+    def test(v: pa.Array) -> pa.Array:
+        return pa.array(may_be_in(shared, v))
 
     return test(col.cast("bigint"))
 

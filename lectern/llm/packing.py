@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(F.col(text)).alias("body"))
-    return map_rows(rows, run, "doc_id long, piece int, start long, length long, ids binary", "body")
+    return map_rows(rows, run, "doc_id long, piece int, start long, length long, ids binary", "body", after=lambda: word_ids(path).forget())
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

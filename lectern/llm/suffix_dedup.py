@@ -31,14 +31,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import in_bits, map_rows, materialise, member_bits, parts, utf8
+from lectern.llm.common import in_bits, map_rows, materialise, member_bits, parts, release, utf8
 
 LENGTH = 400
 #: Bytes of an anchor: a window then holds ``LENGTH - 65 + 1`` = 336 = 8 * 7 * 6 of them.
@@ -158,7 +157,8 @@ def _with_bodies(docs: DataFrame, spans: DataFrame) -> DataFrame:
     listed = materialise(spans.groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("start", "n", "at", "key", "weight")).alias("spans")), "suffix-lists")
     hit = docs.filter(in_bits(spark, F.col("th"), member_bits(listed, "th"))).dropDuplicates(["doc_id", "th"])
-    right = listed.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    # one plan at every size: the listed texts meet their spans in a sorted merge
+    right = listed.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans").hint("merge")
     return hit.join(right, hit.doc_id.eqNullSafe(F.col("_d")) & (hit.th == F.col("_t"))).select("doc_id", "th", "body", "spans")
 
 
@@ -241,19 +241,18 @@ class RunIndex:
         return np.maximum.accumulate(reach) - np.arange(reach.size)
 
 
-def _mark_shard(pdf, length: int):
-    texts = pdf["body"].tolist()
-    index = RunIndex(texts)
+def _mark_shard(rows: pa.Table, length: int) -> pa.Table:
+    index = RunIndex(rows.column("body").to_pylist())
     hit = index.matching() >= length
-    out = {"doc_id": [], "th": [], "start": [], "n": []}
-    for i in np.flatnonzero(pdf["weight"].to_numpy() == 1).tolist():
+    doc_id, th, start, weight = (rows.column(c).to_pylist() for c in ("doc_id", "th", "start", "weight"))
+    out = []
+    for i in (i for i, w in enumerate(weight) if w == 1):
         mine = hit[index.firsts[i]:index.ends[i]]
         if mine.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for name, v in zip(out, (pdf["doc_id"].iat[i], pdf["th"].iat[i], pdf["start"].iat[i] + a, b - a)):
-                    out[name].append(v)
-    return pd.DataFrame({k: pd.array([None if pd.isna(x) else int(x) for x in v], dtype="Int64") for k, v in out.items()})
+            out += [(doc_id[i], th[i], start[i] + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    release()
+    return pa.table([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["doc_id", "th", "start", "n"])
 
 
 def repeated_windows(docs: DataFrame, length: int, k: int, classes: tuple[int, ...], most: int) -> DataFrame:
@@ -264,7 +263,8 @@ def repeated_windows(docs: DataFrame, length: int, k: int, classes: tuple[int, .
         occ = materialise(_first_spans(docs, length, k) if level == 0 else _split(_with_bodies(docs, spans), length, width),
                           "suffix-spans")
         same = materialise(occ.groupBy("key", "s1", "s2").agg(F.sum("weight").alias("c")), "suffix-same")
-        keys = same.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).filter("all > 1")
+        # written before the join, so that Spark can split a hot anchor's rows in it
+        keys = materialise(same.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).filter("all > 1"), "suffix-keys")
         kept = materialise(same.join(keys.drop("all"), "key"), "suffix-kept")
         hits = materialise(occ.filter(in_bits(spark, F.col("key"), member_bits(kept, "key")))
                            .join(kept, ["key", "s1", "s2"]), "suffix-hits")
@@ -301,7 +301,7 @@ def repeated_windows(docs: DataFrame, length: int, k: int, classes: tuple[int, .
     shards = max(parts(spark), -(-total // SHARD_BYTES))
     schema = "doc_id long, th long, start long, n long"
     indexed = (texts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-               .groupBy("shard").applyInPandas(lambda pdf: _mark_shard(pdf, length), schema))
+               .groupBy("shard").applyInArrow(lambda rows: _mark_shard(rows, length), schema))
     for more in found:
         indexed = indexed.unionByName(more)
     return indexed
@@ -345,16 +345,20 @@ def _pieces(body: bytes, starts, ends) -> bytes:
     return b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-@F.pandas_udf(T.BinaryType())
-def without(body: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+def _each(fn, body: pa.Array, starts: pa.Array, ends: pa.Array) -> list:
+    return [None if a is None or x is None else fn(_pieces(x, a, z)) for x, a, z in zip(*(c.to_pylist() for c in (body, starts, ends)))]
+
+
+@F.arrow_udf(T.BinaryType())
+def without(body: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """The bytes outside the runs."""
-    return pd.Series([_pieces(*x) for x in zip(body, starts, ends)], dtype=object)
+    return pa.array(_each(bytes, body, starts, ends), pa.binary())
 
 
-@F.pandas_udf(T.StringType())
-def without_as_text(body: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def without_as_text(body: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """The text outside the runs; characters that a run cuts through go with it."""
-    return pd.Series([_pieces(*x).decode("utf-8", "ignore") for x in zip(body, starts, ends)], dtype=object)
+    return pa.array(_each(lambda x: x.decode("utf-8", "ignore"), body, starts, ends), pa.string())
 
 
 def _marked(rows: DataFrame, spans: DataFrame, doc_id: str, th: str):
