@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from lectern.llm.common import map_rows, materialise, merge_side_by_side, parts, rank_of_pairs, texts_of, utf8
+from lectern.llm.common import map_rows, materialise, merge_side_by_side, parts, rank_of_pairs, release, texts_of, utf8
 
 CAPACITY, END_ID = 4096, 1
 #: Words that merge side by side: lower-case letters of Latin-1, up to this many bytes.
@@ -131,7 +131,9 @@ class WordIds:
 
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    found = WordIds(path)
+    release()  # what the vocabulary file left behind
+    return found
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

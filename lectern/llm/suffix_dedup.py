@@ -365,7 +365,8 @@ def _marked(rows: DataFrame, spans: DataFrame, doc_id: str, th: str):
     """(rows without runs, rows joined with their ``starts`` and ``ends``); only the latter are shuffled."""
     hit = in_bits(rows.sparkSession, F.col(th), member_bits(spans, "th"))
     right = spans.select(F.col("doc_id").alias("_l_d"), F.col("th").alias("_l_t"), F.col("starts").alias("_l_a"),
-                         F.col("ends").alias("_l_b"))
+                         F.col("ends").alias("_l_b")).hint("merge")
+    # a merge join: beside the filter and the cutting, a broadcast would put two Python workers on one task
     joined = rows.filter(hit).join(right, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_l_d")) & (F.col(th) == F.col("_l_t")),
                                    "left")
     return rows.filter(~hit).unionByName(joined.filter("_l_t IS NULL").select(*rows.columns)), joined.filter("_l_t IS NOT NULL")
