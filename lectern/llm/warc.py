@@ -2,7 +2,9 @@
 
 Records are range-sorted by page id into shards whose limits come from a
 hash-chosen sample of the ids, so equal tables give equal shards however they
-are partitioned.  A shard is written as files that roll over by compressed
+are partitioned.  Every shard is a task of its own, so a task holds about
+``shard_bytes`` of payload whatever the table's size; only the shards' limits
+(8 bytes a shard) reach the driver.  A shard is written as files that roll over by compressed
 size; headers, digests and record ids are made anew from the page itself, one
 gzip member a record, without clocks or random numbers, so equal tables give
 equal bytes.  Tasks write under temporary names that no two attempts share and
@@ -36,11 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import in_bits, map_rows, materialise, member_bits, parts, utf8
+from lectern.operators.running import running_totals
 
 MIN_REVISIT = 1000
-#: Payload bytes meant for a shard, compressed bytes after which a file is full, ids sampled for each shard.
-SHARD_BYTES, ROLL_BYTES, SAMPLES = 4 << 20, 1 << 20, 64
-MAX_SHARDS = 4096
+#: Payload bytes meant for a shard (a table of 100 TB takes 1 GiB or so), compressed bytes after which a file is full,
+#: ids sampled for each shard.
+SHARD_BYTES, ROLL_BYTES, SAMPLES = 16 << 20, 1 << 20, 64
 DATE = "1970-01-01T00:00:00Z"
 ID_PREFIX = "urn:lectern:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -117,13 +120,18 @@ def members(stream, chunk: int = 1 << 20):
 def _limits(pages: DataFrame, shard_bytes: int) -> np.ndarray:
     """Ids at which a new shard begins: quantiles of a sample chosen by a hash of the id."""
     n, total = pages.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
-    shards = min(MAX_SHARDS, max(1, -(-(total or 0) // shard_bytes)))
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    if shards == 1:
+        return np.zeros(0, np.int64)
     every = max(1, n // (SAMPLES * shards))
-    ids = (pages.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
-           .select("page_id").distinct().toPandas()["page_id"])  # about SAMPLES * shards ids
-    ids = np.sort(ids.to_numpy(dtype=np.int64))
-    at = np.linspace(0, ids.size, shards + 1)[1:-1].astype(int)
-    return np.unique(ids[at]) if ids.size else ids
+    ids = materialise(pages.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
+                      .select("page_id", F.lit(0).cast("bigint").alias("all"), F.lit(1).cast("bigint").alias("one"))
+                      .distinct(), "warc-sample")
+    most = ids.count()
+    ranked = running_totals(ids, ["all"], [F.col("page_id")], {"upto": ("sum", "one")}, "warc-ranks")
+    # rank r lies in quantile (r - 1) * shards / most; the first of every quantile but the lowest is a limit
+    first = F.pmod((F.col("upto") - 1) * shards, F.lit(max(1, most))) < shards
+    return np.sort(ranked.filter(first & (F.col("upto") > 1)).select("page_id").toPandas()["page_id"].to_numpy(dtype=np.int64))
 
 
 def link_copies(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -198,7 +206,7 @@ def write_archive(pages: DataFrame, root: str, page_id: str = "page_id", url: st
             yield finish()
 
     dealt = (link_copies(rows, min_revisit).withColumn("shard", shard_of("page_id"))
-             .repartition(parts(spark), "shard")
+             .repartitionById(len(limits) + 1, F.col("shard"))
              .sortWithinPartitions("shard", "page_id", "url", F.sha1("body")))
     found = materialise(dealt.select("shard", "page_id", "url", "body", "refers_to", "revisit")
                         .mapInArrow(write, FILE_SCHEMA), "warc-attempts")
