@@ -1,11 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A store keeps, for every line key seen so far, the 128-bit key hash and the id
-of the document that owns it.  A run is one table sorted by hash.  A new batch
-groups its own keys, merge-anti-joins all runs to find the keys nobody owns
-yet, and adds these as a run of level 0; when a level holds ``fanout`` runs
-they are merged into one run of the next level, so a store of n batches has
-about ``fanout * log(n)`` runs.  A line stays only in the document that owns
+of the document that owns it.  A run is one table bucketed and sorted by hash,
+one file a bucket.  A new batch groups its own keys, which shuffles them once,
+merge-anti-joins the runs one by one to find the keys nobody owns yet (a run
+is read as it lies, without exchange or sort), and adds these as a run of level
+0; when a level holds ``fanout`` runs they are merge-joined into one run of the
+next level, so a store of n batches has about ``fanout * log(n)`` runs.  Runs
+whose buckets differ in number from the session's partitions are shuffled.  A line stays only in the document that owns
 its key.
 
 A key is the line without ASCII white space at both ends, A-Z lower-cased;
@@ -19,7 +21,10 @@ an empty result.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +38,7 @@ BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Stands for a null id inside the store.
 NO_ID = (1 << 63) - 1
 
@@ -51,12 +57,30 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
             .select("id", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash")))
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Scans of a bucket that is one file count as sorted; Spark reads this setting when it plans."""
+    before = spark.conf.get(ORDERED, None)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(ORDERED) if before is None else spark.conf.set(ORDERED, before)
+
+
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs of disjoint keys as one: a merge join that matches nothing."""
+    return (a.join(b.select("hash", F.col("id").alias("other")).hint("merge"), "hash", "full_outer")
+            .select("hash", F.coalesce("id", "other").alias("id")))
+
+
 class LineStore:
     """Levelled runs of (hash, id) under one folder; ``open`` finds the runs of an earlier session."""
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
         self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
         self.levels: list[list[str]] = []
+        self.names: dict[str, str] = {}  # catalog names of the runs
         self.serial = 0
 
     @classmethod
@@ -71,36 +95,58 @@ class LineStore:
         store.serial = last
         return store
 
+    def _table(self, path: str) -> DataFrame:
+        """The run as a bucketed table; the session's catalog learns of it when it is first asked for."""
+        if path not in self.names:
+            name = f"line_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (hash BINARY, id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) "
+                           f"INTO {int(path.rsplit('-', 1)[1])} BUCKETS LOCATION '{path}'")
+            self.names[path] = name
+        return self.spark.table(self.names[path])
+
     def runs(self) -> DataFrame | None:
         paths = [p for level in self.levels for p in level]
         return self.spark.read.schema("hash binary, id bigint").parquet(*paths) if paths else None
 
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = {}
+
     def _write(self, rows: DataFrame) -> str:
+        """Write rows that are hash partitioned by ``hash`` already, so that a bucket is one file."""
         self.serial += 1
-        path = f"{self.root}/run-{self.serial:06d}"
-        (rows.repartition(parts(self.spark), "hash").sortWithinPartitions("hash").write.parquet(path))
+        buckets = parts(self.spark)
+        path, name = f"{self.root}/run-{self.serial:06d}-{buckets}", f"line_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+        self.names[path] = name
         return path
 
+    def unowned(self, hashes: DataFrame) -> DataFrame:
+        """(hash, id) of the keys of a batch that no run holds, with their smallest id."""
+        fresh = hashes.groupBy("hash").agg(F.min("id").alias("id"))
+        for path in (p for level in self.levels for p in level):
+            fresh = fresh.join(self._table(path).select("hash").hint("merge"), "hash", "left_anti")
+        return fresh
+
     def add(self, hashes: DataFrame) -> DataFrame:
         """Add a batch of (id, hash); returns the run of keys that the batch owns."""
-        fresh = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-        held = self.runs()
-        if held is not None:
-            fresh = fresh.join(held.select("hash").hint("merge"), "hash", "left_anti")
-        path = self._write(fresh)
+        with sorted_buckets(self.spark):
+            path = self._write(self.unowned(hashes))
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(path)
         own = self.spark.read.schema("hash binary, id bigint").parquet(path)
-        self._compact()
+        with sorted_buckets(self.spark):
+            self._compact()
         self._commit()
         return own
 
     def _compact(self) -> None:
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            merged = self.spark.read.schema("hash binary, id bigint").parquet(*self.levels[level])  # keys are disjoint
-            path = self._write(merged)
+            path = self._write(functools.reduce(_merge, map(self._table, self.levels[level])))
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
@@ -145,6 +191,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         lost = batch.distinct().join(own, ["hash", "id"], "left_anti")
         dropped = lost if dropped is None else dropped.unionByName(lost)
     drops = materialise(dropped.groupBy("id").agg(F.collect_set("hash").alias("drops")), "line-drops")
+    store.close()
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     ident = F.coalesce("doc_id", F.lit(NO_ID))
