@@ -1,13 +1,15 @@
 """Exact top-k by inner product with MaxScore over integer vectors.
 
 Dimensions are the query's terms and a shard of candidates holds their
-postings as columns.  In a shard every term has a score bound (its largest
-contribution there).  Per query the terms are split by these bounds: essential
-terms are traversed for all candidates; a candidate whose partial score plus
-the bounds of the other terms can't reach the k-th best score so far is
-dropped; the others are probed term group by term group as long as they stay
-competitive.  Every shard returns its k best per query and the shards' lists
-are merged.
+postings.  A shard's rows are arranged in cells of alike vectors (halved at the
+median of the widest term), and every cell knows each term's least and largest
+component.  A query first meets the cell that promises it most; any other cell
+is skipped where the sum of its term bounds can't reach the k-th best score so
+far.  In a cell that is left the terms are split by their bounds: the essential
+ones are traversed for all its candidates, a candidate whose partial score plus
+the bounds of the other terms falls short is dropped, and the others are probed
+term group by term group as long as they stay competitive.  Every shard returns
+its k best per query and the shards' lists are merged.
 
 Queries travel in blocks, candidates in shards, and blocks meet shards by an
 equality join, so neither is collected.
@@ -32,9 +34,11 @@ from pyspark.sql.window import Window
 from lectern.llm.common import map_rows
 
 SCALE = 256
-QUERY_BLOCK, SHARD, STRIDE, PROBE = 512, 4096, 1024, 8
+QUERY_BLOCK, SHARD, CELL, PROBE = 512, 4096, 128, 8
 #: Bounds of the other terms together, as a share of the distance between threshold and least possible score.
 SLACK = 0.15
+#: Place of a score that isn't found yet.
+NONE = -(1 << 63)
 
 
 def usable(vec: Column) -> Column:
@@ -48,70 +52,111 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if top < 2 ** 53:
         return (a @ b.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return np.clip(whole(a).dot(whole(b).T), -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    return np.clip(whole(a).dot(whole(b).T), NONE + 1, (1 << 63) - 1).astype(np.int64)
 
 
-def best_in_shard(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query id, candidate id, score) of each query's k best candidates in the shard."""
-    low, high = c.min(0), c.max(0)
-    bound, least = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
-    exact_only = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2 ** 53
-    spread = bound - least
-    order = np.argsort(-spread, axis=1, kind="stable")  # strongest term first
-    behind = np.take_along_axis(spread, order, 1)[:, ::-1].cumsum(1)[:, ::-1]  # bounds from a term on
-    n, dims = q.shape
-    held = [np.zeros(0, np.int64)] * 3  # query position, candidate id, score
-    threshold = np.full(n, -np.inf)
-
-    def admit(at: np.ndarray, ident: np.ndarray, score: np.ndarray) -> None:
-        nonlocal held, threshold
-        at, ident, score = (np.concatenate(x) for x in zip(held, (at, ident, score)))
-        pick = np.lexsort((ident, -score, at))
-        at, ident, score = at[pick], ident[pick], score[pick]
-        first = np.searchsorted(at, at, side="left")
-        rank = np.arange(at.size) - first
-        top = rank < k
-        held = [at[top], ident[top], score[top]]
-        last = rank == k - 1
-        threshold[at[last]] = score[last]
-
-    for a in range(0, c_id.size, STRIDE):
-        part, ident = c[a:a + STRIDE], c_id[a:a + STRIDE]
-        if exact_only or np.isneginf(threshold).any():
-            score = _product(q, part)
-            keep = (q_id[:, None] != ident[None, :]) & (score >= threshold[:, None])
-            at, j = np.nonzero(keep)
-            admit(at, ident[j], score[at, j])
+def arranged(c: np.ndarray) -> np.ndarray:
+    """Order of a shard's rows in which every run of ``CELL`` rows is alike."""
+    done, todo = [np.zeros(0, np.int64)], [np.arange(len(c))]
+    while todo:
+        at = todo.pop()
+        if at.size <= CELL:
+            done.append(at)
             continue
-        # essential: the fewest strong terms that leave little to the others
-        room = np.maximum(threshold - least.sum(1), 0) * SLACK
-        essential = (behind > room[:, None]).sum(1)
-        weight = np.zeros_like(q)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(dims)[None, :].repeat(n, 0), 1)
-        strong = rank < essential[:, None]
-        weight[strong] = q[strong]
-        partial = weight @ part.T
-        rest = np.where(strong, 0, bound).sum(1)
-        at, j = np.nonzero(partial + (rest - threshold)[:, None] >= 0)
-        score, rest = partial[at, j], rest[at]
-        for s in range(int(essential.min()), dims, PROBE):  # probe while competitive
-            if not at.size:
-                break
-            for d in range(s, min(s + PROBE, dims)):
-                term = order[at, d]
-                due = d >= essential[at]
-                score = score + np.where(due, q[at, term] * part[j, term], 0)
-                rest = rest - np.where(due, bound[at, term], 0)
-            ok = score + rest >= threshold[at]
+        half = max(CELL, at.size // 2 // CELL * CELL)
+        term = c[at].std(0).argmax()
+        cut = np.argpartition(c[at, term], half)
+        todo += [at[cut[half:]], at[cut[:half]]]
+    return np.concatenate(done)
+
+
+class _Best:
+    """The k best candidates of every query so far; equal scores go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.ident = np.full((n, k), NONE), np.full((n, k), (1 << 63) - 1)
+
+    def limit(self) -> np.ndarray:
+        """The k-th best score of every query, or minus infinity."""
+        last = self.score[:, -1]
+        return np.where(last == NONE, -np.inf, last)
+
+    def admit(self, at: np.ndarray, ident: np.ndarray, score: np.ndarray) -> None:
+        who, at = np.unique(at, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(who.size), self.k), at])
+        ident = np.concatenate([self.ident[who].ravel(), ident])
+        score = np.concatenate([self.score[who].ravel(), score])
+        pick = np.lexsort((ident, ~score, at))  # ~x falls as x grows, and never overflows
+        rank = np.arange(at.size) - np.searchsorted(at[pick], at[pick], side="left")
+        pick = pick[rank < self.k]
+        self.ident[who], self.score[who] = ident[pick].reshape(-1, self.k), score[pick].reshape(-1, self.k)
+
+
+def best_in_shard(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int,
+                  tally: dict | None = None) -> tuple[np.ndarray, ...]:
+    """(query id, candidate id, score) of each query's k best candidates in the shard, in any order of its rows.
+
+    ``tally`` takes the postings (query terms times candidates) that there are, and those that were read.
+    """
+    n, dims = q.shape
+    best = _Best(n, k)
+    starts = np.arange(0, c_id.size, CELL)
+    read = 0
+
+    if float(np.abs(q).max()) * float(np.abs(c).max()) * dims >= 2 ** 53:  # bounds in doubles would not be exact
+        for a in starts:
+            score, ident = _product(q, c[a:a + CELL]), c_id[a:a + CELL]
+            at, j = np.nonzero((q_id[:, None] != ident[None, :]) & (score >= best.score[:, -1:]))
+            best.admit(at, ident[j], score[at, j])
+        read, starts = q.size * c_id.size, starts[:0]
+    low, high = (f.reduceat(c, starts, 0) if starts.size else c[:0] for f in (np.minimum, np.maximum))
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T  # bounds of a query's score in a cell
+
+    def visit(cell: int, who: np.ndarray, limit: np.ndarray) -> int:
+        a = starts[cell]
+        part, ident = c[a:a + CELL], c_id[a:a + CELL]
+        bound = up[who] * high[cell] + down[who] * low[cell]
+        spread = np.abs(q[who]) * (high[cell] - low[cell])
+        lead = np.argsort(-spread.sum(0), kind="stable")  # strongest term first
+        behind = spread[:, lead[::-1]].cumsum(1)[:, ::-1]  # what the terms from one on can still decide
+        room = np.where(np.isneginf(limit), 0, np.maximum(limit - least[who, cell], 0)) * SLACK
+        essential = int((behind > room[:, None]).sum(1).max())
+        first = lead[:essential]
+        partial = q[np.ix_(who, first)] @ part[:, first].T
+        rest = bound[:, lead[essential:]].sum(1)
+        at, j = np.nonzero(partial + rest[:, None] >= limit[:, None])
+        score, rest, reads = partial[at, j], rest[at], essential * partial.size
+        for s in range(essential, dims, PROBE):  # probe while competitive
+            terms = lead[s:s + PROBE]
+            reads += at.size * terms.size
+            score = score + (q[np.ix_(who[at], terms)] * part[np.ix_(j, terms)]).sum(1)
+            rest = rest - bound[np.ix_(at, terms)].sum(1)
+            ok = score + rest >= limit[at]
             at, j, score, rest = at[ok], j[ok], score[ok], rest[ok]
-        ok = q_id[at] != ident[j]
-        admit(at[ok], ident[j[ok]], score[ok].astype(np.int64))
-    at, ident, score = held
-    return q_id[at], ident, score
-
-
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
+        ok = q_id[who[at]] != ident[j]
+        best.admit(who[at[ok]], ident[j[ok]], score[ok].astype(np.int64))
+        return reads
+
+    promising = most.argmax(1) if starts.size else np.zeros(n, np.int64)
+    for cell in range(starts.size):
+        who = np.flatnonzero(promising == cell)
+        if who.size:
+            read += visit(cell, who, best.limit()[who])
+    for cell in np.argsort(-most.max(0), kind="stable").tolist():
+        limit = best.limit()
+        who = np.flatnonzero((promising != cell) & (most[:, cell] >= limit))
+        if who.size:
+            read += visit(cell, who, limit[who])
+    if tally is not None:
+        tally["postings"] = tally.get("postings", 0) + q.size * c_id.size
+        tally["read"] = tally.get("read", 0) + read
+    at, place = np.nonzero(best.score != NONE)
+    return q_id[at], best.ident[at, place], best.score[at, place]
+
+
+def _blocks(rows: DataFrame, size: int, arrange: bool = False) -> DataFrame:
     """(block, dims, ids, body): up to ``size`` vectors of one length as binary, block numbers of their own."""
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -120,9 +165,13 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         def emit(dims, ids, body):
             nonlocal count
             count += 1
+            ids, body = np.concatenate(ids), np.concatenate(body)
+            if arrange:
+                order = arranged(body)
+                ids, body = ids[order], body[order]
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + count]), pa.array([dims], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
-                 pa.array([np.concatenate(body).tobytes()], pa.binary())], ["block", "dims", "ids", "body"])
+                [pa.array([(part << 32) + count]), pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
+                 pa.array([body.tobytes()], pa.binary())], ["block", "dims", "ids", "body"])
 
         for b in batches:
             lists = b.column("vec")
@@ -154,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
             F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("vec"))
 
     asked = rows(queries).dropDuplicates(["id"])
-    shards = _blocks(rows(vectors), SHARD).selectExpr("block AS shard", "dims", "ids AS c_ids", "body AS c_body")
+    shards = _blocks(rows(vectors), SHARD, arrange=True).selectExpr("block AS shard", "dims", "ids AS c_ids", "body AS c_body")
     blocks = _blocks(asked, QUERY_BLOCK).selectExpr("block AS q_block", "dims AS q_dims", "ids AS q_ids", "body AS q_body")
     # blocks of equal length meet: one row a pair of blocks, never of vectors
     names = shards.select("shard", "dims").join(blocks.select("q_block", F.col("q_dims").alias("dims")), "dims")

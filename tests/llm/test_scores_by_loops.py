@@ -2,6 +2,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lectern.llm import topk_search, toxicity
@@ -52,3 +53,35 @@ def test_top_k_with_repeated_rows_and_clashing_columns(spark):
             best = sorted((-sum(a * b for a, b in zip(form, v)), d) for d, v in good if d != q and len(v) == len(form))[:5]
             one_of.append([(k, d, -s) for k, (s, d) in enumerate(best, 1)])
         assert mine in one_of
+
+
+@pytest.mark.parametrize("groups, size, share", [(200, 0, 0.5), (0, 1, 1.0), (40, 1, 0.9)])
+def test_max_score_reads_fewer_postings_and_loses_no_score(groups, size, share):
+    r = np.random.default_rng(groups)
+    c = r.normal(size=(3000, 32)) * (size or 0.05)
+    if groups:
+        c += 3 * r.normal(size=(groups, 32))[r.integers(0, groups, 3000)]
+    c = np.floor(64 * c)
+    c[7] = c[8] = c[9]  # ties
+    c = c[topk_search.arranged(c)]
+    ids, tally = r.permutation(3000), {}
+    got = sorted(zip(*(x.tolist() for x in topk_search.best_in_shard(ids[:100], c[:100], ids, c, 5, tally))))
+    want = []
+    for i in range(100):
+        score = (c @ c[i]).astype(np.int64)
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:5]
+        want += [(ids[i], ids[j], score[j]) for j in order]
+    assert got == sorted(want)
+    assert tally["postings"] == 100 * 32 * 3000 and tally["read"] <= share * tally["postings"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 129, 1000])
+def test_arranged_is_an_order_of_all_rows(n):
+    rows = np.random.default_rng(n).integers(-2, 3, size=(n, 4)).astype(float)
+    assert sorted(topk_search.arranged(rows).tolist()) == list(range(n))
+
+
+def test_max_score_beyond_doubles_and_with_few_candidates():
+    c = np.array([[2.0 ** 40, 1.0], [2.0 ** 40, 2.0], [-2.0 ** 40, 3.0]])
+    got = [x.tolist() for x in topk_search.best_in_shard(np.array([0]), c[:1], np.arange(3), c, 5)]
+    assert got == [[0, 0], [1, 2], [(1 << 63) - 1, -(1 << 63) + 1]]
