@@ -137,8 +137,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-           end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids as little-endian unsigned 32-bit numbers."""
+           end_id: int = END_ID, keep_words: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids): ids as little-endian unsigned 32-bit numbers.
+
+    ``keep_words``: workers keep the words they learned from one task to the next (``CACHE_WORDS`` at most);
+    otherwise every task learns them anew and its memory is free for what runs after it.
+    """
     def run(batch: pa.RecordBatch):
         found = word_ids(path).ids(texts_of(batch.column("body")), end_id)
         out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
@@ -151,7 +155,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(F.col(text)).alias("body"))
-    return map_rows(rows, run, "doc_id long, piece int, start long, length long, ids binary", "body", after=lambda: word_ids(path).forget())
+    return map_rows(rows, run, "doc_id long, piece int, start long, length long, ids binary", "body",
+                    after=None if keep_words else lambda: word_ids(path).forget())
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
