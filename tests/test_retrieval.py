@@ -189,3 +189,81 @@ def test_empty_chunk_store(spark, tmp_path):
     store = ChunkStore(spark, f"{tmp_path}/store")
     assert store.numbered().count() == 0
     assert store.fetch(spark.createDataFrame([(1, 7, 0)], "qid long, doc_id long, pos int")).select("text").first().text == ""
+
+
+# --- what is scored --------------------------------------------------------------
+
+def test_equal_questions_are_scored_once(spark, monkeypatch):
+    """Equal texts make one row of a question block; every question, repeated ids too, gets its own ranks."""
+    from lectern.plans import answer as AN
+
+    docs = spark.createDataFrame([(i, "t", f"red ball number {i} in the green box") for i in range(6)], "doc_id long, title string, text string")
+    scored = []
+    real = AN.block_top_k
+
+    def count(asked, *args):
+        scored.append(asked.agg(F.sum("n")).first()[0])
+        return real(asked, *args)
+
+    monkeypatch.setattr(AN, "block_top_k", count)
+    rows = [(1, "red ball"), (2, "red ball"), (2, "red ball"), (3, "number 4"), (4, None), (None, "red ball")]
+    q = spark.createDataFrame(rows, "qid long, question string")
+    got = sorted((r.qid, r.rank, r.doc_id) for r in AN.top_chunks(q, AN.build_corpus(docs), 2).collect())
+    assert scored == [3]
+    assert got == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 0), (3, 1, 4), (3, 2, 0)]
+
+
+def test_chat_retrieves_where_the_code_model_failed(spark, monkeypatch):
+    from lectern.operators.inference import Generators
+    from lectern.plans import chat as CH
+
+    def make(profile):
+        return lambda prompts, seeds: ["" if "capital" in str(p).split("[USER]")[-1] else "print(1)" for p in prompts]
+
+    asked = []
+    real = CH.answer_questions
+
+    def record(questions, *args):
+        asked.extend(sorted(r.question for r in questions.collect()))
+        return real(questions, *args)
+
+    monkeypatch.setattr(CH, "answer_questions", record)
+    turns = [(1, 0, "user", "the capital?"), (2, 0, "user", "the capital?"), (2, 1, "user", "write code"), (3, 0, "user", "2 + 2 capital")]
+    conv = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply for r in CH.chat_replies(conv, None, gens=Generators(code=make)).collect()}
+    assert asked == ["2 + 2 capital", "the capital?"]
+    assert got[2, 1] == "print(1)" and got[1, 0] == got[2, 0] == "Не знаю" and len(got) == 4
+
+
+def test_groups_bound_and_score_alike_rows():
+    """Grouped scoring finds what the pairs in double precision give, ties and near ties included."""
+    r = np.random.default_rng(5)
+
+    def block(n, words, first):
+        rows, terms, counts = [], [], []
+        for i in range(n):
+            kind = r.integers(3) * words
+            for t in np.unique(r.integers(0, words, r.integers(0, 12)) ** 2 // words + kind):
+                rows.append(i), terms.append(t), counts.append(r.integers(1, 3))
+        order = np.lexsort((rows, terms))
+        rows, terms, counts = (np.array(x, np.int64)[order] for x in (rows, terms, counts))
+        every, at = np.unique(terms, return_inverse=True)
+        return TB._Block({"n": n, "terms": [f"t{x}" for x in every], "key1": (first + np.arange(n)).astype("<i8").tobytes(), "key2": np.zeros(n, "<i8").tobytes(),
+                          "starts": np.searchsorted(at, np.arange(every.size + 1)).astype("<i4").tobytes(), "rows": rows.astype("<i4").tobytes(),
+                          "counts": counts.astype("<i4").tobytes()})
+
+    asked, found = block(150, 40, 0), []
+    for how in ("pairs", "groups"):
+        r, best = np.random.default_rng(6), TB._Best(150, 3)
+        for first in (0, 1000, 2000, 3000):
+            held = block(700, 40, first)
+            if how == "pairs":
+                for x in TB.block_scores(asked, held, best.floor):
+                    best.add(*x)
+            else:
+                TB.best_of_block(asked, held, best, stride=100)
+        order = np.lexsort((best.key1, -np.rint(best.score * 1e9), best.q))
+        place = np.arange(order.size) - np.searchsorted(best.q[order], best.q[order])
+        top = order[place < 3]
+        found.append([(int(best.q[x]), int(best.key1[x]), round(float(best.score[x]), 9)) for x in top])
+    assert found[0] == found[1] and len(found[0]) > 300
