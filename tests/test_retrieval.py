@@ -267,3 +267,45 @@ def test_groups_bound_and_score_alike_rows():
         top = order[place < 3]
         found.append([(int(best.q[x]), int(best.key1[x]), round(float(best.score[x]), 9)) for x in top])
     assert found[0] == found[1] and len(found[0]) > 300
+
+
+# --- tokens and partitions -------------------------------------------------------
+
+def test_token_blocks_replace_forms_without_exploding_tokens(spark):
+    from lectern.operators import token_blocks as TK
+
+    rows = [(1, ["a", "bee", "a"]), (None, ["bee"]), (1, []), (3, None), (4, ["x", "", "bee"])]
+    df = spark.createDataFrame(rows, "doc_id long, forms array<string>").repartition(2)
+    blocks = TK.token_blocks(df, ["doc_id"], "forms")
+    table = spark.createDataFrame([("bee", "insect"), ("x", ""), ("unused", "u")], "form string, lemma string")
+    got = TK.replaced(blocks, table, "lms")
+    assert "posexplode(forms" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.lms) for r in got.collect()), key=key) == sorted(
+        [(1, ["a", "insect", "a"]), (None, ["insect"]), (1, []), (3, []), (4, ["", "", "insect"])], key=key)
+
+
+def test_lemmatize_joins_the_rows_of_a_key(spark, tmp_path):
+    """Rows of one doc_id are put together token by token, as a window over (doc_id, place) would."""
+    from lectern.plans import catalog
+
+    rows = [(1, "wolfhounds run"), (1, "so elephants"), (2, None), (None, "Elephants!"), (3, "...")]
+    spark.createDataFrame([(d, "s", t) for d, t in rows], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.lemmatized) for r in catalog.QUERIES["lemmatize"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "so wolfho elepha run"), (2, ""), (None, "elepha"), (3, "")}
+
+
+def test_vectors_get_partitions_by_bytes_and_only_when_asked(spark, monkeypatch):
+    from lectern.operators import chunking as CH
+    from lectern.plans import answer as AN
+
+    docs = spark.createDataFrame([(i, "t", f"number {i} " * 60) for i in range(40)], "doc_id long, title string, text string")
+    calls = []
+    real = CH.cluster_parts
+    monkeypatch.setattr(CH, "PART_BYTES", 1000)
+    monkeypatch.setattr(AN, "cluster_parts", lambda d: calls.append(1) or real(d))
+    corpus = AN.build_corpus(docs)
+    assert not calls
+    size = sum(len(f"number {i} " * 60) for i in range(40))
+    assert corpus.vectors.rdd.getNumPartitions() == -(-size // 1000) and calls == [1]
+    assert {round(r.w, 6) for r in corpus.vectors.filter("doc_id = 7").collect()} >= {round(0.5 ** 0.5, 6)}
