@@ -64,6 +64,85 @@ def test_block_top_k(spark, sides, rows, most, rare):
         assert len(TB._batches(asked, most)) > 1
 
 
+def plain_block(texts_of_rows, first_key=0):
+    """A decoded block of token lists, without Spark."""
+    terms = sorted({t for ts in texts_of_rows for t in ts})
+    found = [[(i, ts.count(t)) for i, ts in enumerate(texts_of_rows) if t in ts] for t in terms]
+    keys = np.arange(first_key, first_key + len(texts_of_rows), dtype="<i8")
+    flat = np.array([x for f in found for x in f], "<i4").reshape(-1, 2)
+    return TB._Block({"n": len(texts_of_rows), "terms": terms, "key1": keys.tobytes(), "key2": np.zeros_like(keys).tobytes(),
+                      "starts": np.append(0, np.cumsum([len(f) for f in found])).astype("<i4").tobytes(),
+                      "rows": flat[:, 0].tobytes(), "counts": flat[:, 1].tobytes()})
+
+
+@pytest.mark.parametrize("rare", [64, 10**9])
+def test_scoring_copies_stays_small(rare):
+    """Equal texts are hits by the hundred of every question, and their postings pairs by the million: neither is spelled out at once."""
+    import tracemalloc
+
+    text = [f"t{i}" for i in range(100)]
+    asked, held = plain_block([text] * 100), plain_block([text] * 512 + [["t0", "u"]] * 3, 1000)
+    best = TB._Best(asked.n, 3)
+    tracemalloc.start()
+    TB.best_of_block(asked, held, best, rare=rare, most=1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20, peak  # all at once take over 100 MB
+    for q in range(asked.n):
+        mine = best.q == q
+        assert sorted(zip(best.key1[mine].tolist(), best.score[mine].round(9).tolist())) == [(1000, 1.0), (1001, 1.0), (1002, 1.0)]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_slices_of_pairs(sides, most):
+    """Whatever is spelled out at once, the best rows are those of all pairs."""
+    tokens = [[(t or "").replace(".", " ").split() for *_, t in side] for side in (sides[1][:40], sides[0][:200])]
+    asked, held = (plain_block(ts) for ts in tokens)
+    found = []
+    for step in (most, 1 << 30):
+        best = TB._Best(asked.n, 3)
+        TB.best_of_block(asked, held, best, rare=4, stride=64, most=step)
+        order = np.lexsort((best.key1, -best.score.round(9), best.q))
+        at = np.arange(order.size) - np.searchsorted(best.q[order], best.q[order])
+        found.append([(int(best.q[i]), int(best.key1[i]), round(float(best.score[i]), 9)) for i in order[at < 3]])
+        rows = {(int(q), j): s for q, scores, k1, _ in TB.block_scores(asked, held, rare=4, stride=64, most=step)
+                for q, line in zip(q, scores) for j, s in zip(k1.tolist(), line.round(9).tolist()) if s > 0}
+        found.append(rows)
+    assert found[0] == found[2] and found[1] == found[3] and found[0]
+
+
+def test_blocks_across_batches(spark, sides, monkeypatch):
+    """Blocks are cut from Arrow batches of any size, and hold every text once."""
+    monkeypatch.setattr(TB, "bound_batches", lambda s: None)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "10")
+    try:
+        blocks = TB.term_blocks(sides[2].coalesce(1), "doc_id", "pos", "text", rows=37).collect()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert [b.n for b in blocks] == [37] * (900 // 37) + [900 % 37]
+    got = Counter(k for b in blocks for k in zip(np.frombuffer(b.key1, "<i8").tolist(), np.frombuffer(b.key2, "<i8").tolist()))
+    assert got == Counter((a, b) for a, b, _ in sides[0])
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """A worker frees what the blocks of a batch took before it asks for the next one."""
+    import pyarrow as pa
+
+    freed, read = [], []
+    monkeypatch.setattr(TB, "release", lambda: freed.append(len(read)))
+
+    def batches():
+        for n in range(3):
+            read.append(n)
+            raw = {"n": 1, "key1": b"\0" * 8, "key2": b"\0" * 8, "terms": ["a"], "starts": np.array([0, 1], "<i4").tobytes(),
+                   "rows": b"\0" * 4, "counts": b"\1\0\0\0"}
+            yield pa.RecordBatch.from_pylist([{**raw, "asked": [{**raw, "block": 0}]}])
+
+    assert len(list(TB._pairs_of_blocks(batches()))) == 3 and freed == [1, 2, 3]
+
+
 def test_block_pairs(spark, sides):
     corpus, questions, c, q = sides
     got = {(r.qid, r.doc_id, r.pos): r.score for r in TB.block_pairs(written(TB.question_blocks(q), "asked"), TB.term_blocks(c, "doc_id", "pos", "text")).collect()}
