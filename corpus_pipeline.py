@@ -39,9 +39,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that also start elsewhere, and their new length."""
+    """Texts without the passages that also start elsewhere (400 bytes or 50 words), and their new length."""
     prepare(spark)
-    cut = suffix_dedup.strip_column(docs)
+    cut = suffix_dedup.strip_passages(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut

@@ -43,6 +43,9 @@ LENGTH = 400
 #: Bytes of an anchor: a window then holds ``LENGTH - 65 + 1`` = 336 = 8 * 7 * 6 of them.
 GRAM = 65
 CLASSES = (336, 42, 6, 1)
+#: A passage of this many words is one even under ``LENGTH`` bytes; the bytes that such a passage has at least
+#: (words of three letters and a space), and the classes of its windows.
+WORDS, PASSAGE, PASSAGE_CLASSES = 50, 200, (168, 42, 6, 1)
 #: Distinct spans that one index group may hold, and bytes meant for a shard.
 MOST, SHARD_BYTES = 256, 1 << 19
 #: Positions hashed at once in a long text (the anchor's place takes 24 bits of its sort key).
@@ -361,6 +364,17 @@ def without_as_text(body: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Arra
     return pa.array(_each(lambda x: x.decode("utf-8", "ignore"), body, starts, ends), pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def without_passages(body: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """The text outside the runs of ``LENGTH`` bytes or ``WORDS`` words; shorter runs stay."""
+    columns, kept = [c.to_pylist() for c in (body, starts, ends)], []
+    for x, a, z in zip(*columns):
+        runs = [(b, e) for b, e in zip(a or [], z or []) if x is not None and (e - b >= LENGTH or len(x[b:e].split()) >= WORDS)]
+        kept.append(([b for b, _ in runs], [e for _, e in runs]))
+    kind = pa.list_(pa.int64())
+    return pa.array(_each(lambda x: x.decode("utf-8", "ignore"), body, *(pa.array(c, kind) for c in zip(*kept))) if kept else [], pa.string())
+
+
 def _marked(rows: DataFrame, spans: DataFrame, doc_id: str, th: str):
     """(rows without runs, rows joined with their ``starts`` and ``ends``); only the latter are shuffled."""
     hit = in_bits(rows.sparkSession, F.col(th), member_bits(spans, "th"))
@@ -391,10 +405,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return whole.unionByName(rest.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept")))
 
 
-def strip_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeats taken out of their text; a null text stays null."""
+def _stripped(docs: DataFrame, doc_id: str, text: str, outside, length: int, classes: tuple[int, ...]) -> DataFrame:
     keyed = docs.withColumn("_l_body", utf8(F.col(text))).withColumn("_l_th", F.xxhash64("_l_body"))
-    spans = repeat_spans(_rows(docs, doc_id, text))
+    spans = repeat_spans(_rows(docs, doc_id, text), length, classes)
     plain, cut = _marked(keyed, spans, doc_id, "_l_th")
     return plain.select(*docs.columns).unionByName(
-        cut.withColumn(text, without_as_text("_l_body", "_l_a", "_l_b")).select(*docs.columns))
+        cut.withColumn(text, outside("_l_body", "_l_a", "_l_b")).select(*docs.columns))
+
+
+def strip_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeats taken out of their text; a null text stays null."""
+    return _stripped(docs, doc_id, text, without_as_text, LENGTH, CLASSES)
+
+
+def strip_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without repeated passages: all that ``strip_column`` takes out, and shorter runs of ``WORDS`` words.
+
+    Runs are made of repeated strings of ``PASSAGE`` bytes, so fifty words that take less than that stay.
+    """
+    return _stripped(docs, doc_id, text, without_passages, PASSAGE, PASSAGE_CLASSES)

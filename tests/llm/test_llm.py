@@ -426,3 +426,21 @@ def test_pipeline_stages(spark, docs):
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, SF001).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
+
+
+def test_pipeline_takes_out_passages_by_words_too(spark):
+    """Passages of over 50 words are taken out though they are under 400 bytes; long strings of few words too, short ones stay."""
+    r = random.Random(50)
+
+    def words(n, size=5):
+        return " ".join("".join(r.choices("abcdefghijklmnop", k=size)) for _ in range(n))
+
+    passage, short, long_word = words(54), words(36), "".join(r.choices("abcdefghijklmnop", k=450))
+    assert 200 <= len(short) < len(passage) < suffix_dedup.LENGTH
+    rows, want = [], {}
+    for i, shared in enumerate([passage, passage, short, short, long_word, long_word, "", None]):
+        a, b = words(80) + "ABCDEFGH"[i], "QRSTUVWX"[i] + words(80)  # what stands beside a passage differs
+        rows.append((i, None if shared is None else a + shared + b))
+        want[i] = a + b if shared in (passage, long_word) else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, SF001).collect()} == want
