@@ -21,6 +21,11 @@ bytes that all windows of a class share join the group's key; after classes of
 1/8, 1/56 and single windows every group is small or a plain count.  No window
 is in two spans, so nothing matches itself.
 
+``repeated_passages`` finds the runs of ``WORDS`` words that also start
+elsewhere, however few bytes they take, and removes nothing.  Its windows are
+words (hashed), its anchors 18 of them; equal spans are counted by a hash, the
+windows of the others by theirs.
+
 Defined cases: texts are their UTF-8 bytes, a null text is empty.  Texts under
 ``length`` bytes lose nothing.  Rows that repeat (same id and text) are
 documents of their own: their windows repeat.  Null ids are kept.  Extra
@@ -29,6 +34,7 @@ columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,8 @@ CLASSES = (336, 42, 6, 1)
 #: A passage of this many words is one even under ``LENGTH`` bytes; the bytes that such a passage has at least
 #: (words of three letters and a space), and the classes of its windows.
 WORDS, PASSAGE, PASSAGE_CLASSES = 50, 200, (168, 42, 6, 1)
+#: Words of an anchor, where windows are words.
+WORD_GRAM = 18
 #: Distinct spans that one index group may hold, and bytes meant for a shard.
 MOST, SHARD_BYTES = 256, 1 << 19
 #: Positions hashed at once in a long text (the anchor's place takes 24 bits of its sort key).
@@ -54,11 +62,12 @@ STRETCH = 1 << 22
 _BYTE = np.random.default_rng(417).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFF)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _gram_hashes(body: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from every position: hashes of 1, 2, 4, ... bytes are joined, then those of k's bits."""
-    parts_, width, power = _BYTE[body], 1, _STEP
+    """Hash of the k bytes (or word hashes) from every position: hashes of 1, 2, 4, ... are joined, then those of k's bits."""
+    parts_, width, power = _BYTE[body] if body.dtype == np.uint8 else body, 1, _STEP
     out, have = None, 0
     while True:
         if k & width:
@@ -76,7 +85,7 @@ def _gram_hashes(body: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(body: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of a text: (first window, windows, anchor position, anchor hash)."""
+    """Spans of a text (bytes, or word hashes): (first window, windows, anchor position, anchor hash)."""
     found = []
     reach = length - k + 1
     for a in range(0, body.size - length + 1, STRETCH):
@@ -113,18 +122,18 @@ def _occ_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _first_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Every span of every text; ``n`` windows from ``start``, the anchor ``at`` bytes later."""
     def run(batch: pa.RecordBatch):
-        rows = []
-        for ident, th, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "body"))):
-            if len(body) < length:
-                continue
-            found = anchors(np.frombuffer(body, np.uint8), length, k)
-            for a, n, p, h in zip(*(x.tolist() for x in (*found[:3], found[3].view(np.int64)))):
-                rows.append((ident, th, a, n, p - a, h, *_occurrence(body, a, n, length), 1))
-            if len(rows) > 50_000:
-                yield _occ_batch(rows)
-                rows = []
-        if rows:
-            yield _occ_batch(rows)
+        found, row, digests = [], [], []
+        for i, body in enumerate(batch.column("body").to_pylist()):
+            first, count, place, key = anchors(np.frombuffer(body, np.uint8), length, k)
+            found.append((first, count, place - first, key.view(np.int64)))
+            row.append(np.full(first.size, i))
+            view = memoryview(body)
+            digests += [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + count - 1 + length).tolist())]
+        row = pa.array(np.concatenate(row))
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)  # as of _occurrence
+        cols = (*(np.concatenate(x) for x in zip(*found)), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]),
+                np.ones(len(digests), np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *map(pa.array, cols)], _OCC_NAMES)
 
     return map_rows(docs.filter(F.octet_length("body") >= length), run, OCC, "body")
 
@@ -321,28 +330,114 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, classes: tuple[int, ...]
     k = length - classes[0] + 1
     if k < 1 or classes[-1] != 1 or any(a % b for a, b in zip(classes, classes[1:])):
         raise ValueError("classes divide one another, begin below the length and end with 1")
+    return _merged(repeated_windows(rows, length, k, classes, most), length)
+
 
+def _merged(windows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, starts, ends): the maximal runs that ``windows`` of (doc_id, th, start, n) cover."""
     def merge(batch: pa.RecordBatch):
-        starts, ends = [], []
-        for mine in batch.column("marks").to_pylist():
-            runs: list[list[int]] = []
-            for m in mine:
-                a, b = m["start"], m["start"] + m["n"] - 1 + length
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
-            starts.append([r[0] for r in runs])
-            ends.append([r[1] for r in runs])
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(starts, kind), pa.array(ends, kind)],
-                                         ["doc_id", "th", "starts", "ends"])
-
-    marks = repeated_windows(rows, length, k, classes, most).groupBy("doc_id", "th").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n"))).alias("marks"))
+        mine = batch.column("marks")
+        row, flat = pa.compute.list_parent_indices(mine).to_numpy(), mine.flatten()
+        start = flat.field("start").to_numpy()
+        end = start + flat.field("n").to_numpy() - 1 + length
+        apart = row * (int(end.max()) + 1)  # so that no row's runs reach the next row's
+        reach = np.maximum.accumulate(end + apart)
+        fresh = np.flatnonzero(np.append(True, (start + apart)[1:] > reach[:-1]))
+        last = np.append(fresh[1:], start.size) - 1
+        edges = pa.array(np.searchsorted(row[fresh], np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("th"),
+             *(pa.ListArray.from_arrays(edges, pa.array(x)) for x in (start[fresh], (reach - apart)[last]))],
+            ["doc_id", "th", "starts", "ends"])
+
+    marks = windows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("marks"))
     return materialise(map_rows(marks, merge, "doc_id long, th long, starts array<long>, ends array<long>"), "suffix-marks")
 
 
+# --- passages of words ---------------------------------------------------------
+
+def _word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's words begin (and the last one's end)."""
+    found = [np.fromiter(map(xxhash.xxh3_64_intdigest, b.split() if len(b) < STRETCH else (m[0] for m in _WORD.finditer(b))), np.uint64)
+             for b in bodies]
+    return np.concatenate(found), np.cumsum([0, *(x.size for x in found)])
+
+
+def _word_spans(of: np.ndarray, begin: np.ndarray, words: int, k: int) -> tuple[np.ndarray, ...]:
+    """Spans of texts whose words follow one another: (text, first window, windows, anchor hash)."""
+    first, count, at, key = anchors(of, words, k)
+    text = np.searchsorted(begin, at, "right") - 1
+    # windows that reach into another text go: a span's anchor lies in one text, and so do the windows that stay
+    a, b = np.maximum(first, begin[text]), np.minimum(first + count, begin[text + 1] - words + 1)
+    some = b > a
+    return text[some], a[some], (b - a)[some], key[some]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first, first + 1, ... of every range, and where each range begins in them (and the last one's end)."""
+    edges = np.cumsum(np.append(0, count))
+    return np.arange(edges[-1]) + np.repeat(first - edges[:-1], count), edges
+
+
+def _span_sums(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each span's window hashes in order."""
+    at, edges = _ranges(first, count)
+    x = h[at] + (at - np.repeat(first, count)).astype(np.uint64) * _STEP
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.add.reduceat(x ^ (x >> np.uint64(32)), edges[:-1])
+
+
+def repeated_passages(rows: DataFrame, words: int = WORDS, k: int = WORD_GRAM) -> DataFrame:
+    """(doc_id, th, starts, ends): runs of ``words`` words or more, counted in words, whose strings of ``words`` words also start
+    elsewhere, the same text included; for the texts of (doc_id, th, body) that have any.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``.  Equality rests on 64-bit hashes of strings that share the 64-bit hash of an anchor.
+    """
+    spark = rows.sparkSession
+    names = ["doc_id", "th", "start", "n", "key", "s"]
+
+    def spans(batch: pa.RecordBatch):
+        of, begin = _word_hashes(batch.column("body").to_pylist())
+        if of.size >= words:
+            text, first, count, key = _word_spans(of, begin, words, k)
+            if text.size:
+                cols = (first - begin[text], count, key, _span_sums(_gram_hashes(of, words), first, count))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(text)) for c in names[:2]),
+                                                  *(pa.array(x.view(np.int64)) for x in cols)], names)
+
+    occ = materialise(map_rows(rows.filter(F.octet_length("body") >= 2 * words - 1), spans,
+                               ", ".join(f"{c} long" for c in names), "body"), "passage-spans")
+    same = materialise(occ.groupBy("key", "n", "s").agg(F.count("*").alias("c")), "passage-same")
+    # written before the joins, as above
+    keys = materialise(same.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).filter("all > 1"), "passage-keys")
+    kept = materialise(same.join(keys.drop("all"), "key"), "passage-kept")
+    hits = materialise(occ.filter(in_bits(spark, F.col("key"), member_bits(keys, "key"))).join(kept, ["key", "n", "s"]), "passage-hits")
+    # one row a distinct span goes on
+    once = (hits.filter("kinds > 1").groupBy("key", "n", "s", F.col("c").alias("weight"))
+            .agg(F.min(F.struct("doc_id", "th", "start")).alias("r")).select("key", "n", "weight", F.lit(0).alias("at"), "r.*"))
+
+    def hashes(batch: pa.RecordBatch):
+        of, begin = _word_hashes(batch.column("body").to_pylist())
+        h = _gram_hashes(of, words).view(np.int64)
+        mine = batch.column("spans")
+        text, flat = pa.compute.list_parent_indices(mine).to_numpy(), mine.flatten()
+        first, count = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+        at, edges = _ranges(first + begin[text], count)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(pa.array(text)) for c in ("doc_id", "th")), *(flat.field(c) for c in ("start", "weight", "key")),
+             pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h[at]))],
+            ["doc_id", "th", "start", "weight", "key", "hashes"])
+
+    told = materialise(map_rows(_with_bodies(rows, materialise(once, "passage-once")), hashes,
+                                "doc_id long, th long, start long, weight long, key long, hashes array<long>", "body"), "passage-hashes")
+    each = told.select("doc_id", "th", "start", "weight", "key", F.posexplode("hashes").alias("i", "w"))
+    twice = materialise(each.groupBy("key", "w").agg(F.sum("weight").alias("c")).filter("c > 1").select("key", "w"), "passage-windows")
+    # spans of more weight are among the equal ones
+    other = each.filter("weight = 1").join(twice, ["key", "w"])
+    return _merged(hits.filter("c > 1").select("doc_id", "th", "start", "n").unionByName(
+        other.select("doc_id", "th", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("bigint").alias("n"))), words)
+
+
 def _pieces(body: bytes, starts, ends) -> bytes:
     cuts = [0, *(x for r in zip(starts, ends) for x in r), len(body)]
     return b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
@@ -375,11 +470,11 @@ def without_passages(body: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Arr
     return pa.array(_each(lambda x: x.decode("utf-8", "ignore"), body, *(pa.array(c, kind) for c in zip(*kept))) if kept else [], pa.string())
 
 
-def _marked(rows: DataFrame, spans: DataFrame, doc_id: str, th: str):
-    """(rows without runs, rows joined with their ``starts`` and ``ends``); only the latter are shuffled."""
+def _marked(rows: DataFrame, spans: DataFrame, doc_id: str, th: str, *more: str):
+    """(rows without runs, rows joined with their ``starts``, ``ends`` and ``more``); only the latter are shuffled."""
     hit = in_bits(rows.sparkSession, F.col(th), member_bits(spans, "th"))
     right = spans.select(F.col("doc_id").alias("_l_d"), F.col("th").alias("_l_t"), F.col("starts").alias("_l_a"),
-                         F.col("ends").alias("_l_b")).hint("merge")
+                         F.col("ends").alias("_l_b"), *more).hint("merge")
     # a merge join: beside the filter and the cutting, a broadcast would put two Python workers on one task
     joined = rows.filter(hit).join(right, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_l_d")) & (F.col(th) == F.col("_l_t")),
                                    "left")
@@ -392,16 +487,28 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   classes: tuple[int, ...] = CLASSES, most: int = MOST) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte offsets), kept (binary)."""
+                   classes: tuple[int, ...] = CLASSES, most: int = MOST, words: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, spans (removed runs as byte offsets), kept (binary).
+
+    With ``words``, also passages: the runs that ``repeated_passages`` finds, as word offsets.  They don't change what is removed.
+    """
     rows = _rows(docs, doc_id, text)
-    plain, cut = _marked(rows, repeat_spans(rows, length, classes, most), "doc_id", "th")
+    marks, more = repeat_spans(rows, length, classes, most), []
     kind = "array<struct<start:bigint,end:bigint>>"
+    if words is not None:
+        both = marks.unionByName(repeated_passages(rows, words).select(
+            "doc_id", "th", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).cast(kind).alias("passages")), True)
+        none = F.array().cast("array<bigint>")  # a text is at most once on either side
+        marks = materialise(both.groupBy("doc_id", "th").agg(*(
+            F.coalesce(F.first(c, True), x).alias(c) for c, x in (("starts", none), ("ends", none), ("passages", F.array().cast(kind))))),
+            "suffix-passages")
+        more = ["passages"]
+    plain, cut = _marked(rows, marks, "doc_id", "th", *more)
     n = F.octet_length("body").cast("bigint").alias("n_bytes")
     whole = plain.select("doc_id", n, F.lit(0).cast("bigint").alias("n_removed"), F.array().cast(kind).alias("spans"),
-                         F.col("body").alias("kept"))
+                         F.col("body").alias("kept"), *(F.array().cast(kind).alias(c) for c in more))
     rest = cut.select("doc_id", n, F.arrays_zip(F.col("_l_a").alias("start"), F.col("_l_b").alias("end")).cast(kind).alias("spans"),
-                      without("body", "_l_a", "_l_b").alias("kept"))
+                      without("body", "_l_a", "_l_b").alias("kept"), *more)
     return whole.unionByName(rest.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept")))
 
 

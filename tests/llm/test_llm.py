@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import (byte_bpe, common, exact_dedup, jaccard_join, language_id, line_dedup, packing, suffix_dedup, topk_search,
+from lectern.llm import (byte_bpe, common, exact_dedup, jaccard_join, language_id, line_dedup, packing, queries, suffix_dedup, topk_search,
                          toxicity, warc)
 from lectern.session import scratch_path
 
@@ -377,6 +377,51 @@ def test_suffix_dedup_odd_rows(docs):
     assert whole[7].n_removed == whole[7].n_bytes and whole[8].n_removed == whole[8].n_bytes
 
 
+def brute_passages(rows, words):
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    seen = Counter(tuple(w[i:i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for (d, _), w in zip(rows, split):
+        inside = np.zeros(len(w) + 2, np.int8)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i:i + words])] > 1:
+                inside[i + 1:i + words + 1] = 1
+        edge = np.flatnonzero(np.diff(inside)).tolist()
+        out.append((str(d), edge[::2], edge[1::2]))
+    return sorted(x for x in out if x[1])
+
+
+@pytest.mark.parametrize("words,k", [(6, 2), (9, 3), (1, 1)])
+def test_repeated_passages_small_windows(spark, words, k):
+    word = lambda n: "".join(rng.choice(["a ", "b\n", "\u00e9\x0b \t", "cc "]) for _ in range(n))
+    rows = [(i, word(rng.randrange(14)) + rng.choice(["", "cc a cc b cc a a b \u00e9 b ", "a " * 14]) + word(rng.randrange(9))) for i in range(80)]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (200, None), (201, ""), (202, " z" * 40), (203, "y\x1cy\x85y " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.repeated_passages(suffix_dedup._rows(docs, "doc_id", "text"), words, k).collect()
+    got = {(str(r.doc_id), tuple(r.starts), tuple(r.ends)) for r in found}
+    assert got == {(d, tuple(a), tuple(z)) for d, a, z in brute_passages(rows, words)} and len(got) == len(found)
+
+
+def test_op10_tells_passages_of_50_words(spark, tmp_path):
+    """Passages of over 50 words are told though they are under 400 bytes; the contract's columns are those of 400 bytes."""
+    r = random.Random(51)
+
+    def words(n):
+        return " ".join("".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+
+    short, passage, tiny, long = words(49), words(54), " ".join(r.choices("abcdefg", k=60)), words(90)
+    assert len(tiny) < 200 < len(passage) < 400 < len(long)
+    shared = [short, short, passage, passage.replace(" ", "  \n"), tiny, tiny, long, long, "", None]
+    rows = [(i, None if s is None else f"{words(70)} {'ABCDEFGHI'[i]}0 {s} 0{'ABCDEFGHI'[i]} {words(70)}") for i, s in enumerate(shared)]
+    rows.append((None, passage))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {x.doc_id: (x.n_passages, x.n_passage_words) for x in got} == {
+        0: (0, 0), 1: (0, 0), 2: (1, 54), 3: (1, 54), 4: (1, 60), 5: (1, 60), 6: (1, 90), 7: (1, 90), 8: (0, 0), 9: (0, 0), None: (1, 54)}
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == [
+        (*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute_repeats(rows, 400)]
+
+
 def test_run_index_matching_statistics():
     for _ in range(20):
         texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 7))})
