@@ -388,3 +388,63 @@ def test_vectors_get_partitions_by_bytes_and_only_when_asked(spark, monkeypatch)
     size = sum(len(f"number {i} " * 60) for i in range(40))
     assert corpus.vectors.rdd.getNumPartitions() == -(-size // 1000) and calls == [1]
     assert {round(r.w, 6) for r in corpus.vectors.filter("doc_id = 7").collect()} >= {round(0.5 ** 0.5, 6)}
+
+
+# --- many questions ----------------------------------------------------------------
+
+def test_the_corpus_is_cut_once_for_all_passes(spark, sides, monkeypatch):
+    """With several batches of questions the blocks of the corpus are made once, and the result is that of one batch."""
+    from lectern.plans import answer as AN
+
+    docs = spark.createDataFrame([(i, "t", f"{t or ''} and a few more words") for i, (_, _, t) in enumerate(sides[0][:200])], "doc_id long, title string, text string")
+    q = spark.createDataFrame(sides[1], "qid long, question string")
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            cut.add(batch.num_rows)
+            yield batch
+
+    def top():
+        corpus = AN.build_corpus(docs)
+        corpus.blocks = corpus.blocks.mapInArrow(counted, corpus.blocks.schema)
+        before = cut.value
+        rows = top_rows(AN.top_chunks(q, corpus))
+        return rows, cut.value - before
+
+    one = top()
+    monkeypatch.setattr(AN, "question_blocks", lambda t, k, c, m: TB.term_blocks(t, k, None, c, m, rows=10))
+    monkeypatch.setattr(TB, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(TB.block_top_k, "__defaults__", (TB.TOP_K, "qid", ("doc_id", "pos"), 1000, *TB.block_top_k.__defaults__[4:]))
+    several = top()
+    assert one[0] == several[0] and one[0]
+    assert one[1] == several[1] > 0
+
+
+@pytest.mark.parametrize("rare,lined,strip", [(300, 50, 1 << 18), (1, 10**9, 64), (1, 0, 300), (4, 3, 1)])
+def test_ways_of_scoring_agree(sides, monkeypatch, rare, lined, strip):
+    """Whether a term is scored by the product, by lines or by pairs, the best rows are those in double precision."""
+    monkeypatch.setattr(TB, "LINED", lined)
+    monkeypatch.setattr(TB, "STRIP", strip)
+    tokens = [[(t or "").replace(".", " ").split() for *_, t in side] for side in (sides[1], sides[0])]
+    asked, others = plain_block(tokens[0]), plain_block([["a", "w7", "unheard"], ["w7"], []])
+    TB._Block.joined([asked, others])
+    best = TB._Best(asked.n, 3)
+    for first in range(0, 900, 300):
+        TB.best_of_block(asked, plain_block(tokens[1][first:first + 300], first), best, rare=rare)
+    keys = [(i, 0, t) for i, (*_, t) in enumerate(sides[0])]
+    order = np.lexsort((best.key1, -np.rint(best.score * 1e9), best.q))
+    rank = np.arange(order.size) - np.searchsorted(best.q[order], best.q[order])
+    got = {(sides[1][best.q[i]][0], int(best.key1[i]), 0, int(n) + 1, round(float(best.score[i]), 6)) for i, n in zip(order, rank) if n < 3}
+    assert got == brute(sides[1], keys, 3)
+
+
+def test_rows_without_frequent_terms_dont_make_the_groups():
+    """Rows of two vocabularies are told apart though others hold none of the frequent terms."""
+    texts_of_rows = [["x", "y", f"r{i}"] for i in range(60)] + [["u", "v", f"s{i}"] for i in range(50)] + [[f"lone{i}"] for i in range(20)]
+    held = plain_block(texts_of_rows)
+    order, edges = held.arranged(64)
+    kinds = [{("xy" if i < 60 else "uv") for i in order[a:z] if i < 110} for a, z in zip(edges[:-1], edges[1:])]
+    assert sorted(x for k in kinds for x in k) == ["uv", "xy"] and max(np.diff(edges)) <= 64
+    # groups over the most are cut evenly
+    assert sorted(np.diff(plain_block([["x"]] * 130).arranged(64)[1])) == [42, 44, 44]
