@@ -448,3 +448,50 @@ def test_rows_without_frequent_terms_dont_make_the_groups():
     assert sorted(x for k in kinds for x in k) == ["uv", "xy"] and max(np.diff(edges)) <= 64
     # groups over the most are cut evenly
     assert sorted(np.diff(plain_block([["x"]] * 130).arranged(64)[1])) == [42, 44, 44]
+
+
+# --- rows of some MB ---------------------------------------------------------------
+
+def large_blocks(spark, n):
+    """``n`` written blocks of over 2 MB each, one file."""
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pylist([{"block": i, "n": 1, "key1": b"\0" * 8, "key2": b"\0" * 8, "terms": [f"elephants{i}", "a"],
+                                                   "starts": np.array([0, 1, 2], "<i4").tobytes(), "rows": b"\0" * 8, "counts": b"\1\0\0\0" * 2 + os.urandom(2 << 20)}],
+                                                 pa.schema([("block", pa.int64()), ("n", pa.int32()), ("key1", pa.binary()), ("key2", pa.binary()),
+                                                            ("terms", pa.list_(pa.string())), ("starts", pa.binary()), ("rows", pa.binary()), ("counts", pa.binary())]))
+
+    return spark.range(n).coalesce(1).mapInArrow(run, TB.SCHEMA)
+
+
+def rows_of_groups(path):
+    import pyarrow.parquet as pq
+
+    found = [pq.ParquetFile(f).metadata for f in path.rglob("*.parquet") if "checksum" not in f.name]
+    return [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+
+
+@pytest.mark.parametrize("how", ["stored", "lemmas"])
+def test_row_groups_of_blocks_are_small(spark, tmp_path, monkeypatch, how):
+    """Writers hold and readers decode a row group as a whole: it has a few blocks, however many a task has."""
+    from lectern.operators import lemmas as LM
+    from lectern.plans import answer as AN
+
+    if how == "stored":
+        docs = spark.createDataFrame([(1, "t", "a few words of one document")], "doc_id long, title string, text string")
+        corpus = AN.build_corpus(docs)
+        corpus.blocks = large_blocks(spark, 20)
+        AN.store_corpus(corpus, str(tmp_path))
+        groups = rows_of_groups(tmp_path / "blocks")
+    else:
+        monkeypatch.setattr(LM, "with_lemmas", lambda blocks, memo: blocks)
+        found = LM.Lemmas(f"{tmp_path}/memo", lambda: lambda forms: forms).of_blocks(large_blocks(spark, 20))
+        from pathlib import Path
+
+        groups = rows_of_groups(Path(found.inputFiles()[0].replace("file:", "")).parent)
+    assert sum(groups) == 20 and max(groups) <= 6
