@@ -495,3 +495,29 @@ def test_row_groups_of_blocks_are_small(spark, tmp_path, monkeypatch, how):
 
         groups = rows_of_groups(Path(found.inputFiles()[0].replace("file:", "")).parent)
     assert sum(groups) == 20 and max(groups) <= 6
+
+
+def test_changed_terms_stream_to_their_block(spark):
+    """No step gathers a block's changed terms in one value, and blocks across Arrow batches get their own lemmas."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    words = [[f"w{i}x{j}" for j in range(i % 7)] for i in range(40)]
+    rows = [{"block": i, "n": 1, "key1": bytes(8), "key2": bytes(8), "terms": ws, "starts": np.arange(len(ws) + 1).astype("<i4").tobytes(),
+             "rows": bytes(4 * len(ws)), "counts": np.arange(1, len(ws) + 1).astype("<i4").tobytes()} for i, ws in enumerate(words)]
+    blocks = written(spark.createDataFrame([tuple(r.values()) for r in rows], TB.SCHEMA).repartition(3), "blocks")
+    memo = [(w, ("two words", "", "same", f"{w}y")[j % 4]) for ws in words for j, w in enumerate(ws) if j != 5] + [("w1x0", None), (None, "x")]
+    held = TB.with_lemmas(blocks, spark.createDataFrame(memo, "form string, lemma string"))
+    assert "collect_list" not in held._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "3")
+    try:
+        got = {r.block: r for r in held.collect()}
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert len(got) == 40
+    for i, ws in enumerate(words):
+        want = Counter()
+        for j, w in enumerate(ws):
+            for x in (w if j == 5 else ("two words", "", "same", f"{w}y")[j % 4]).split():
+                want[x] += j + 1
+        counts = np.frombuffer(got[i].counts, "<i4").tolist()
+        assert dict(zip(got[i].terms, counts)) == want and got[i].n == 1
